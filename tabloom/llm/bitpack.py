@@ -43,7 +43,17 @@ BLOCK_IDS = 65536
 SHARD_IDS = 1 << 19
 #: Characters encoded at once, and pieces kept by a worker: bounds of memory, not of the input.
 BATCH_CHARS = 1 << 21
-CACHED_PIECES = 300_000
+CACHED_PIECES = 500_000
+#: Marks that form a piece of their own after a run of letters, however many.
+_MARKS = ".,;:!?*#%&$"
+
+_BLANK = re.compile(r"[ \t\r\n]+")
+#: Characters at which str.split() cuts though they are no white space to the vocabulary.
+#: Beyond these letters, normal form and case mapping depend on the order in which they are applied.
+_WIDE = re.compile("[^\x00-\u012f\u0131-\u017f]")
+#: A point or comma beside another mark, with which it would be one piece.
+_CROWDED = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s][.,])|(?<=_[.,]))")
+_NO_SPACE = re.compile(r"[\x1c-\x1f]")
 
 
 def min_bits(vocab_size: int) -> int:
@@ -133,10 +143,9 @@ class Encoder:
 
     The vocabulary's pre-tokenizer drops white space and no piece crosses it, so
     a text's ids are those of its runs between blanks, end to end.  Each distinct
-    run is encoded once by the library; a run of plain letters and digits is
-    lower-cased first if it is ASCII (the vocabulary's own rule), and its last
-    "." or "," encoded apart (a piece of its own in any case).
-    What was met lately is kept, in two generations, so memory stays bounded.
+    run is encoded once by the library; a run of letters is lower-cased first if it
+    is ASCII (the vocabulary's own rule), and the marks at its end encoded apart (a
+    piece of their own in any case).  What was met lately is kept, in two generations, so memory stays bounded.
     """
 
     def __init__(self, path: str):
@@ -149,47 +158,79 @@ class Encoder:
         self.vocab_size = self.library.get_vocab_size(with_added_tokens=True)
         self.kept: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
-        self.blank = re.compile(r"[ \t\r\n]+")
         self.lowers = self.of_library(["AZ"]) == self.of_library(["az"])
+        self.added = sorted({str(t.content)[:2] for t in self.library.get_added_tokens_decoder().values()})
+        # a vocabulary whose pieces all end in a token of a kind of its own: ids of many pieces can be cut apart
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.vocab_size, bool)
+            self.ends[[k for token, k in self.library.get_vocab().items() if token.endswith(suffix)]] = True
 
     def of_library(self, runs: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(runs, add_special_tokens=False)]
 
-    def core(self, run: str) -> tuple[str, str]:
-        """What a run's ids are made of: its core and its last mark."""
-        if self.lowers:
-            if run.isalnum():
-                return (run.lower() if run.isascii() else run), ""
-            head = run[:-1]
-            if run[-1] in ".," and head.isalnum() and (run.isascii() or head.lower().isalnum()):
-                return (head.lower() if run.isascii() else head), run[-1]
-        return run, ""
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of runs of letters, encoded as one text of words and cut where words end."""
+        if self.ends is None:
+            return self.of_library(words)
+        ids = np.fromiter(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(cuts) != len(words) or (cuts and cuts[-1] != 4 * len(ids)):
+            return self.of_library(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]  # noqa: B905  the last cut is the end
 
     def learn(self, runs: set[str]) -> None:
         """Have each run's ids in self.kept."""
         if len(self.kept) > CACHED_PIECES:
             self.kept, self.older = {"": b""}, self.kept
         kept, older = self.kept, self.older
-        new = [r for r in runs if r not in kept]
+        new = runs.difference(kept)
+        if older:
+            again = [r for r in new if r in older]
+            kept.update((r, older[r]) for r in again)
+            new.difference_update(again)
+        whole, words, odd = {}, set(), []
         for run in new:
-            if run in older:
-                kept[run] = older[run]
-        cores = {r: self.core(r) for r in new if r not in kept}
-        wanted = {x for pair in cores.values() for x in pair if x not in kept}
-        for x in wanted:
-            if x in older:
-                kept[x] = older[x]
-        wanted = [x for x in wanted if x not in kept]
-        for k in range(0, len(wanted), 20_000):
-            some = wanted[k : k + 20_000]
-            kept.update(zip(some, self.of_library(some), strict=True))
-        for run, (head, mark) in cores.items():
-            kept[run] = kept[head] + kept[mark]
+            head = run.rstrip(_MARKS)
+            if self.lowers and head.isalpha():
+                if run.isascii():
+                    head = head.lower()
+                elif not head.lower().isalpha():
+                    odd.append(run)
+                    continue
+                whole[run] = head
+                words.add(head)
+            else:
+                odd.append(run)
+        for run, ids in zip(odd, self.of_library(odd) if odd else (), strict=True):
+            kept[run] = ids
+        heads = {w: kept[w] for w in words if w in kept}
+        lacking = [w for w in words if w not in heads]
+        for k in range(0, len(lacking), 20_000):
+            some = lacking[k : k + 20_000]
+            heads.update(zip(some, self.of_words(some), strict=True))
+        tails = {run[len(head) :] for run, head in whole.items()}
+        marks = dict(zip(tails, self.of_library(list(tails)), strict=True)) if tails else {}
+        for run, head in whole.items():
+            kept[run] = heads[head] + marks[run[len(head) :]]
+        kept.update(heads)
+
+    def runs_of(self, text: str) -> list[str]:
+        """The text's runs between blanks; lower-cased, and with lone points and commas apart, where that is safe for all of it."""
+        if _NO_SPACE.search(text):
+            return _BLANK.split(text)
+        if self.lowers and (text.isascii() or not _WIDE.search(text)) and not any(x in text for x in self.added):
+            text = text.lower()
+            if not _CROWDED.search(text):
+                text = text.replace(".", " . ").replace(",", " , ")
+        return text.split()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for some in in_pieces(texts, len, BATCH_CHARS):
-            runs = [self.blank.split(t) for t in some]
+            runs = [self.runs_of(t) for t in some]
             distinct: set[str] = set()
             distinct.update(*runs)
             self.learn(distinct)
