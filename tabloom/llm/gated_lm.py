@@ -402,19 +402,20 @@ def score_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     classes[len(head) :] = np.arange(vocabulary.classes)
     model.fit(encoded, classes)
 
-    own = rows.select("block", "idx", "word").join(counts, "word").groupBy("block").agg(F.collect_list(F.struct("idx", "c")).alias("counts"))
-    paired = held.select("block", "words", "doc_ids", "lengths", "codes").repartition(n, "block").join(own, "block")
+    own = rows.select("block", "idx", "word").join(with_inputs(counts, vocabulary), "word").groupBy("block").agg(F.collect_list(F.struct("idx", "c", "input")).alias("counts"))
+    paired = held.select("block", "doc_ids", "lengths", "codes").repartition(n, "block").join(own, "block")
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                words, ids = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                lengths = np.asarray(batch.column(2)[k].values, np.int64)
-                flat = word_codes(batch.column(3)[k].as_py())
-                pairs = batch.column(4)[k].values
-                c = np.zeros(len(words), np.int64)
-                c[np.asarray(pairs.field("idx"))] = np.asarray(pairs.field("c"))
-                inputs, cls = vocabulary.of(words)
+                ids = batch.column(0)[k].as_py()
+                lengths = np.asarray(batch.column(1)[k].values, np.int64)
+                flat = word_codes(batch.column(2)[k].as_py())
+                pairs = batch.column(3)[k].values
+                at = np.asarray(pairs.field("idx"))
+                c, inputs = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                c[at], inputs[at] = np.asarray(pairs.field("c")), np.asarray(pairs.field("input"))
+                cls = classes[inputs]
                 shares = np.where(cls >= vocabulary.heads, np.log(c + 1.0) - np.log(vocabulary.mass[cls]), 0.0)
                 base = np.log10((c + 1.0) / (total + 1.0 * (distinct + 1)))
                 got = model.score(inputs[flat], cls[flat], shares[flat], lengths) / math.log(10)
@@ -432,10 +433,21 @@ def score_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    slim = paired.select("words", "doc_ids", "lengths", "codes", "counts")
+    slim = paired.select("doc_ids", "lengths", "codes", "counts")
     return slim.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def with_inputs(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Each word's count and input number."""
+
+    def run(batches):
+        for batch in batches:
+            inputs, _ = vocabulary.of(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(inputs, pa.int32())], names=["word", "c", "input"])
+
+    return counts.select("word", "c").mapInArrow(run, "word string, c long, input int")
+
+
 def _tails(known: DataFrame, head: set[str]) -> list[tuple[str, int]]:
     """(ending, sum of count + 1) of all training words outside the head: the ENDINGS largest, and the rest as one."""
 
