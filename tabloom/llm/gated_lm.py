@@ -122,7 +122,7 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
 
 def word_codes(codes: bytes) -> np.ndarray:
     raw = np.frombuffer(zlib.decompress(codes), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").reshape(-1)
 
 
 # -- model ----------------------------------------------------------------------
@@ -310,8 +310,8 @@ class Gru:
         np.add.at(grads["X"], before.T.reshape(-1), dx_all.reshape(-1, 3 * n))
         return h, grads
 
-    def score(self, inputs: np.ndarray, classes: np.ndarray, shares: np.ndarray, lengths: np.ndarray, lanes: int = LANES, steps: int = STEPS) -> np.ndarray:
-        """Natural log-likelihood of each document; flat arrays of all documents' tokens, each with its end token last."""
+    def score(self, words: np.ndarray, inputs: np.ndarray, classes: np.ndarray, shares: np.ndarray, lengths: np.ndarray, lanes: int = LANES, steps: int = STEPS) -> np.ndarray:
+        """Natural log-likelihood of each document; words: of all documents, each with its end token last; inputs, classes, shares: of each word's number."""
         count = len(lengths)
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         lanes = max(1, min(lanes, count))
@@ -326,17 +326,16 @@ class Gru:
         lane_docs.sort(key=lambda ds: -int(lengths[ds].sum()))
         sizes = np.array([int(lengths[ds].sum()) for ds in lane_docs])
         where = np.concatenate([np.arange(starts[d], starts[d] + lengths[d]) for ds in lane_docs for d in ds])
-        owner = np.repeat([d for ds in lane_docs for d in ds], [int(lengths[d]) for ds in lane_docs for d in ds])
+        owner = np.repeat(np.array([d for ds in lane_docs for d in ds], np.int32), [int(lengths[d]) for ds in lane_docs for d in ds])
         lane_at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        inputs, classes, shares = inputs[where], classes[where], shares[where]
-        first = np.zeros(len(where), bool)
-        first[0] = True
-        first[1:] = owner[1:] != owner[:-1]
+        words = words[where]
+        del where
+        first = np.zeros(len(words), bool)
         first[lane_at] = True
-        before = np.empty_like(inputs)
-        before[1:] = inputs[:-1]
-        end_input = inputs[lane_at[0] + lengths[lane_docs[0][0]] - 1]
-        before[first] = end_input
+        first[1:] |= owner[1:] != owner[:-1]
+        before = np.empty_like(words)
+        before[1:] = words[:-1]
+        before[first] = words[lane_at[0] + lengths[lane_docs[0][0]] - 1]  # the end token
         x_all, total = self.p["X"], np.zeros(count)
         h = np.zeros((lanes, self.h), np.float32)
         for a in range(0, int(sizes[0]), steps):
@@ -345,7 +344,7 @@ class Gru:
             at = (lane_at[:m] + a)[None, :] + np.arange(steps)[:, None]
             live = (a + np.arange(steps))[:, None] < ends[None, :]
             at = np.where(live, at, 0)
-            xs = x_all[before[at]]
+            xs = x_all[inputs[before[at]]]
             keep = (~first[at]).astype(np.float32)[:, :, None]
             states = np.empty((steps, m, self.h), np.float32)
             s = h[:m]
@@ -354,7 +353,8 @@ class Gru:
                 states[t] = s
             h = s  # lanes that have ended are not looked at again
             at = at[live]
-            got = self.log_probs(states[live], inputs[at], classes[at], shares[at])
+            word = words[at]
+            got = self.log_probs(states[live], inputs[word], classes[word], shares[word])
             total += np.bincount(owner[at], weights=got, minlength=count)
         return total
 
@@ -418,7 +418,7 @@ def score_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                 cls = classes[inputs]
                 shares = np.where(cls >= vocabulary.heads, np.log(c + 1.0) - np.log(vocabulary.mass[cls]), 0.0)
                 base = np.log10((c + 1.0) / (total + 1.0 * (distinct + 1)))
-                got = model.score(inputs[flat], cls[flat], shares[flat], lengths) / math.log(10)
+                got = model.score(flat, inputs, cls, shares, lengths) / math.log(10)
                 cuts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 yield pa.RecordBatch.from_arrays(
                     [
