@@ -30,6 +30,9 @@ SEED = "mix-1"
 TEMPER = 0.5
 #: Means above this are drawn as a sum of equal Poisson parts, so the inversion's terms never vanish.
 PART = 16.0
+#: The rate table is broadcast if its sources' names fit in this many characters; else the join is salted.
+BROADCAST_CHARS = 4_000_000
+SALTS = 64
 _UNIT = 2.0**52
 
 
@@ -82,10 +85,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, rows: float |
         per = per.withColumn("__w", F.coalesce(F.try_element_at(table_of, F.col("__source")), F.lit(float(other))))
     else:
         per = per.withColumn("__w", F.lit(float(other)))
-    sums = per.agg(F.sum("__w").alias("w"), F.sum("__n").alias("n")).first()
+    sums = per.agg(F.sum("__w").alias("w"), F.sum("__n").alias("n"), F.count(F.lit(1)).alias("k"), F.max(F.length("__source")).alias("l")).first()
     total, wanted = float(sums["w"] or 0.0), float(sums["n"] or 0) if rows is None else float(rows)
     mean = F.col("__w") / F.lit(total if total else 1.0) * F.lit(wanted) / F.col("__n")
-    rated = docs.withColumn("__source", source).join(per.select("__source", mean.alias("__mean")), "__source")
+    rate = per.select("__source", mean.alias("__mean"))
+    if (sums["k"] or 0) * ((sums["l"] or 0) + 16) <= BROADCAST_CHARS:
+        rated = docs.withColumn("__source", source).join(F.broadcast(rate), "__source")
+    else:  # each source's rate once for every salt, so that a source of a third of all rows is dealt to SALTS tasks
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+        salted = rate.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rated = docs.withColumn("__source", source).withColumn("__salt", salt).join(salted, ["__source", "__salt"])
     n = poisson(F.col("__mean"), F.lit(seed), F.col("doc_id"))
     copies = rated.withColumn("__copies", n).where("__copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     key = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary")), 1, 15)
