@@ -35,15 +35,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import in_pieces, new_path, only, parts, table
+from .shared import in_pieces, kept, new_path, only, parts, table
 
 MAGIC = b"TLBITS01"
 _HEAD = struct.Struct("<8sIIIIQQ")
 BLOCK_IDS = 65536
 SHARD_IDS = 1 << 19
 #: Characters encoded at once, and pieces kept by a worker: bounds of memory, not of the input.
-BATCH_CHARS = 1 << 21
-CACHED_PIECES = 500_000
+BATCH_CHARS = 1 << 20
+CACHED_PIECES = 200_000
 #: Marks that form a piece of their own after a run of letters, however many.
 _MARKS = ".,;:!?*#%&$"
 
@@ -238,13 +238,8 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 SHARDS = "part int, seq int, start_in_part long, n_ids long, doc_ids array<long>, data binary"

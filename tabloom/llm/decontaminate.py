@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import only, table
+from .shared import kept, only, table
 
 SHINGLE = 5
 OVERLAP = 0.8
@@ -263,6 +263,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
     at = docs.columns.index("text")
     for items, stats in item_blocks(benchmark):
         def run(batches, items=items, stats=stats):
+            kept("index")
             index = Index(items, stats)
             for batch in batches:
                 keep = [not any(min(q, a) >= overlap or whole >= overlap for _, q, a, whole in index.hits(t, threshold)) for t in batch.column(at).to_pylist()]

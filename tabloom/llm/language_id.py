@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import crc_column, in_pieces, only, table
+from .shared import crc_column, in_pieces, kept, only, table
 
 SAMPLE_ROWS = 64
 ROW_CHARS = 512
@@ -198,15 +198,8 @@ def learn(labelled: DataFrame) -> dict[str, str]:
     return {k: " ".join(t for _, t in sorted(v) if t)[:SAMPLE_CHARS] for k, v in held.items()}
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def model(samples: dict[str, str]) -> Model:
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(samples)
-    return _MODELS[key]
+    return kept(("languages", tuple(sorted(samples.items()))), lambda: Model(samples))
 
 
 def predicted(docs: DataFrame, samples: dict[str, str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -90,6 +91,23 @@ def crc_column(name: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")).cast("binary"))
 
 
+_KEPT: dict = {}
+
+
+def kept(key, build=None):
+    """What a Python worker keeps between tasks: one thing at a time, so that operators run one after another don't add up.
+
+    Without build, what another operator kept is let go.
+    """
+    if key not in _KEPT:
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+        if build:
+            _KEPT[key] = build()
+    return _KEPT.get(key)
+
+
 def in_pieces(rows, weight, limit: int):
     """Consecutive rows in lists of at most `limit` weight, one row at least: bounds a batch of very long texts."""
     held, total = [], 0

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, only, parts, table, words_of, written
+from .shared import cut, kept, only, parts, table, words_of, written
 
 WORDS = 4
 RADIUS = 4
@@ -105,6 +105,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every document; no shuffle."""
 
     def run(batches):
+        kept("simhash")
         for batch in batches:
             fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])

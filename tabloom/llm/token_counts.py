@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bitpack import tokenizer_path
-from .shared import in_pieces, only, table
+from .shared import in_pieces, kept, only, table
 
 CHUNK = 32_768
 OVERLAP = 512
@@ -113,14 +113,8 @@ def stable_boundary(text: str, left: list[tuple[int, int]], right: list[tuple[in
     return None
 
 
-_COUNTERS: dict[tuple, Counter] = {}
-
-
 def counter(path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Counter:
-    key = (path, chunk, overlap)
-    if key not in _COUNTERS:
-        _COUNTERS[key] = Counter(path, chunk, overlap)
-    return _COUNTERS[key]
+    return kept(("counter", path, chunk, overlap), lambda: Counter(path, chunk, overlap))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
