@@ -93,6 +93,8 @@ def date_of_days(days: Column) -> Column:
 def days_of(year: Column, month: Column, day: Column) -> Column:
     """Day count since 1960, missing for a date that does not exist."""
     whole = [F.when(F.abs(x) < 1e6, F.floor(x)).cast("int") for x in (year, month, day)]
-    text = F.format_string("%04d-%02d-%02d", *whole)
-    ok = whole[0].between(0, 9999) & whole[1].between(1, 12) & whole[2].between(1, 31)
-    return F.datediff(F.when(ok, F.try_to_date(text)), F.lit("1960-01-01").cast("date")).cast("double")
+    y, m, d = whole
+    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+    longest = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
+    ok = y.between(0, 9999) & m.between(1, 12) & (d >= 1) & (d <= longest)
+    return F.datediff(F.when(ok, F.make_date(y, m, d)), F.lit("1960-01-01").cast("date")).cast("double")

@@ -26,11 +26,15 @@ def percentile_of(stat: str) -> float | None:
 
 
 def exact_percentile(x: Column, p: float) -> Column:
+    return percentile_at(F.array_sort(F.collect_list(x)), p)
+
+
+def percentile_at(a: Column, p: float) -> Column:
     """Of n sorted values: with k = n p / 100, the mean of the k-th and next if k is whole, else the value at the next rank.
 
     The ranks are integer arithmetic (100 k = n p), so no rounding picks a neighbour.
     """
-    a, q = F.array_sort(F.collect_list(x)), int(p)
+    q = int(p)
     np_ = F.size(a) * q
     k = (np_ / 100).cast("int")
     at = F.when(np_ % 100 == 0, (F.element_at(a, F.greatest(k, F.lit(1))) + F.element_at(a, F.least(k + 1, F.size(a)))) / 2).otherwise(F.element_at(a, F.least(k + 1, F.size(a))))
@@ -121,11 +125,17 @@ def collapse(v: View, text: str, by: str | list[str] = "") -> View:
     df = v.df
     if any(s in ("first", "last", "firstnm", "lastnm") for s, _, _ in items):
         df = numbered(df, v.total_order(), "__rank")
-    aggs = [aggregate(v, s, src).alias(t) for s, t, src in items]
+    # a variable's values are collected and sorted once, whatever the number of its percentiles
+    ranked = sorted({src for s, _, src in items if percentile_of(s) is not None and v.kinds[src] == "n"})
+    aggs = [aggregate(v, s, src).alias(t) for s, t, src in items if not (src in ranked and percentile_of(s) is not None)]
+    aggs += [F.collect_list(F.col(f"`{src}`").cast("double")).alias(f"__a{i}") for i, src in enumerate(ranked)]
     if keys:
         out = df.groupBy(*[v.key(k).alias(k) for k in keys]).agg(*aggs)
     else:
         out = df.agg(*aggs, F.count(F.lit(1)).alias("__n")).where("__n > 0").drop("__n")
+    if ranked:
+        out = out.withColumns({f"__a{i}": F.array_sort(f"__a{i}") for i in range(len(ranked))})
+        out = out.select(*keys, *[percentile_at(F.col(f"__a{ranked.index(src)}"), percentile_of(s)).alias(t) if src in ranked and percentile_of(s) is not None else F.col(f"`{t}`") for s, t, src in items])
     meta = {k: v.meta[k] for k in keys if k in v.meta}
     meta |= {t: Meta(label=f"({s}) {src}", fmt=v.meta.get(src, Meta()).fmt if s not in ("count", "sd") else "") for s, t, src in items}
     return v.then(out, f"collapse {text}{', by(' + ' '.join(keys) + ')' if keys else ''}", order=tuple((k, False) for k in keys), meta=meta)
