@@ -30,8 +30,8 @@ SEED = "mix-1"
 TEMPER = 0.5
 #: Means above this are drawn as a sum of equal Poisson parts, so the inversion's terms never vanish.
 PART = 16.0
-#: The rate table is broadcast if its sources' names fit in this many characters; else the join is salted.
-BROADCAST_CHARS = 4_000_000
+#: The rate table is broadcast if its sources' names and distributions fit in this many bytes; else the join is salted.
+BROADCAST_BYTES = 4_000_000
 SALTS = 64
 _UNIT = 2.0**52
 
@@ -42,24 +42,29 @@ def uniform(*keys: F.Column) -> F.Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(_UNIT)
 
 
-def poisson(mean: F.Column, *keys: F.Column) -> F.Column:
-    """A Poisson number of the given mean: how many terms of the distribution function lie at or below the uniform."""
+def pieces(mean: F.Column) -> F.Column:
+    return F.greatest(F.lit(1), F.ceil(mean / PART)).cast("int")
 
-    def draw(part_mean: F.Column, u: F.Column) -> F.Column:
-        # a struct (k, term, sum): step while the sum is at or below u; 96 terms are beyond 1 - 2^-53 for a mean of 16
-        start = F.struct(F.lit(0).alias("k"), F.exp(-part_mean).alias("term"), F.exp(-part_mean).alias("total"))
 
-        def step(acc, _):
-            k = acc["k"] + 1
-            term = acc["term"] * part_mean / k
-            return F.when(acc["total"] <= u, F.struct(k.alias("k"), term.alias("term"), (acc["total"] + term).alias("total"))).otherwise(acc)
+def distribution(mean: F.Column) -> F.Column:
+    """The values of the Poisson distribution function at 0, 1, ..., 95 (beyond 1 - 2^-53 for a mean of PART), of mean / pieces."""
+    share = mean / pieces(mean)
+    start = F.struct(F.exp(-share).alias("term"), F.array(F.exp(-share)).alias("sums"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(96)), start, step, lambda acc: acc["k"])
+    def step(acc, k):
+        term = acc["term"] * share / k
+        return F.struct(term.alias("term"), F.concat(acc["sums"], F.array(F.element_at(acc["sums"], -1) + term)).alias("sums"))
 
-    n = F.greatest(F.lit(1), F.ceil(mean / PART)).cast("int")
-    share = mean / n
-    many = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + draw(share, uniform(*keys, i)))
-    return F.when(mean > 0, many).otherwise(F.lit(0)).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(95)), start, step, lambda acc: acc["sums"])
+
+
+def poisson(sums: F.Column, n: F.Column, *keys: F.Column) -> F.Column:
+    """A Poisson number: how many values of the distribution function lie at or below the uniform; the sum of n such draws."""
+
+    def draw(u: F.Column) -> F.Column:
+        return F.size(F.filter(sums, lambda x: x <= u))
+
+    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + draw(uniform(*keys, i)))
 
 
 def rates(counts: dict[str, int], weights: dict[str, float] | None = None, rows: float | None = None, temper: float = TEMPER, other: float = 0.0) -> dict[str, float]:
@@ -88,14 +93,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, rows: float |
     sums = per.agg(F.sum("__w").alias("w"), F.sum("__n").alias("n"), F.count(F.lit(1)).alias("k"), F.max(F.length("__source")).alias("l")).first()
     total, wanted = float(sums["w"] or 0.0), float(sums["n"] or 0) if rows is None else float(rows)
     mean = F.col("__w") / F.lit(total if total else 1.0) * F.lit(wanted) / F.col("__n")
-    rate = per.select("__source", mean.alias("__mean"))
-    if (sums["k"] or 0) * ((sums["l"] or 0) + 16) <= BROADCAST_CHARS:
+    # the distribution function is worked out once a source, and a row only looks its number up
+    rate = per.where(mean > 0).select("__source", pieces(mean).alias("__pieces"), distribution(mean).alias("__sums"))
+    if (sums["k"] or 0) * ((sums["l"] or 0) + 800) <= BROADCAST_BYTES:
         rated = docs.withColumn("__source", source).join(F.broadcast(rate), "__source")
     else:  # each source's rate once for every salt, so that a source of a third of all rows is dealt to SALTS tasks
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
         salted = rate.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rated = docs.withColumn("__source", source).withColumn("__salt", salt).join(salted, ["__source", "__salt"])
-    n = poisson(F.col("__mean"), F.lit(seed), F.col("doc_id"))
+    n = poisson(F.col("__sums"), F.col("__pieces"), F.lit(seed), F.col("doc_id"))
     copies = rated.withColumn("__copies", n).where("__copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     key = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary")), 1, 15)
     keyed = copies.withColumn("shuffle_key", F.conv(key, 16, 10).cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns], "copy", "shuffle_key")
