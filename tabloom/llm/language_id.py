@@ -103,7 +103,8 @@ def points(text: str) -> np.ndarray:
 class Model:
     """Languages with their automata; built anew in each worker from the samples alone."""
 
-    FLAG = np.int32(1 << 30)
+    #: Above the bits of a state: how many phrases a step ends.
+    SHIFT = 29
 
     def __init__(self, samples: dict[str, str]):
         self.samples = {k: samples[k] for k in sorted(samples)}
@@ -123,10 +124,11 @@ class Model:
         for k in self.languages:
             auto = Automaton(self.codes[texts[k]])
             t = np.empty((len(auto.next), self.width), np.int32)
-            t[:] = base | self.FLAG  # nothing follows: the phrase ends, and one that can't even begin is a phrase itself
+            t[:] = base | 2 << self.SHIFT  # a character that no phrase begins with ends the phrase and is one itself
+            t[0] = base | 1 << self.SHIFT
             for c, q in auto.next[0].items():
                 if c != 1:
-                    t[:, c] = (base + q * self.width) | self.FLAG
+                    t[:, c] = (base + q * self.width) | 1 << self.SHIFT  # the phrase ends, the next begins
             for state, step in enumerate(auto.next):
                 for c, q in step.items():
                     if c != 1:
@@ -146,14 +148,14 @@ class Model:
         state = np.tile(np.array(self.roots, np.int32), (len(windows), 1))
         count = np.zeros(state.shape, np.int32)
         active = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right") if len(sizes) else []
-        low, thirty = np.int32(self.FLAG - 1), np.int32(30)
+        low, shift = np.int32((1 << self.SHIFT) - 1), np.int32(self.SHIFT)
         for t, m in enumerate(active):
             s = state[:m]
             s += flat[starts[:m] + t][:, None]
             v = self.table.take(s)
-            count[:m] += v >> thirty
+            count[:m] += v >> shift
             np.bitwise_and(v, low, out=s)
-        count += 1  # the phrase that each window ends in
+        count += state != np.array(self.roots, np.int32)  # the phrase that a window ends in
         out = np.empty_like(count)
         out[order] = count
         return out
