@@ -40,7 +40,7 @@ def test_page_without_article():
     assert html_text.main_text(page) == "A title Text that is long enough to be the article of this page, and goes on so that it surges. Yes. More é x <b>."
 
 
-@pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("<p>", ""), ("plain", "plain"), ("<script>x</script>", ""), ("<article><p>a<p>b<br>c", "a b c"), ('<article><p title="a>b">q</p></article>', "q"), ('<p title="never closed>q', ""), ("<" * 5000, "<" * 5000)])
+@pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("<p>", ""), ("plain", "plain"), ("<script>x</script>", ""), ("<article><p>a<p>b<br>c", "a b c"), ('<article><p title="a>b">q</p></article>', "q"), ('<p title="never closed>q', "q"), ("<" * 5000, "<" * 5000)])
 def test_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
@@ -139,7 +139,7 @@ def test_phrases_by_brute_force():
                     size += 1
                 at, n = at + max(1, size), n + 1
             got = int(m.phrases([m.codes[language_id.points(text)]])[0][k])
-            assert abs(got - n) <= 1, (text, lang)  # a phrase that ends with the text or just before it
+            assert got == n, (text, lang)
 
 
 def test_held_out_accuracy(spark, sf):
