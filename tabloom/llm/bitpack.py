@@ -43,7 +43,7 @@ BLOCK_IDS = 65536
 SHARD_IDS = 1 << 19
 #: Characters encoded at once, and pieces kept by a worker: bounds of memory, not of the input.
 BATCH_CHARS = 1 << 20
-CACHED_PIECES = 200_000
+CACHED_PIECES = 350_000
 #: Marks that form a piece of their own after a run of letters, however many.
 _MARKS = ".,;:!?*#%&$"
 
