@@ -25,8 +25,8 @@ def percentile_of(stat: str) -> float | None:
     return float(m[1]) if m and 0 < int(m[1]) < 100 else None
 
 
-def exact_percentile(x: Column, p: float) -> Column:
-    return percentile_at(F.array_sort(F.collect_list(x)), p)
+#: Rows of a group from which its percentiles come from ranks dealt over partitions instead of an array in one task.
+LARGE_GROUP = 1_000_000
 
 
 def percentile_at(a: Column, p: float) -> Column:
@@ -81,7 +81,70 @@ def aggregate(v: View, stat: str, source: str, rank: str = "__rank") -> Column:
         return (F.min_by if stat == "first" else F.max_by)(c, F.col(rank))
     if stat in ("firstnm", "lastnm"):
         return (F.min_by if stat == "firstnm" else F.max_by)(c, F.when(there, F.col(rank)))
-    return exact_percentile(x, percentile_of(stat))
+    raise VerbError(f"{stat} is no aggregate of a row at a time", 198)
+
+
+def grouped(df: DataFrame, keys: list[str], aggs: list[Column], wanted: list[tuple[str, str, float]], large: int | None = None) -> DataFrame:
+    """keys, aggs, and a column for each (name, source, p) of wanted: the exact percentiles of the group's values.
+
+    A count of each group's rows comes first.  While the largest group stays under
+    LARGE_GROUP rows, a group's values are one array, sorted once a source; beyond
+    it, values are ranked across partitions.  Both give the same result.
+    """
+    sources = sorted({src for _, src, _ in wanted})
+    if not wanted:
+        return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] if keys else df.count()
+    if (rows or 0) <= (LARGE_GROUP if large is None else large):
+        lists = [F.collect_list(F.col(f"`{src}`").cast("double")).alias(f"__a{i}") for i, src in enumerate(sources)]
+        out = df.groupBy(*keys).agg(*aggs, *lists) if keys else df.agg(*aggs, *lists)
+        out = out.withColumns({f"__a{i}": F.array_sort(f"__a{i}") for i in range(len(sources))})
+        return out.withColumns({t: percentile_at(F.col(f"__a{sources.index(src)}"), p) for t, src, p in wanted}).drop(*[f"__a{i}" for i in range(len(sources))])
+    ranked = ranked_percentiles(df, keys, sources, wanted)
+    names = [t for t, _, _ in wanted]
+    if not keys:
+        row = ranked.first()
+        return df.agg(F.count(F.lit(1)).alias("__rows"), *aggs).drop("__rows").withColumns({t: F.lit(row[t]).cast("double") for t in names})
+    out = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*[F.col(f"`{k}`") for k in keys]).distinct()
+    other = ranked.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], *[F.col(f"`{t}`") for t in names])
+    on = [out[f"`{k}`"].eqNullSafe(other[f"__k{i}"]) for i, k in enumerate(keys)]
+    return out.join(other, on, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+
+
+def ranked_percentiles(df: DataFrame, keys: list[str], sources: list[str], wanted: list[tuple[str, str, float]]) -> DataFrame:
+    """Percentiles by ranks: no task holds a group.
+
+    A group's values are counted (partial counts before the shuffle), dealt by
+    ranges of (keys, source, value), and each range's count shifts the ranks of
+    the ranges after it; a group has at most one such count a partition.
+    """
+    by = [F.col(f"`{k}`") for k in keys]
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{src}`").cast("double").alias("x")) for i, src in enumerate(sources)]))
+    names = [f"__g{i}" for i in range(len(keys))]
+    values = df.select(*[k.alias(g) for k, g in zip(by, names, strict=True)], cells.alias("c")).select(*names, "c.i", "c.x").where("x IS NOT NULL")
+    counts = values.groupBy(*names, "i", "x").agg(F.count(F.lit(1)).alias("n"))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = fixed(counts.repartitionByRange(parts, *names, "i", "x").withColumn("p", F.spark_partition_id()))
+    group = [*names, "i"]
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    spans = dealt.groupBy(*group, "p").agg(F.sum("n").alias("s"))
+    spans = spans.select(*[F.col(g).alias(f"{g}_") for g in group], F.col("p").alias("p_"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("before"), F.sum("s").over(whole).alias("total"))
+    on = [dealt[g].eqNullSafe(spans[f"{g}_"]) for g in names] + [dealt["i"] == spans["i_"], dealt["p"] == spans["p_"]]
+    up = F.sum("n").over(Window.partitionBy(*group, "p").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = dealt.join(spans, on).select(*group, "x", "n", "total", (F.col("before") + up).alias("hi"))
+    ends = {}
+    for t, src, p in wanted:
+        k, whole_rank = F.expr(f"total * {int(p)} div 100"), F.col("total") * int(p) % 100 == 0
+        mine = F.col("i") == sources.index(src)
+        ends[t] = [mine & (r > F.col("hi") - F.col("n")) & (r <= F.col("hi")) for r in (F.when(whole_rank, F.greatest(k, F.lit(1))).otherwise(k + 1), F.least(k + 1, F.col("total")))]
+    any_end = None
+    for low, high in ends.values():
+        any_end = low | high if any_end is None else any_end | low | high
+    at = [((F.max(F.when(low, F.col("x"))) + F.max(F.when(high, F.col("x")))) / 2).alias(t) for t, (low, high) in ends.items()]
+    found = ranks.where(any_end)
+    out = found.groupBy(*names).agg(*at) if names else found.agg(*at)
+    return out.select(*[F.col(g).alias(k) for g, k in zip(names, keys, strict=True)], *[F.col(f"`{t}`") for t in ends])
 
 
 def by_keys(v: View, by: str | list[str]) -> list[str]:
@@ -125,17 +188,18 @@ def collapse(v: View, text: str, by: str | list[str] = "") -> View:
     df = v.df
     if any(s in ("first", "last", "firstnm", "lastnm") for s, _, _ in items):
         df = numbered(df, v.total_order(), "__rank")
-    # a variable's values are collected and sorted once, whatever the number of its percentiles
-    ranked = sorted({src for s, _, src in items if percentile_of(s) is not None and v.kinds[src] == "n"})
-    aggs = [aggregate(v, s, src).alias(t) for s, t, src in items if not (src in ranked and percentile_of(s) is not None)]
-    aggs += [F.collect_list(F.col(f"`{src}`").cast("double")).alias(f"__a{i}") for i, src in enumerate(ranked)]
-    if keys:
-        out = df.groupBy(*[v.key(k).alias(k) for k in keys]).agg(*aggs)
-    else:
-        out = df.agg(*aggs, F.count(F.lit(1)).alias("__n")).where("__n > 0").drop("__n")
-    if ranked:
-        out = out.withColumns({f"__a{i}": F.array_sort(f"__a{i}") for i in range(len(ranked))})
-        out = out.select(*keys, *[percentile_at(F.col(f"__a{ranked.index(src)}"), percentile_of(s)).alias(t) if src in ranked and percentile_of(s) is not None else F.col(f"`{t}`") for s, t, src in items])
+    ranked = [(t, src, percentile_of(s)) for s, t, src in items if percentile_of(s) is not None]
+    for t, src, _ in ranked:
+        if v.kinds[src] == "s":
+            raise VerbError(f"percentile of the string variable {src}", 109)
+    aggs = [aggregate(v, s, src).alias(t) for s, t, src in items if percentile_of(s) is None]
+    # keys under other names, as a source may be a key too
+    tags = [f"__by{i}" for i in range(len(keys))]
+    df = df.withColumns({g: v.key(k) for g, k in zip(tags, keys, strict=True)}) if keys else df
+    out = grouped(df, tags, aggs if keys else [*aggs, F.count(F.lit(1)).alias("__n")], ranked)
+    if not keys:
+        out = out.where("__n > 0")
+    out = out.select(*[F.col(g).alias(k) for g, k in zip(tags, keys, strict=True)], *[F.col(f"`{t}`") for t in targets])
     meta = {k: v.meta[k] for k in keys if k in v.meta}
     meta |= {t: Meta(label=f"({s}) {src}", fmt=v.meta.get(src, Meta()).fmt if s not in ("count", "sd") else "") for s, t, src in items}
     return v.then(out, f"collapse {text}{', by(' + ' '.join(keys) + ')' if keys else ''}", order=tuple((k, False) for k in keys), meta=meta)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import VerbError
 from ..plans.view import Meta, View
-from .aggregate import aggregate, exact_percentile, global_percentiles, percentile_of
+from .aggregate import aggregate, global_percentiles, grouped, percentile_of
 
 DETAIL = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 MOST_ROWS, MOST_COLUMNS, MOST_LEVELS, MOST_GROUPS, MOST_BINS = 10_000, 30, 5_000, 200, 1_000
@@ -192,21 +192,23 @@ def tabstat(v: View, names: str, stats: str = "mean", by: str = "") -> DataFrame
             return F.var_samp(x)
         if s == "range":
             return F.max(x) - F.min(x)
-        if s not in ("mean", "sd", "sum", "min", "max") and percentile_of(s) is None:
+        if s not in ("mean", "sd", "sum", "min", "max"):
             raise VerbError(f"unknown statistic {s}")
-        return exact_percentile(x, percentile_of(s)) if percentile_of(s) else aggregate(v, s, n).cast("double")
+        return aggregate(v, s, n).cast("double")
 
-    aggs = [F.struct(F.lit(n).alias("variable"), *[one(n, s).alias(s) for s in wanted]).alias(f"s{i}") for i, n in enumerate(got)]
-    df = v.df
+    cells = [(f"s{i}_{k}", n, s) for i, n in enumerate(got) for k, s in enumerate(wanted)]
+    aggs = [one(n, s).alias(c) for c, n, s in cells if percentile_of(s) is None]
+    ranked = [(c, n, percentile_of(s)) for c, n, s in cells if percentile_of(s) is not None]
+    df, keys = v.df, []
     if by:
         g = v.expand(by, wild=False)[0]
-        df = df.where(there(v, g)).groupBy(label_text(v, g).alias("group")).agg(*aggs)
-        if df.select("group").limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
+        df, keys = df.where(there(v, g)).withColumn("__group", label_text(v, g)), ["__group"]
+        if df.select("__group").distinct().limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
             raise VerbError(f"{g} has more than {MOST_GROUPS} values", 134)
-    else:
-        df = df.agg(*aggs)
-    out = df.select(*(["group"] if by else []), F.explode(F.array(*[f"s{i}" for i in range(len(got))])).alias("s"))
-    return out.select(*(["group"] if by else []), "s.*")
+    out = grouped(df, keys, aggs, ranked)
+    lines = [F.struct(F.lit(n).alias("variable"), *[F.col(f"s{i}_{k}").alias(s) for k, s in enumerate(wanted)]) for i, n in enumerate(got)]
+    group = [F.col("__group").alias("group")] if by else []
+    return out.select(*group, F.explode(F.array(*lines)).alias("s")).select(*(["group"] if by else []), "s.*")
 
 
 def _corr(a: Column, b: Column) -> Column:

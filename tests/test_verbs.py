@@ -56,6 +56,20 @@ def test_percentile_rule_by_brute_force(spark):
         assert A.global_percentiles(v.df, "x", list(want)) == want
 
 
+def test_percentiles_of_large_groups_are_those_of_small_ones(spark, monkeypatch):
+    rows_ = [(None if k % 7 == 0 else f"g{k % 3}", k % 2, None if k % 11 == 0 else float(k * k % 97), float(k)) for k in range(400)] + [("alone", 0, None, 1.0)]
+    v = boundary(spark.createDataFrame(rows_, "g string, h int, x double, y double"))
+    text = "(p1) a=x (median) b=x (p90) c=x (p50) d=y (mean) e=y (p25) f=h"
+    calls = [lambda by=by: rows(A.collapse(v, text, by)) for by in ("g", "g h", "")]
+    calls += [lambda: rows(A.collapse(v, "(p10) x", "g")), lambda: sorted(map(tuple, X.tabstat(v, "x y", "p50 mean p5", "g").collect())), lambda: sorted(map(tuple, X.tabstat(v, "x", "median").collect()))]
+    small = [c() for c in calls]
+    monkeypatch.setattr(A, "LARGE_GROUP", 0)
+    assert [c() for c in calls] == small
+    empty = C.keep_if(v, "y > 1000")
+    assert rows(A.collapse(empty, text, "g")) == rows(A.collapse(empty, text)) == []
+    assert "alone" in [r[0] for r in small[0]] and small[0][[r[0] for r in small[0]].index("alone")][1:4] == (None, None, None)
+
+
 def test_merge(panel, using):
     with pytest.warns(UserWarning):
         v = T.merge(panel, "m:1", "id", using)
