@@ -32,6 +32,7 @@ class Value:
     kind: str
     col: Column
     missing: bool = False  # the literal missing value
+    sure: bool = False  # a number that needs no further check of its range
 
 
 def number_text(x) -> str:
@@ -193,14 +194,14 @@ class Parser:
                 v = Value("s", F.concat(self.string(v), self.string(w)))
             else:
                 x, y = self.number(v), self.number(w)
-                v = Value("n", finite(x + y if op == "+" else x - y))
+                v = Value("n", finite(x + y if op == "+" else x - y), sure=True)
         return v
 
     def term(self) -> Value:
         v = self.unary()
         while op := self.take("*", "/"):
             x, y = self.number(v), self.number(self.unary())
-            v = Value("n", finite(x * y) if op == "*" else finite(F.try_divide(x, y)))
+            v = Value("n", finite(x * y) if op == "*" else finite(F.try_divide(x, y)), sure=True)
         return v
 
     def unary(self) -> Value:
@@ -217,7 +218,7 @@ class Parser:
             sign = 1
             while op := self.take("-", "+"):
                 sign = -sign if op == "-" else sign
-            v = Value("n", finite(F.pow(self.number(v), sign * self.number(self.primary()))))
+            v = Value("n", finite(F.pow(self.number(v), sign * self.number(self.primary()))), sure=True)
         return v
 
     def primary(self) -> Value:
@@ -282,7 +283,7 @@ class Parser:
         return Value("n", F.abs(self.number(v)))
 
     def f_exp(self, v):
-        return Value("n", finite(F.exp(self.number(v))))
+        return Value("n", finite(F.exp(self.number(v))), sure=True)
 
     def f_ln(self, v):
         x = self.number(v)
@@ -344,10 +345,10 @@ class Parser:
         return Value("b", out)
 
     def f_strlen(self, v):
-        return Value("n", F.octet_length(self.string(v)).cast("double"))
+        return Value("n", F.octet_length(self.string(v)).cast("double"), sure=True)
 
     def f_ustrlen(self, v):
-        return Value("n", F.char_length(self.string(v)).cast("double"))
+        return Value("n", F.char_length(self.string(v)).cast("double"), sure=True)
 
     def f_upper(self, v):
         return Value("s", F.translate(self.string(v), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
@@ -398,7 +399,7 @@ class Parser:
     def f_real(self, v):
         s = F.trim(self.string(v))
         plain = s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-        return Value("n", F.when(plain, finite(s.try_cast("double"))))
+        return Value("n", F.when(plain, finite(s.try_cast("double"))), sure=True)
 
     def f_regexm(self, v, pattern):
         p = self.string(pattern)
@@ -407,7 +408,7 @@ class Parser:
         return Value("b", F.rlike(self.string(v), p))
 
     def _of_date(self, v, part):
-        return Value("n", part(date_of_days(self.number(v))).cast("double"))
+        return Value("n", part(date_of_days(self.number(v))).cast("double"), sure=True)
 
     def f_year(self, v):
         return self._of_date(v, F.year)
@@ -428,16 +429,18 @@ class Parser:
         return self._of_date(v, F.dayofyear)
 
     def f_mdy(self, m, d, y):
-        return Value("n", days_of(self.number(y), self.number(m), self.number(d)))
+        return Value("n", days_of(self.number(y), self.number(m), self.number(d)), sure=True)
 
     def f_dofm(self, v):
-        m = down(self.number(v))
-        year = 1960 + down(m / 12)
-        return Value("n", days_of(year, m - 12 * (year - 1960) + 1, F.lit(1.0)))
+        m = self.number(v)
+        first = F.lit("1960-01-01").cast("date")
+        # months of the years 0 to 9999
+        whole = F.when((m >= -23_520) & (m < 96_480), F.floor(m)).cast("int")
+        return Value("n", F.datediff(F.add_months(first, whole), first).cast("double"), sure=True)
 
     def f_mofd(self, v):
         d = date_of_days(self.number(v))
-        return Value("n", ((F.year(d) - 1960) * 12 + F.month(d) - 1).cast("double"))
+        return Value("n", ((F.year(d) - 1960) * 12 + F.month(d) - 1).cast("double"), sure=True)
 
     def f_yofd(self, v):
         return self.f_year(v)

@@ -55,7 +55,7 @@ def gen(v: View, name: str, expression: str, storage: str = "", condition: str =
         raise VerbError(f"unknown storage type {storage}")
     if storage and storage.startswith("str") != string:
         raise VerbError("the storage type does not fit the expression", 109)
-    col = F.coalesce(x.col, F.lit("")) if string else (F.when(x.col, 1.0).when(~x.col, 0.0) if x.kind == "b" else finite(x.col.cast("double")))
+    col = F.coalesce(x.col, F.lit("")) if string else (F.when(x.col, 1.0).when(~x.col, 0.0) if x.kind == "b" else x.col if x.sure else finite(x.col.cast("double")))
     if condition:
         c, more = v.condition(condition)
         uses = uses | more
@@ -77,7 +77,7 @@ def replace(v: View, name: str, expression: str, condition: str = "") -> View:
     if x.kind == "s":
         new = F.coalesce(x.col, F.lit(""))
     else:
-        new = F.when(x.col, 1.0).when(~x.col, 0.0) if x.kind == "b" else finite(x.col.cast("double"))
+        new = F.when(x.col, 1.0).when(~x.col, 0.0) if x.kind == "b" else x.col if x.sure else finite(x.col.cast("double"))
         old = old.cast("double")
     if condition:
         c, _ = v.condition(condition)
