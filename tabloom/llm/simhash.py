@@ -102,16 +102,16 @@ def forest(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every document; no shuffle."""
+    """doc_id, text_hash (of the text) and fp (the 64 bits as a signed long) of every document; no shuffle."""
 
     def run(batches):
         kept("simhash")
         for batch in batches:
             fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    slim = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    slim = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return slim.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
@@ -147,13 +147,28 @@ def links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """doc_id, fp and component_id of every document."""
+    """doc_id, text_hash, fp, root (a fingerprint that names the group) and component_id of every document."""
     prints = written(fingerprints(docs, words), "simhash")
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(classes.select("fp"), radius, hot))
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(named.join(smallest, "root").select("fp", "component_id"), "fp")
+    return prints.join(named.join(smallest, "root").select("fp", "root", "component_id"), "fp")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """One row of each group of near duplicates, all columns as they were.
+
+    The row with the smallest doc_id stays (an id before none; of rows with equal
+    ids that with the smallest text_hash; of equal rows any one), so rows without
+    an id and different texts under one id are each judged by their own group.
+    """
+    found = near_duplicates(docs, words, radius)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")).alias("k"))
+    keep = first.select(F.col("k.z").alias("__none"), F.coalesce("k.doc_id", F.lit(0)).alias("__id"), F.col("k.text_hash").alias("__text"))
+    own = docs.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__text": F.xxhash64("text")})
+    key = ["__none", "__id", "__text"]  # never null, so the join's partitions serve what follows
+    return own.join(keep, key, "left_semi").dropDuplicates(key).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,6 +245,13 @@ def test_model_beats_the_base_on_held_out_text(spark, sf):
 # -- pipeline
 
 
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(1, a, "x"), (1, b, "y"), (None, c, "z"), (None, d, "w"), (-1, d, "v"), (5, a, "u"), (1, a, "x"), (None, None, "n"), (7, "", "e"), (8, None, "f")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, a), (1, b), (None, c), (-1, d), (7, "")], key=str)
+
+
 def test_pipeline_by_brute_force(spark, sf):
     docs = sorted(((r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()))
     samples = language_id.learn(spark.read.parquet(f"{sf}/documents.parquet").where(~language_id.held_out()))
