@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import re
 import tempfile
 import uuid
 import zlib
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,10 +103,6 @@ def kept(key, build=None):
         if _KEPT:
             _KEPT.clear()
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only: hand freed memory back to the machine
-            if trim:
-                trim(0)
         if build:
             _KEPT[key] = build()
     return _KEPT.get(key)
