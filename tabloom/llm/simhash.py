@@ -164,7 +164,16 @@ def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Da
     an id and different texts under one id are each judged by their own group.
     """
     found = near_duplicates(docs, words, radius)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")).alias("k"))
+    return rows_that_stay(docs, found.groupBy("root").agg(F.min(id_order()).alias("k")))
+
+
+def id_order() -> F.Column:
+    """By what a group's rows are ordered: doc_id and text_hash, an id before none."""
+    return F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
+
+
+def rows_that_stay(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of docs that are the first (k, by id_order) of their groups, each once."""
     keep = first.select(F.col("k.z").alias("__none"), F.coalesce("k.doc_id", F.lit(0)).alias("__id"), F.col("k.text_hash").alias("__text"))
     own = docs.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__text": F.xxhash64("text")})
     key = ["__none", "__id", "__text"]  # never null, so the join's partitions serve what follows
