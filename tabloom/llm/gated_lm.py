@@ -13,10 +13,12 @@
    is spelt (its ending), within which it has its add-one share of the corpus
    counts.  A word that training never met is its class's one unknown word, of
    count zero, as in the base score.  So the distribution sums to 1.
-   Weights are fitted by truncated backpropagation in numpy on a bounded sample
-   of training documents: whole documents in the order of a hash of their ids,
-   until FIT_TOKENS tokens (the documented bound; FIT_ROWS rows at most).
-   Classes, shares and counts come from the whole corpus and grow with it.
+   Weights are fitted by truncated backpropagation in numpy on all tokens of
+   training documents: each block trains its own copy of common first weights,
+   and the copies' weights are averaged by their tokens.  The first weights come
+   from a bounded sample (beginnings of documents in the order of a hash of
+   their ids, until FIT_TOKENS tokens; FIT_ROWS rows and FIT_CHARS characters a
+   row at most).  Classes, shares and counts come from the whole corpus.
 4. Scoring.  Lanes of documents advance together, in windows of STEPS tokens;
    the state is carried across windows to the end of a document and cleared
    there, so the score is the log-likelihood of the complete document.
@@ -52,7 +54,9 @@ STEPS = 24
 LANES = 512
 FIT_ROWS = 512
 FIT_TOKENS = 240_000
+FIT_CHARS = 8_192
 FIT_LANES = 64
+BLOCK_LANES = 256
 FIT_STEPS = 16
 FIT_PASSES = 2
 RATE = 0.004
@@ -225,16 +229,17 @@ class Gru:
                 out[rows] += inner[np.arange(len(rows)), self.v.place[inputs[rows]]] - peak - np.log(np.exp(inner - peak[:, None]).sum(axis=1))
         return out
 
-    def fit(self, documents: list[np.ndarray], classes: np.ndarray, passes: int = FIT_PASSES, lanes: int = FIT_LANES, steps: int = FIT_STEPS, rate: float = RATE, seed: int = 11) -> None:
-        """Truncated backpropagation, Adam; documents: input numbers with the end token last; classes: of each input number."""
+    def fit(self, documents: list[np.ndarray], classes: np.ndarray, passes: int = FIT_PASSES, lanes: int = FIT_LANES, steps: int = FIT_STEPS, rate: float = RATE, seed: int = 11, fresh: bool = True) -> None:
+        """Truncated backpropagation, Adam; documents: input numbers with the end token last; classes: of each input number; fresh: biases begin at the documents' shares."""
         documents = [d for d in documents if len(d)]
         if not documents:
             return
         rng = np.random.default_rng(seed)
-        tally = np.bincount(np.concatenate(documents), minlength=self.v.inputs) + 0.5
-        per_class = np.bincount(classes, weights=tally, minlength=self.v.classes)
-        self.p["c"][:] = np.log(per_class / per_class.sum())
-        self.p["w"][:] = np.log(tally[: len(self.v.head)])
+        if fresh:
+            tally = np.bincount(np.concatenate(documents), minlength=self.v.inputs) + 0.5
+            per_class = np.bincount(classes, weights=tally, minlength=self.v.classes)
+            self.p["c"][:] = np.log(per_class / per_class.sum())
+            self.p["w"][:] = np.log(tally[: len(self.v.head)])
         moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
         t = 0
         total = passes * (sum(map(len, documents)) // (lanes * steps) + 1)
@@ -372,7 +377,7 @@ def fit_sample(docs: DataFrame, rows: int = FIT_ROWS, tokens: int = FIT_TOKENS)
         return []
     sized = train.withColumn("h", key).where((F.col("h") <= ids[-1]) & (F.length("text") > 0))
     out, total = [], 0
-    for r in sized.select("h", "text").orderBy("h", "text").limit(rows).toLocalIterator():
+    for r in sized.select("h", F.substring("text", 1, FIT_CHARS).alias("text")).orderBy("h", "text").limit(rows).toLocalIterator():
         w = words_of(r["text"])
         out.append(w)
         total += len(w) + 1
@@ -381,6 +386,46 @@ def fit_sample(docs: DataFrame, rows: int = FIT_ROWS, tokens: int = FIT_TOKENS)
     return out
 
 
+def fit_blocks(paired: DataFrame, model: Gru, classes: np.ndarray, rounds: int = 8) -> int:
+    """Fits the model on every training token: one pass over each block from the model's weights, then their average; the tokens fitted."""
+    shapes = {k: v.shape for k, v in model.p.items()}
+    schema = "tokens long, weights binary"
+
+    def summed(rows):
+        tokens, total = 0, None
+        for n, raw in rows:
+            w = np.frombuffer(raw, np.float64)
+            tokens, total = tokens + n, w if total is None else total + w
+        return pa.RecordBatch.from_arrays([pa.array([tokens] if tokens else [], pa.int64()), pa.array([total.tobytes()] if tokens else [], pa.binary())], names=["tokens", "weights"])
+
+    def one(ids, lengths, codes, pairs):
+        at = np.asarray(pairs.field("idx"))
+        inputs = np.zeros(len(at), np.int64)
+        inputs[at] = np.asarray(pairs.field("input"))
+        cuts = np.cumsum(lengths)[:-1]
+        documents = [d for i, d in zip(ids, np.split(inputs[word_codes(codes)], cuts), strict=True) if not is_held_out(i)]
+        own = Gru(model.v, model.h)
+        own.p = {k: v.copy() for k, v in model.p.items()}
+        own.fit(documents, classes, passes=1, lanes=BLOCK_LANES, fresh=False)
+        n = sum(map(len, documents))
+        return n, (np.concatenate([v.reshape(-1) for v in own.p.values()]).astype(np.float64) * n).tobytes()
+
+    def run(batches):
+        yield summed(one(b.column(0)[k].as_py(), np.asarray(b.column(1)[k].values, np.int64), b.column(2)[k].as_py(), b.column(3)[k].values) for b in batches for k in range(b.num_rows))
+
+    def again(batches):
+        yield summed((b.column(0)[k].as_py(), b.column(1)[k].as_py()) for b in batches for k in range(b.num_rows))
+
+    # summed in partitions, then in a few tasks, so that the driver receives a few models whatever the number of blocks
+    rows = paired.select("doc_ids", "lengths", "codes", "counts").mapInArrow(run, schema).repartition(rounds).mapInArrow(again, schema).collect()
+    tokens = sum(r["tokens"] for r in rows)
+    if tokens:
+        flat = sum(np.frombuffer(r["weights"], np.float64) for r in rows) / tokens
+        for (k, shape), part in zip(shapes.items(), np.split(flat, np.cumsum([math.prod(s) for s in shapes.values()])[:-1]), strict=True):
+            model.p[k] = part.reshape(shape).astype(np.float32)
+    return tokens
+
+
 def score_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     spark = docs.sparkSession
     n = parts(spark)
@@ -404,6 +449,8 @@ def score_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     own = rows.select("block", "idx", "word").join(with_inputs(counts, vocabulary), "word").groupBy("block").agg(F.collect_list(F.struct("idx", "c", "input")).alias("counts"))
     paired = held.select("block", "doc_ids", "lengths", "codes").repartition(n, "block").join(own, "block")
+    paired = written(paired, "lm-paired")
+    fit_blocks(paired, model, classes)
 
     def run(batches):
         for batch in batches:
