@@ -28,6 +28,7 @@ import re
 import struct
 import zlib
 from array import array
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -145,7 +146,9 @@ class Encoder:
     a text's ids are those of its runs between blanks, end to end.  Each distinct
     run is encoded once by the library; a run of letters is lower-cased first if it
     is ASCII (the vocabulary's own rule), and the marks at its end encoded apart (a
-    piece of their own in any case).  What was met lately is kept, in two generations, so memory stays bounded.
+    piece of their own in any case).  A run that is not in normal form C goes to the
+    library as it is, marks included: normalised, its letters may end in a mark that
+    belongs to the piece after them.  What was met lately is kept, in two generations, so memory stays bounded.
     """
 
     def __init__(self, path: str):
@@ -197,7 +200,7 @@ class Encoder:
             if self.lowers and head.isalpha():
                 if run.isascii():
                     head = head.lower()
-                elif not head.lower().isalpha():
+                elif not (is_normalized("NFC", run) and head.lower().isalpha()):
                     odd.append(run)
                     continue
                 whole[run] = head

@@ -61,6 +61,18 @@ def test_runs_are_the_librarys_ids():
     assert [x.tolist() for x in enc.encode(texts)] == [x.ids for x in want]
 
 
+def test_runs_out_of_normal_form():
+    """Letters that normalisation takes apart join the mark after them; every character of the first planes, and long mixtures."""
+    enc, r = bitpack.Encoder(WORD), random.Random(9)
+    low = [chr(c) for c in range(0x20, 0x10000) if not 0xD800 <= c < 0xE000]
+    letters, marks = [c for c in low if c.isalpha()], [*" .,;:!?*#%&$"]
+    texts = ["\u091c\u095c,", "\u0917\u095d.", "\u09ac\u09dc,", "\u0a16\u0a59,", "\u0b15\u0b5c;", "\u05d0\ufb2a,", "\ufb2e.", *[f"a{c}, {c}.*b" for c in low]]
+    texts += ["".join(r.choice(kind if r.random() < 0.65 else marks) for _ in range(r.randint(1, 14))) for kind in (low, letters) for _ in range(20_000)]
+    for a in range(0, len(texts), 20_000):
+        some = texts[a : a + 20_000]
+        assert [x.tolist() for x in enc.encode(some)] == [x.ids for x in enc.library.encode_batch_fast(some, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 13, 16, 17, 31])
 def test_pack(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1003, dtype=np.uint64)
