@@ -196,6 +196,9 @@ class Encoder:
             new.difference_update(again)
         whole, words, odd = {}, set(), []
         for run in new:
+            if self.lowers and run.isascii() and run.isalpha() and run.islower():
+                words.add(run)  # the commonest case: its ids are kept under its own name below
+                continue
             head = run.rstrip(_MARKS)
             if self.lowers and head.isalpha():
                 if run.isascii():
