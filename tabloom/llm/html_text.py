@@ -1,16 +1,26 @@
 """HTML main-text extraction by line-block distribution.
 
 A page becomes a sequence of lines (one per block-level element or <br>), each
-with a weight.  Text lengths are summed over sliding windows of lines; where the
-sum surges over a threshold a region of text begins, where it dives to nothing
-the region ends, and every weighted line between the two points is kept, short
-ones too.  Markup that names its role (nav, footer, class="ad", ...) gives its
-lines weight zero; an <article> or <main> that the page declares limits the
-distribution to its lines, and there any text at all is a surge.
+weighing its text's length; a line that is mostly links weighs nothing, one in a
+declared <article> or <main> several times as much, and lines that markup gives to
+boilerplate (nav, footer, class="ad", ...) are no lines at all.  Lengths are summed
+over sliding windows of lines, which do not reach over the edge of an element that
+holds lines: where the sum surges over a threshold a region of text begins, where it
+dives to nothing (or the element ends) the region ends.  A page that never reaches
+the threshold surges at its own peak.
+
+The regions locate the article: its element is the innermost one that holds MOST of
+the text between surges and dives.  Everything in it is kept, short lines too, but
+for lists of links.  If that is only the page's body, whatever lies between the first
+surge and the last dive is kept, and of the rest the paragraphs and headings that
+stand directly in the body.
 
 Defined results: null or empty html gives the empty text; a page without any
-text line gives the empty text; rows are independent, so repeated rows give
-repeated results; further columns of the table are ignored.
+text line, or of links only, gives the empty text; unclosed elements, quotes and
+comments end with the page; a very long page costs time in proportion to its length,
+whatever its nesting; regions of equal weight are all kept; rows are independent, so
+repeated rows give repeated results; further columns of the table are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,10 +52,19 @@ MAIN_WORDS = frozenset("main article articlebody".split())
 #: Regions whose own <article> elements are not the page's article.
 DEEP = frozenset("comment comments commentlist disqus respond replies related recommended recommendations sidebar complementary".split())
 
+#: Elements that hold lines rather than being one: no window of lines reaches over their edges.
+BOXES = frozenset("article aside blockquote body center dd details dialog div dl fieldset figure footer form header html main menu nav ol section table tbody td tfoot th thead tr ul".split())
+#: Elements that are lines of running text.
+PROSE = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre".split())
+
 WINDOW = 3
 SURGE = 86
+#: How many times a line counts in an <article> or <main> that the page declares.
+DECLARED = 4.0
+#: Share of the text between surges and dives that the article's element holds.
+MOST = 0.9
 
-_TAG_END = re.compile(r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>""")
+_TAG_END = re.compile(r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>""")
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPLIT = re.compile(r"[^a-z]+")
@@ -67,146 +86,182 @@ def _roles(attrs: str) -> tuple[set[str], bool]:
     return words, hidden
 
 
-def lines_of(html: str) -> list[tuple[str, bool, float]]:
-    """(text, within a declared article, share of it in links) of each line that boilerplate markup does not own."""
-    out: list[tuple[str, bool, float]] = []
-    held: list[str] = []
-    linked = total = 0
-    stack: list[tuple[str, str]] = []  # (element, "" | "skip" | "deep" | "main" | "link")
-    skip = deep = main = link = 0
-    quotes = True
-    at, n = 0, len(html)
-
-    def text(raw: str) -> None:
-        nonlocal linked, total
-        if not skip and raw:
-            held.append(raw)
+class Line:
+    """A line of text: where it stands, and how much of it lies in links."""
+
+    __slots__ = ("box", "linked", "main", "prose", "run", "size", "text")
+
+    def __init__(self, text: str, box: int, run: int, main: bool, linked: float, prose: bool):
+        self.text, self.box, self.run, self.main, self.linked, self.prose = text, box, run, main, linked, prose
+        self.size = len(text)
+
+
+class Page:
+    """The lines of a page that boilerplate markup does not own, and the tree of the boxes that hold them.
+
+    One pass over the markup; each open element is found by its name's own list of
+    places, so that neither deep nesting nor stray closing tags are ever scanned for.
+    """
+
+    def __init__(self, html: str):
+        self.lines: list[Line] = []
+        self.parent, self.top = [0], [True]  # of each box; top: html and body, which hold whatever a page has
+        self._stack: list[tuple[str, str, int]] = []  # (element, role, box)
+        self._places: dict[str, list[int]] = {}
+        self._blocks: list[int] = []
+        self._skips: list[int] = []
+        self._open = {"skip": 0, "deep": 0, "main": 0, "link": 0}
+        self._held: list[str] = []
+        self._total = self._linked = self._run = 0
+        self._prose = False
+        self._read(html)
+        self._end_line()
+
+    def _box(self) -> int:
+        return self._stack[-1][2] if self._stack else 0
+
+    def _text(self, raw: str) -> None:
+        if raw and not self._open["skip"]:
+            self._held.append(raw)
             size = len(raw.strip())
-            total += size
-            if link:
-                linked += size
-
-    def end_line() -> None:
-        nonlocal linked, total
-        if held:
-            joined = "".join(held)
+            self._total += size
+            if self._open["link"]:
+                self._linked += size
+
+    def _end_line(self) -> None:
+        if self._held:
+            joined = "".join(self._held)
             line = " ".join((unescape(joined) if "&" in joined else joined).split())
             if line:
-                out.append((line, main > 0, linked / total if total else 0.0))
-            held.clear()
-        linked = total = 0
-
-    def count(kind: str, by: int) -> None:
-        nonlocal skip, deep, main, link
-        if kind in ("skip", "deep"):
-            skip += by
-            if kind == "deep":
-                deep += by
-        elif kind == "main":
-            main += by
-        elif kind == "link":
-            link += by
-
-    def close(index: int) -> None:
-        while len(stack) > index:
-            count(stack.pop()[1], -1)
-
-    while at < n:
-        lt = html.find("<", at)
-        if lt < 0:
-            text(html[at:])
-            break
-        if lt > at:
-            text(html[at:lt])
-        if html.startswith("<!--", lt):
-            end = html.find("-->", lt + 4)
-            at = n if end < 0 else end + 3
-            continue
-        named = _NAME.match(html, lt + 1)
-        if not named:
-            if html[lt + 1 : lt + 2] in ("!", "?", "/"):
-                end = html.find(">", lt)
-                at = n if end < 0 else end + 1
-            else:
-                text("<")
-                at = lt + 1
-            continue
-        name = named.group().lower()
-        end = _TAG_END.match(html, named.end()) if quotes else None
-        if end:
-            stop = end.end()
-        else:
-            quotes = False  # an unclosed quote: from here on tags end at the next ">", which keeps the scan linear
-            stop = html.find(">", named.end()) + 1 or n
-        attrs = html[named.end() : stop - 1]
-        at = stop
-        if name[0] == "/":
-            name = name[1:]
-            if name in BLOCK:
-                end_line()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name in BLOCK or all(x[0] not in BLOCK for x in stack[k + 1 :]):
-                        close(k)
-                    break
-            continue
-        if name in RAW:
-            if not attrs.endswith("/"):
-                closing = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
-                if closing:
-                    gt = html.find(">", closing.end())
-                    at = n if gt < 0 else gt + 1
-                elif name in ("script", "style", "textarea", "title", "template", "xmp"):
-                    at = n
-            continue
+                self.lines.append(Line(line, self._box(), self._run, self._open["main"] > 0, self._linked / self._total if self._total else 0.0, self._prose))
+            self._held.clear()
+        self._total = self._linked = 0
+
+    def _count(self, role: str, by: int) -> None:
+        if role:
+            self._open[role] += by
+            if role == "deep":
+                self._open["skip"] += by
+
+    def _push(self, name: str, role: str) -> None:
+        box = self._box()
+        if name in BOXES:
+            self.parent.append(box)
+            self.top.append(name in ("html", "body"))
+            box = len(self.parent) - 1
+            self._run += 1
+        at = len(self._stack)
+        self._stack.append((name, role, box))
+        self._places.setdefault(name, []).append(at)
         if name in BLOCK:
-            end_line()
-            if name != "br":
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
-        if name in VOID:
-            if name == "img" or name == "input":
-                text(" ")
-            continue
+            self._blocks.append(at)
+        if role in ("skip", "deep"):
+            self._skips.append(at)
+        self._count(role, 1)
+        self._prose = name in PROSE or (self._prose and name not in BLOCK)
+
+    def _close(self, index: int) -> None:
+        while len(self._stack) > index:
+            name, role, _ = self._stack.pop()
+            self._places[name].pop()
+            if name in BLOCK:
+                self._blocks.pop()
+            if role in ("skip", "deep"):
+                self._skips.pop()
+            self._count(role, -1)
+            if name in BOXES:
+                self._run += 1
+        self._prose = bool(self._blocks) and self._stack[self._blocks[-1]][0] in PROSE
+
+    def _role(self, name: str, attrs: str) -> str:
         words, hidden = _roles(attrs) if attrs.strip(" /") else (set(), False)
-        kind = ""
-        if name == "body" or (name == "article" and not words & BOILER_WORDS) or name == "main":
-            if skip and not deep:  # a region that was never closed does not swallow the page
-                close(next(k for k, x in enumerate(stack) if x[1] == "skip"))
-            kind = "main" if name != "body" else ""
-        elif words & DEEP and name not in ("html", "body"):
-            kind = "deep"
-        elif hidden or name in BOILERPLATE or (name == "header" and not main) or (words & BOILER_WORDS and not words & MAIN_WORDS and name not in ("html", "body")):
-            kind = "skip"
-        elif words & MAIN_WORDS:
-            kind = "main"
-        elif name == "a":
-            kind = "link"
         if name == "article" and words & DEEP:
-            kind = "deep"
-        if name in BLOCK or kind:
-            if attrs.endswith("/") and name not in BLOCK:
+            return "deep"
+        if name == "body" or (name == "article" and not words & BOILER_WORDS) or name == "main":
+            if self._open["skip"] and not self._open["deep"]:  # a region that was never closed does not swallow the page
+                self._close(self._skips[0])
+            return "" if name == "body" else "main"
+        if words & DEEP and name != "html":
+            return "deep"
+        if hidden or name in BOILERPLATE or (name == "header" and not self._open["main"]) or (words & BOILER_WORDS and not words & MAIN_WORDS and name != "html"):
+            return "skip"
+        if words & MAIN_WORDS:
+            return "main"
+        return "link" if name == "a" else ""
+
+    def _read(self, html: str) -> None:
+        at, n, quotes, unclosed = 0, len(html), True, set()
+        while at < n:
+            lt = html.find("<", at)
+            if lt < 0:
+                self._text(html[at:])
+                return
+            if lt > at:
+                self._text(html[at:lt])
+            if html.startswith("<!--", lt):
+                end = html.find("-->", lt + 4)
+                at = n if end < 0 else end + 3
                 continue
-            if kind in ("skip", "deep"):
-                end_line() if name in BLOCK else None
-            stack.append((name, kind))
-            count(kind, 1)
-    end_line()
-    return out
+            named = _NAME.match(html, lt + 1)
+            if not named:
+                if html[lt + 1 : lt + 2] in ("!", "?", "/"):
+                    end = html.find(">", lt)
+                    at = n if end < 0 else end + 1
+                else:
+                    self._text("<")
+                    at = lt + 1
+                continue
+            name = named.group().lower()
+            end = _TAG_END.match(html, named.end()) if quotes else None
+            if end:
+                stop = end.end()
+            else:
+                quotes = False  # an unclosed quote: from here on tags end at the next ">", which keeps the scan linear
+                stop = html.find(">", named.end()) + 1 or n
+            attrs = html[named.end() : stop - 1]
+            at = stop
+            if name[0] == "/":
+                self._end_tag(name[1:])
+            elif name in RAW:
+                if not attrs.endswith("/") and name not in unclosed:
+                    closing = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
+                    if closing:
+                        gt = html.find(">", closing.end())
+                        at = n if gt < 0 else gt + 1
+                    elif name in ("script", "style", "textarea", "title", "template", "xmp"):
+                        at = n
+                    else:
+                        unclosed.add(name)  # none is left further on either
+            else:
+                self._start_tag(name, attrs)
+
+    def _end_tag(self, name: str) -> None:
+        block = name in BLOCK
+        if block:
+            self._end_line()
+        places = self._places.get(name)
+        if places and (block or not self._blocks or self._blocks[-1] < places[-1]):
+            self._close(places[-1])
+
+    def _start_tag(self, name: str, attrs: str) -> None:
+        block = name in BLOCK
+        if block:
+            self._end_line()
+            if name != "br" and self._blocks and self._stack[self._blocks[-1]][0] == "p":
+                self._close(self._blocks[-1])
+        if name in VOID:
+            if name in ("img", "input"):
+                self._text(" ")
+            return
+        role = self._role(name, attrs)
+        if block or (role and not attrs.endswith("/")):
+            self._push(name, role)
 
 
 def line_blocks(weights: list[float], window: int = WINDOW, surge: float = SURGE) -> list[tuple[int, int]]:
     """Regions [first, last] between a surge and a dive of the windowed sums of weights."""
     n = len(weights)
-    sums = [0.0] * (n + window)
-    run = 0.0
-    for k in range(n - 1, -1, -1):
-        run += weights[k] - (weights[k + window] if k + window < n else 0.0)
-        sums[k] = run if run > 1e-9 else 0.0
+    sums = _sums(weights, window)
     out, k = [], 0
     while k < n:
         if sums[k] >= surge and weights[k] > 0:
@@ -219,24 +274,67 @@ def line_blocks(weights: list[float], window: int = WINDOW, surge: float = SURGE
     return out
 
 
+def _sums(weights: list[float], window: int) -> list[float]:
+    """Of each line, the weights from it on over a window of lines."""
+    n, run = len(weights), 0.0
+    sums = [0.0] * n
+    for k in range(n - 1, -1, -1):
+        run += weights[k] - (weights[k + window] if k + window < n else 0.0)
+        sums[k] = run if run > 1e-9 else 0.0
+    return sums
+
+
+def core_lines(page: Page, window: int = WINDOW, surge: float = SURGE) -> list[float]:
+    """The weight of each line that lies between a surge and a dive of its run, 0 of the others."""
+    weights = [0.0 if x.linked > 0.5 else float(x.size) * (DECLARED if x.main else 1.0) for x in page.lines]
+    runs: list[tuple[int, int]] = []
+    for k, x in enumerate(page.lines):
+        if runs and page.lines[runs[-1][0]].run == x.run:
+            runs[-1] = (runs[-1][0], k + 1)
+        else:
+            runs.append((k, k + 1))
+    peak = max((max(_sums(weights[a:b], window)) for a, b in runs), default=0.0)
+    least = min(float(surge), peak)  # a page shorter than the threshold is its own peak
+    core = [0.0] * len(weights)
+    if peak:
+        for a, b in runs:
+            for first, last in line_blocks(weights[a:b], window, least):
+                core[a + first : a + last + 1] = weights[a + first : a + last + 1]
+    return core
+
+
 def main_text(html: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
     """The article's text; see the module's rules."""
     if not html:
         return ""
-    lines = lines_of(html)
-    if not lines:
+    page = Page(html)
+    core = core_lines(page, window, surge)
+    whole = sum(core)
+    if not whole:
         return ""
-    if any(inside for _, inside, _ in lines):
-        weights, least = [float(len(t)) if inside else 0.0 for t, inside, _ in lines], 1.0
-    else:
-        weights = [0.0 if share > 0.5 else float(len(t)) for t, _, share in lines]
-        if not any(weights):
-            return ""
-        peak = max(sum(weights[k : k + window]) for k in range(len(weights)))
-        least = min(surge, peak)  # a page shorter than the threshold is its own peak
-    kept: list[str] = []
-    for first, last in line_blocks(weights, window, least):
-        kept += [t for (t, _, _), w in zip(lines[first : last + 1], weights[first : last + 1]) if w > 0]
+    boxes, lines = len(page.parent), page.lines
+    mass, inside = [0.0] * boxes, [False] * boxes
+    size, linked, dense = [0] * boxes, [0.0] * boxes, [False] * boxes
+    for x, w in zip(lines, core, strict=True):
+        mass[x.box] += w
+        dense[x.box] |= w > 0
+        size[x.box] += x.size
+        linked[x.box] += x.linked * x.size
+    for b in range(boxes - 1, 0, -1):  # a box comes after the one that holds it
+        mass[page.parent[b]] += mass[b]
+    host = max(b for b in range(boxes) if mass[b] >= MOST * whole)  # such boxes are nested, for MOST is over a half
+    for b in range(host, boxes):
+        inside[b] = b == host or (b > 0 and inside[page.parent[b]])
+    at = [k for k, x in enumerate(lines) if core[k] and inside[x.box]]
+    first, last, loose = at[0], at[-1], page.top[host]
+    kept = []
+    for k, x in enumerate(lines):
+        if not inside[x.box]:
+            continue
+        if x.box != host and not dense[x.box] and linked[x.box] > 0.5 * size[x.box]:
+            continue  # a list of links
+        if first <= k <= last or not loose or (x.box == host and x.prose and x.linked <= 0.5):
+            kept.append(x.text)
     return " ".join(kept)
 
 

@@ -1,9 +1,11 @@
 """HTML extraction, token counts, packed ids, language id, fingerprints, personal data."""
 
+import collections
 import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -32,6 +34,49 @@ def test_pages_by_brute_force(spark, sf):
         assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want)
 
 
+def article_of(page):
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    return " ".join(html.unescape(re.sub(r"<[a-z/][^>]*>", " ", re.sub(r"</?b>", "", inner))).split())
+
+
+def unnamed(page):
+    """The page with every element and attribute that names a role made nameless."""
+    return re.sub(r"\s(class|id|role)=\"[^\"]*\"", "", re.sub(r"<(/?)(article|nav|header|footer|aside|main|form)\b[^>]*>", r"<\1div>", page))
+
+
+@pytest.mark.parametrize(("strip", "exact"), [(unnamed, 0.85), (lambda p: unnamed(re.sub("</?article>", "", p)), 0.6)])
+def test_the_distribution_finds_articles_without_role_markup(spark, strip, exact):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want, got = [article_of(p).split() for p in pages], [html_text.main_text(strip(p)).split() for p in pages]
+    shared = [sum((collections.Counter(a) & collections.Counter(b)).values()) for a, b in zip(want, got, strict=True)]
+    assert sum(map(len, want)) * 0.99 <= sum(shared) and sum(map(len, got)) * 0.99 <= sum(shared)
+    assert sum(a == b for a, b in zip(want, got, strict=True)) >= exact * len(pages)
+
+
+def test_surge_and_window_decide(spark):
+    pages = [unnamed(re.sub("</?article>", "", r["html"])) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    own = [html_text.main_text(p) for p in pages]
+    assert all(sum(html_text.main_text(p, **k) != t for p, t in zip(pages, own, strict=True)) > 0.2 * len(pages) for k in ({"surge": 1}, {"window": 1, "surge": 1}))
+    assert any(html_text.main_text(p, 50, 10**9) != t for p, t in zip(pages, own, strict=True))
+
+
+def test_short_lines_of_the_article_stay():
+    long, links, short = f"<p>{'Words of the text. ' * 8}</p>", "<p><a href=x>a link</a></p>" * 3, "<p>Its short last paragraph.</p>"
+    for page in (long + links + short, f"<div>{long}{links}{short}</div>", f"<div>{short}{long}<ul><li>one<li>two</ul>{short}</div><div><ul><li><a>menu</a><li><a>more</a></ul></div>"):
+        got = html_text.main_text(page)
+        assert got.endswith("Its short last paragraph.") and "menu" not in got and got.count("Words") == 8
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60_000 + "</p>" * 60_000, "<p><div>" * 60_000, "<a>" * 100_000 + "<hr>" * 100_000, "<iframe>" * 120_000, '<p title="' * 100_000, "<" * 1_000_000])
+def test_pages_take_time_in_proportion_to_their_length(page):
+    def took(p):
+        began = time.process_time()
+        html_text.main_text(p)
+        return time.process_time() - began
+
+    assert took(page) < 6 * took(page[: len(page) // 2]) + 1  # a quadratic scan of these takes minutes
+
+
 def test_page_without_article():
     page = (
         '<body><div id="menu"><a href=x>Home</a> <a>About</a></div><header>Site</header><div id=content><h1>A title</h1><p>Text that is long enough to be the article of this page, and goes on so that it surges.</p>'
