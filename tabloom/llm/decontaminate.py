@@ -1,36 +1,41 @@
 """Benchmark decontamination by a BM25 index with block-max WAND.
 
-Test items are cut into passages of at most ITEM_WORDS words; an inverted index
-holds, for each word, its passages in order with the BM25 impact of each, in
-blocks that know their largest impact.  Impacts are divided by the passage's own
-score against itself, so one threshold fits all passages.  Every document is cut
-into overlapping windows such that any run of ITEM_WORDS words lies whole in one,
+A test item has a question (its first half, to the end of a sentence or line if one
+is near) and an answer (the rest).  Both are cut into passages of at most ITEM_WORDS
+words; an inverted index holds, for each word, its passages in order with the BM25
+impact of each, in blocks that know their largest impact.  Impacts are divided by the
+passage's own score against itself, so one threshold fits all passages.  Every document
+is cut into overlapping windows such that any run of ITEM_WORDS words lies whole in one,
 and each window is a query that retrieves all passages at or above the threshold:
 
 * a block of passages in which the window's words' largest impacts do not add up
-  to the threshold is skipped (for groups of blocks, all windows at once; then
-  for the blocks of the groups that are left);
+  to the threshold is skipped (for many windows at once);
 * the others go through WAND: cursors in passage order, a pivot where the sum of
   largest impacts can reach the threshold, passages before it skipped.
 
-A retrieved item is verified against the document: of the item's question (its
-first half, to the end of a sentence or line if one is near) and answer (the
-rest), the share of word shingles that the document holds.  The document is
-contaminated by the item if both shares are at least OVERLAP, or that of the whole item is.
+An item of which any passage is retrieved is verified against the whole document: of its
+question and of its answer, the share of word shingles that the document holds.  The
+document is contaminated if both shares are at least OVERLAP, however far apart they
+stand, or that of the whole item is.  Question and answer are judged apart only if both
+have a shingle's words; an item shorter than a shingle contaminates only a document that
+has its words and no others.
 
-The index is built in blocks of items of a fixed size, each a pass over the
-documents, so what travels to the workers is bounded whatever the number of
-items; document frequencies are those of all items.
+Items are indexed ITEMS at a time; a worker builds the indexes once and keeps them, and
+all of them are asked in one pass over the documents.  PASS_CHARS bounds the items' text
+that travels to a worker at once: beyond it (some 16,000 items) there is another pass.
+Document frequencies are those of all items.
 
 Defined results: null or empty texts match nothing; an item without words matches
-nothing; an item of fewer words than a shingle is one shingle; equal items are each
-reported; a document row repeated is reported once a row; further columns are ignored.
+nothing; equal items, and items without an id, are each reported; a document row repeated
+is reported once a row; very long texts are read whole, window by window; an empty table
+of documents or of items gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +47,16 @@ from .shared import kept, only, table
 SHINGLE = 5
 OVERLAP = 0.8
 THRESHOLD = 0.6
-ITEM_WORDS = 64
-WINDOW = 128
+ITEM_WORDS = 32
+WINDOW = 64
 STEP = WINDOW - ITEM_WORDS
 K1, B = 1.2, 0.75
-#: Items of an index built at once; passages of a block-max block; blocks of a group of blocks.
-ITEMS = 4_096
-NARROW = 4
-WIDE = 4
+#: Items of an index; characters of items asked in one pass; passages of a block-max block.
+ITEMS = 1_024
+PASS_CHARS = 4_000_000
+NARROW = 2
+#: Windows looked up at once.
+CHUNKS = 512
 
 _WORD = re.compile(r"\w+")
 _END = re.compile(r"[.!?\n]")
@@ -74,12 +81,18 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 
 
 def passages(text: str | None) -> list[list[str]]:
-    w = words(text)
-    if not w:
+    """The words of question and answer in equal pieces of at most ITEM_WORDS; of a short item, those of the whole."""
+    if not text:
         return []
-    n = -(-len(w) // ITEM_WORDS)
-    size = -(-len(w) // n)
-    return [w[k : k + size] for k in range(0, len(w), size)]
+    parts = question_and_answer(text)
+    if min(map(len, parts)) < SHINGLE:
+        parts = (words(text),)
+    out = []
+    for w in parts:
+        if w:
+            size = -(-len(w) // -(-len(w) // ITEM_WORDS))
+            out += [w[k : k + size] for k in range(0, len(w), size)]
+    return out
 
 
 class Statistics:
@@ -97,17 +110,16 @@ class Index:
     """Inverted index of some items' passages, in blocks of passages with each word's largest impact there.
 
     Passages that share their commonest word stand together, so a block's largest
-    impacts belong to one language; blocks are grouped once more, WIDE to a group.
+    impacts belong to one language.  Postings are three arrays in order of (block, word, passage).
     """
 
-    def __init__(self, items: list[tuple[int, str]], stats: Statistics):
+    def __init__(self, items: list[tuple[int | None, str]], stats: Statistics):
         self.items = items
         cut = [(p, k) for k, (_, text) in enumerate(items) for p in passages(text)]
         cut.sort(key=lambda x: (max((stats.df.get(w, 0), w) for w in x[0]), len(x[0]), x[1]))
         self.owner = [k for _, k in cut]
         self.terms: dict[str, int] = {}
-        n = -(-len(cut) // NARROW)
-        self.postings: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(n)]
+        at_, term_, impact_ = [], [], []
         for at, (p, _) in enumerate(cut):
             tf: dict[str, int] = {}
             for w in p:
@@ -116,64 +128,78 @@ class Index:
             impact = {w: stats.idf(w) * f * (K1 + 1) / (f + norm) for w, f in tf.items()}
             own = sum(impact.values())
             for w, x in impact.items():
-                self.postings[at // NARROW].setdefault(self.terms.setdefault(w, len(self.terms)), []).append((at, x / own))
-        self.tops = np.zeros((len(self.terms), n), np.float32)
-        for r, lists in enumerate(self.postings):
-            for t, v in lists.items():
-                self.tops[t, r] = max(x for _, x in v)
-        self.group_tops = np.maximum.reduceat(self.tops, np.arange(0, n, WIDE), axis=1) if n else self.tops
+                at_.append(at)
+                term_.append(self.terms.setdefault(w, len(self.terms)))
+                impact_.append(x / own)
+        at, term, impact = np.array(at_, np.int64), np.array(term_, np.int64), np.array(impact_)
+        self.blocks = -(-len(cut) // NARROW)
+        keys = (at // NARROW) * len(self.terms) + term
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at, self.impact = keys[order], at[order].astype(np.int32), impact[order]
+        # each list's largest impact
+        self.lists, self.begin = np.unique(self.keys, return_index=True)
+        self.top = np.maximum.reduceat(self.impact, self.begin) if len(self.lists) else self.impact
+        self.begin = np.append(self.begin, len(self.keys))
+        self.tops = np.zeros((len(self.terms), self.blocks), np.float32)
+        if len(self.lists):
+            self.tops[self.lists % len(self.terms), self.lists // len(self.terms)] = self.top
         self._parts: list = [None] * len(items)
 
-    def search(self, block: int, terms: list[int], threshold: float) -> list[int]:
-        """Passages of a block whose impacts of these distinct terms add up to the threshold: WAND."""
-        lists, least, found = self.postings[block], threshold - 1e-9, []
-        tops = self.tops[:, block]
-        cursors = [[lists[t], 0, float(tops[t])] for t in terms if t in lists]  # (postings, position, largest impact)
+    def search(self, block: int, terms: np.ndarray, threshold: float) -> list[int]:
+        """Passages of a block whose impacts of these distinct terms (in order) add up to the threshold: WAND."""
+        wanted = block * len(self.terms) + terms
+        where = np.searchsorted(self.lists, wanted)
+        where = where[(where < len(self.lists)) & (self.lists[np.minimum(where, len(self.lists) - 1)] == wanted)]
+        least, found = threshold - 1e-9, []
+        cursors = []  # [passages, impacts, position, largest impact]
+        for k in where.tolist():
+            a, b = self.begin[k], self.begin[k + 1]
+            cursors.append([self.at[a:b].tolist(), self.impact[a:b].tolist(), 0, float(self.top[k])])
         while cursors:
-            cursors.sort(key=lambda c: c[0][c[1]][0])
+            cursors.sort(key=lambda c: c[0][c[2]])
             total, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                total += c[2]
+                total += c[3]
                 if total >= least:
                     pivot = k
                     break
             if pivot < 0:
                 break
-            target = cursors[pivot][0][cursors[pivot][1]][0]
-            if cursors[0][0][cursors[0][1]][0] == target:
-                here = [c for c in cursors if c[0][c[1]][0] == target]
-                if sum(c[0][c[1]][1] for c in here) >= least:
+            target = cursors[pivot][0][cursors[pivot][2]]
+            if cursors[0][0][cursors[0][2]] == target:
+                if sum(c[1][c[2]] for c in cursors if c[0][c[2]] == target) >= least:
                     found.append(target)
                 target += 1
             for c in cursors:
-                while c[1] < len(c[0]) and c[0][c[1]][0] < target:
-                    c[1] += 1
-            cursors = [c for c in cursors if c[1] < len(c[0])]
+                while c[2] < len(c[0]) and c[0][c[2]] < target:
+                    c[2] += 1
+            cursors = [c for c in cursors if c[2] < len(c[0])]
         return found
 
     def retrieve(self, w: list[str], threshold: float) -> set[int]:
         """Items with a passage at or above the threshold in some window of the words."""
         get, none = self.terms.get, len(self.terms)
         ids = np.fromiter((get(x, none) for x in w), np.int64, len(w))
-        # each chunk's distinct known words; a window is two neighbouring chunks
-        pairs = np.unique(np.arange(len(ids)) // STEP * (none + 1) + ids)
-        chunk, term = np.divmod(pairs, none + 1)
-        known = term < none
-        chunk, term = chunk[known], term[known]
-        if not len(chunk):
-            return set()
-        first = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
-        sums = np.zeros((-(-len(ids) // STEP) + 1, self.group_tops.shape[1]), np.float32)
-        sums[chunk[first]] = np.add.reduceat(self.group_tops[term], first, axis=0)
-        sums[:-1] += sums[1:]
-        least = threshold - 1e-4
+        known = np.flatnonzero(ids < none)
         out: set[int] = set()
-        for c in np.flatnonzero((sums >= least).any(axis=1)).tolist():
-            a, b = np.searchsorted(chunk, [c, c + 2])
-            terms = np.unique(term[a:b])
-            bound = self.tops[terms].sum(axis=0)
-            for block in np.flatnonzero(bound >= least).tolist():
-                out.update(self.owner[p] for p in self.search(block, terms.tolist(), threshold))
+        least = threshold - 1e-4
+        for a in range(0, -(-len(ids) // STEP), CHUNKS):  # so many windows at a time, whatever the length of the text
+            lo, hi = np.searchsorted(known, [a * STEP, (a + CHUNKS + 1) * STEP])
+            if lo == hi:
+                continue
+            # window k is the words of chunks k and k + 1, each word once
+            pairs = (known[lo:hi] // STEP - a) * (none + 1) + ids[known[lo:hi]]
+            pairs = np.unique(np.concatenate([pairs, pairs - (none + 1)]))
+            pairs = pairs[np.searchsorted(pairs, 0) : np.searchsorted(pairs, CHUNKS * (none + 1))]
+            if not len(pairs):
+                continue
+            window, term = np.divmod(pairs, none + 1)
+            first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
+            bounds = np.add.reduceat(self.tops[term], first, axis=0)
+            rows, blocks = np.nonzero(bounds >= least)
+            ends = np.append(first[1:], len(term))
+            for row, block in zip(rows.tolist(), blocks.tolist(), strict=True):
+                out.update(self.owner[p] for p in self.search(block, term[first[row] : ends[row]], threshold))
         return out
 
     def parts_of(self, k: int) -> tuple[set, set, set]:
@@ -182,25 +208,46 @@ class Index:
             self._parts[k] = (shingles(q), shingles(a), shingles(words(self.items[k][1])))
         return self._parts[k]
 
-    def hits(self, text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, float, float, float]]:
-        """(item, question share, answer share, whole share) of every retrieved item."""
-        w = words(text)
+    def hits(self, w: list[str], threshold: float = THRESHOLD) -> list[tuple[int, float, float, float]]:
+        """(item, question share, answer share, whole share) of every retrieved item, for a document's words."""
         if not w or not self.terms:
             return []
-        retrieved = self.retrieve(w, threshold)
-        if not retrieved:
-            return []
+        here: dict[int, set] = {}
+
+        def share(part: set) -> float:
+            for n in {len(s) for s in part}:
+                if n not in here:
+                    here[n] = shingles(w, n)
+            return sum(s in here[len(s)] for s in part) / len(part) if part else 0.0
+
+        return [(k, *map(share, self.parts_of(k))) for k in sorted(self.retrieve(w, threshold))]
+
+    def contaminating(self, w: list[str], threshold: float, overlap: float) -> list[tuple[int, float, float]]:
+        """(item, question share, answer share) of the items that contaminate a document of these words."""
         out = []
-        for k in sorted(retrieved):
-            share = []
-            for part in self.parts_of(k):
-                lengths = {len(s) for s in part}
-                here = {n: shingles(w, n) for n in lengths}
-                share.append(sum(s in here[len(s)] for s in part) / len(part) if part else 1.0)
-            out.append((k, *share))
+        for k, q, a, whole in self.hits(w, threshold):
+            sizes = [len(next(iter(p), ())) for p in self.parts_of(k)]
+            if sizes[2] < SHINGLE:
+                hit = w == words(self.items[k][1])
+            else:
+                hit = whole >= overlap or (min(q, a) >= overlap and min(sizes[:2]) >= SHINGLE)
+            if hit:
+                out.append((k, q, a))
         return out
 
 
+class Indexes:
+    """Several indexes, asked one after another."""
+
+    def __init__(self, items: list[tuple[int | None, str]], stats: Statistics, size: int):
+        self.each = [Index(items[k : k + size], stats) for k in range(0, len(items), size)]
+
+    def contaminating(self, text: str | None, threshold: float, overlap: float) -> list[tuple[int | None, float, float]]:
+        """(item_id, question share, answer share) of every item that contaminates the text."""
+        w = words(text)
+        return [(index.items[k][0], q, a) for index in self.each for k, q, a in index.contaminating(w, threshold, overlap)]
+
+
 def statistics_of(benchmark: DataFrame) -> DataFrame:
     """word, df over all items' passages; the row of the null word has the number and the words of passages."""
 
@@ -216,39 +263,38 @@ def statistics_of(benchmark: DataFrame) -> DataFrame:
     return only(benchmark, "text").mapInArrow(run, "word string, len long").groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("len"))
 
 
-def item_blocks(benchmark: DataFrame, size: int = ITEMS):
-    """(items, statistics) of each block of items; a block has about `size` items, whatever their number."""
+def passes(benchmark: DataFrame, chars: int = PASS_CHARS):
+    """(items, statistics) of each pass: all items at once unless they have more than `chars` characters."""
     items = only(benchmark, "item_id", "text").where("text is not null")
     stats = statistics_of(items).cache()
     head = stats.where("word is null").first()
     if head is None:
         return
-    n = max(1, -(-items.count() // size))
+    n = max(1, -(-int(items.agg(F.sum(F.length("text"))).first()[0] or 0) // chars))
     for k in range(n):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        rows = sorted((r["item_id"], r["text"]) for r in block.collect())
+        rows = sorted(((r["item_id"], r["text"]) for r in block.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         if rows:
-            own = {w for _, t in rows for w in words(t)}
-            if n == 1:
-                df = {r["word"]: r["df"] for r in stats.where("word is not null").collect()}
-            else:
-                frame = benchmark.sparkSession.createDataFrame([(w,) for w in sorted(own)], "word string")
-                df = {r["word"]: r["df"] for r in stats.join(frame, "word").collect()}
+            own = sorted({w for _, t in rows for w in words(t)})
+            frame = benchmark.sparkSession.createDataFrame([(w,) for w in own], "word string") if own else None
+            df = {r["word"]: r["df"] for r in stats.join(frame, "word").collect()} if own else {}
             yield rows, Statistics(head["df"], head["len"] / head["df"], df)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def indexes(items: list[tuple[int | None, str]], stats: Statistics, name: str, size: int) -> Indexes:
+    return kept(("indexes", name), lambda: Indexes(items, stats, size))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, size: int = ITEMS) -> DataFrame:
     """doc_id, item_id, question_overlap, answer_overlap of every contaminated document; no shuffle of documents."""
     schema = "doc_id long, item_id long, question_overlap double, answer_overlap double"
     slim = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     out = None
-    for items, stats in item_blocks(benchmark):
-        def run(batches, items=items, stats=stats):
-            index = Index(items, stats)
+    for items, stats in passes(benchmark):
+        def run(batches, items=items, stats=stats, name=uuid.uuid4().hex):
+            index = indexes(items, stats, name, size)
             for batch in batches:
-                rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    rows += [(doc_id, items[k][0], q, a) for k, q, a, whole in index.hits(text, threshold) if min(q, a) >= overlap or whole >= overlap]
+                rows = [(doc_id, *x) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in index.contaminating(text, threshold, overlap)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "question_overlap", "answer_overlap"]
                 )
@@ -258,16 +304,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, size: int = ITEMS) -> DataFrame:
     """The documents that no item contaminates, all columns as they were; no shuffle of documents."""
     at = docs.columns.index("text")
-    for items, stats in item_blocks(benchmark):
-        def run(batches, items=items, stats=stats):
-            kept("index")
-            index = Index(items, stats)
+    for items, stats in passes(benchmark):
+        def run(batches, items=items, stats=stats, name=uuid.uuid4().hex):
+            index = indexes(items, stats, name, size)
             for batch in batches:
-                keep = [not any(min(q, a) >= overlap or whole >= overlap for _, q, a, whole in index.hits(t, threshold)) for t in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array(keep, pa.bool_()))
+                yield batch.filter(pa.array([not index.contaminating(t, threshold, overlap) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

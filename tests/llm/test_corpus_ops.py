@@ -113,18 +113,61 @@ def test_mix_rates_and_odd_rows(odd, empty, monkeypatch):
 # -- decontamination
 
 
+def brute_words(text):
+    return re.findall(r"\w+", (text or "").lower())
+
+
+def brute_shingles(w):
+    return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_leak(item, text):
+    """Whether an item contaminates a text: written anew, with no part of the operator."""
+    w, have = brute_words(item), brute_words(text)
+    if not w or not have:
+        return False
+    if len(w) < 5:
+        return w == have
+    held = brute_shingles(have)
+
+    def share(part):
+        own = brute_shingles(part)
+        return len(own & held) / len(own) >= 0.8
+
+    cuts = [k + 1 for k, c in enumerate(item) if c in ".!?\n" and brute_words(item[: k + 1]) and brute_words(item[k + 1 :])]
+    if cuts:
+        cut = sorted(cuts, key=lambda k: (abs(k - len(item) / 2), k))[0]
+        q, a = brute_words(item[:cut]), brute_words(item[cut:])
+    else:
+        q, a = w[: (len(w) + 1) // 2], w[(len(w) + 1) // 2 :]
+    return share(w) or (len(q) >= 5 <= len(a) and share(q) and share(a))
+
+
 def test_contaminated_by_brute_force(spark, sf):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet").collect(), spark.read.parquet(f"{sf}/benchmark.parquet").collect()
-    d = decontaminate
-    want = set()
-    for r in docs:
-        have = d.shingles(d.words(r["text"]))
-        for i in items:
-            q, a = map(d.shingles, d.question_and_answer(i["text"]))
-            whole = d.shingles(d.words(i["text"]))
-            if len(whole & have) >= 0.8 * len(whole) or (len(q & have) >= 0.8 * len(q) and len(a & have) >= 0.8 * len(a)):
-                want.add((r["doc_id"], i["item_id"]))
-    assert {(r["doc_id"], r["item_id"]) for r in d.op8_decontaminate(spark, sf).collect()} == want and want
+    want = {(r["doc_id"], i["item_id"]) for r in docs for i in items if brute_leak(i["text"], r["text"])}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.op8_decontaminate(spark, sf).collect()} == want and want
+
+
+@pytest.mark.parametrize("gap", [0, 20, 60, 150, 300, 2000])
+def test_question_and_answer_far_apart(spark, gap):
+    r = random.Random(gap)
+    word = lambda: "".join(r.choices("abcdefghijkl", k=r.randint(2, 6)))
+    items = [(k, " ".join(word() for _ in range(22)) + ". " + " ".join(word() for _ in range(18))) for k in range(100)]
+    texts = []
+    for _, text in items:
+        q, a = text.split(". ")
+        texts.append(" ".join([*(word() for _ in range(r.randint(0, 90))), q, *(word() for _ in range(gap)), a, *(word() for _ in range(40))]))
+    half = [(1000 + k, text.split(". ")[0] + " " + " ".join(word() for _ in range(60))) for k, text in items]
+    docs = spark.createDataFrame([*enumerate(texts), *half], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((x["doc_id"], x["item_id"]) for x in got.collect()) == [(k, k) for k in range(100)]
+
+
+def test_short_items_need_their_whole(spark):
+    items = spark.createDataFrame([(1, "yes"), (2, "Oh yes!"), (3, "one two three four five six"), (None, "a b c d e f g")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "oh yes indeed it is"), (2, "YES"), (3, "oh, yes."), (4, "and one two three four five six too"), (5, "one two three and four five six"), (6, "x a b c d e f g")], "doc_id long, text string")
+    assert sorted(((x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(docs, items).collect()), key=str) == [(2, 1), (3, 2), (4, 3), (6, None)]
 
 
 def test_search_finds_all_above_the_threshold():
@@ -148,10 +191,13 @@ def test_search_finds_all_above_the_threshold():
         assert index.retrieve(q, 0.4) == want
 
 
-def test_item_blocks_give_the_same(spark, sf, monkeypatch):
+def test_indexes_and_passes_give_the_same(spark, sf, monkeypatch):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     want = sorted(map(tuple, decontaminate.contaminated(docs, items).select("doc_id", "item_id").collect()))
-    monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (16,))
+    blocks = decontaminate.contaminated(docs, items, size=16)
+    assert sorted(map(tuple, blocks.select("doc_id", "item_id").collect())) == want
+    assert blocks._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    monkeypatch.setattr(decontaminate.passes, "__defaults__", (4000,))
     assert sorted(map(tuple, decontaminate.contaminated(docs, items).select("doc_id", "item_id").collect())) == want
 
 
@@ -260,14 +306,7 @@ def test_pipeline_by_brute_force(spark, sf):
     roots = brute_components([brute_fingerprint(t) for _, t, _ in docs])
     docs = [d for k, d in enumerate(docs) if roots[k] == k]
     items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    d = decontaminate
-    parts = [(d.shingles(d.words(i)), *map(d.shingles, d.question_and_answer(i))) for i in items]
-
-    def leaks(text):
-        have = d.shingles(d.words(text))
-        return any(len(w & have) >= 0.8 * len(w) or (len(q & have) >= 0.8 * len(q) and len(a & have) >= 0.8 * len(a)) for w, q, a in parts)
-
-    docs = [x for x in docs if not leaks(x[1])]
+    docs = [x for x in docs if not any(brute_leak(i, x[1]) for i in items)]
     c = duckdb.connect()
     c.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR, lang VARCHAR, n_chars BIGINT)")
     c.executemany("INSERT INTO documents VALUES (?, ?, ?, '', 0)", docs)
