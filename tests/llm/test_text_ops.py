@@ -325,5 +325,45 @@ def test_em_finds_the_reliable_labeler():
     assert chance[0] > 0.9 and chance[3] < 0.1 and reliable[0][1][1] > reliable[0][1][0] and 0 < share < 1
 
 
+def test_many_spans_take_time_in_proportion(spark):
+    """Also: offsets and overlaps agree with a plain search when there are thousands of them."""
+    text = " ".join(f"a{k}@mail.example.com or tel (743) 201-{k % 10000:04d} +44 20 7946 {k % 10000:04d}" for k in range(12_000))
+    began = time.monotonic()
+    row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert time.monotonic() - began < 40  # comparing all spans with all takes minutes
+    assert [(x["kind"], x["start"], x["stop"]) for x in row["base"]] == base_spans(text)
+    assert [(x["start"], x["stop"]) for x in row["added"]] == [(m.start(), m.end()) for m in re.finditer(r"\(743\) 201-[0-9]{4}", text)]
+
+
+def brute_loose(text):
+    """Loose spans that overlap no base span, nor a loose one that starts earlier (then longer, then by kind)."""
+    base = base_spans(text)
+    found = sorted((m.start(), -m.end(), kind) for kind, p in (("phone", r"(?<![0-9A-Za-z+.,:/#_-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])(?![.,:/_-][0-9])"), ("ssn", r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")) for m in re.finditer(p, text))
+    free = [(a, -b, kind) for a, b, kind in found if not any(c < -b and a < d for _, c, d in base)]
+    return [x for i, x in enumerate(free) if not any(y[1] > x[0] for y in free[:i])]
+
+
+def test_loose_spans_by_brute_force(spark):
+    r = random.Random(8)
+    parts = ["212-555-0199", "(743) 201-5555", "078-05-1120", "123-45-6788", "+1 212 555 0199", "10.0.0.1", " ", " ", ", ", "x@y.zz", "4111 1111 1111 1111", " or ", "555 201 3333"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 200))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in pii.candidates(df).collect():
+        got = [(x["start"], x["stop"], x["kind"]) for x in row["loose"] if x["kind"] in ("phone", "ssn")]
+        assert got == brute_loose(texts[row["doc_id"]])
+
+
+def test_secrets_and_ibans(spark):
+    filler = "and the words of it " * 3
+    texts = [f'{filler} token = "{k:02x}bc3ff2ca8fb1e4c565a0eb63815530a948bdde" for x{k}@mail.example.com' for k in range(40)]
+    texts += [f"{filler} IBAN DE89 3704 0044 0532 0130 00 of the account" for _ in range(20)] + [f"{filler} part AB12 3456 7890 1234 5678 of the order" for _ in range(20)]
+    got = {r["doc_id"]: [x["kind"] for x in r["added"]] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[k] == ["secret"] for k in range(40)) and all(got[k] == ["iban"] for k in range(40, 60)) and not any(got[k] for k in range(60, 80))
+
+
 def test_pii_of_odd_documents(spark, odd, empty):
+    got = sorted(((r["doc_id"], r["text"] or "", [tuple(x) for x in r["base"]], [tuple(x) for x in r["added"]]) for r in pii.find(odd).join(odd.select("doc_id", "text").distinct(), "doc_id").collect()), key=str)
+    assert len(got) == 11 and all(base == base_spans(text) and not added for _, text, base, added in got)
+    mixed = spark.createDataFrame([(1, "a@b.co"), (1, "a@b.co"), (None, "a@b.co"), (2, None), (3, "")], "doc_id long, text string")
+    assert sorted(((r["doc_id"], len(r["base"])) for r in pii.find(mixed).collect()), key=str) == [(1, 1), (1, 1), (2, 0), (3, 0), (None, 1)]
     assert pii.find(odd).count() == 12 and pii.find(empty).count() == 0
