@@ -12,6 +12,7 @@ from ..sources.names import is_name, valid_name
 from .aggregate import collapse
 
 MOST_VALUES = 2_000
+NUMBER = re.compile("[0-9]+")
 
 
 def _identify(v: View, keys: list[str], what: str) -> None:
@@ -23,39 +24,43 @@ def _identify(v: View, keys: list[str], what: str) -> None:
 def reshape_long(v: View, stubs: str, i: str, j: str) -> View:
     """One row for each suffix of the stubs: explode of one array of structs, so the table is read once.
 
-    If any suffix is a number, j is one and only numeric suffixes melt.
+    If any suffix is a number, j is one, and a column is a value only if its suffix is the number's
+    plain spelling: x01 says that j = 1 exists but is carried as it is.  Every stub needs a column
+    for every value of j (or, of a number, one spelled with leading zeros: its values are missing).
     """
     roots, ids = stubs.split(), v.expand(i, wild=False)
     valid_name(j)
     if j in v.names or not roots:
         raise VerbError(f"variable {j} already defined" if roots else "no stubs are named", 110)
-    found: dict[str, list[str]] = {}
+    suffixes: dict[str, list[str]] = {}
     for r in roots:
         if r in v.names:
             raise VerbError(f"variable {r} already defined", 110)
-        for n in v.names:
-            if n.startswith(r) and n != r and n not in ids:
-                found.setdefault(n[len(r) :], []).append(r)
-    if not found:
+        suffixes[r] = [n[len(r) :] for n in v.names if n.startswith(r) and n != r and n not in ids]
+    every = {x for found in suffixes.values() for x in found}
+    if not every:
         raise VerbError(f"no variables begin with {stubs}", 111)
-    digits = sorted({int(s) for s in found if s.isdigit()})
-    values: list = digits or sorted(found)
+    numbers = sorted({int(x) for x in every if NUMBER.fullmatch(x)})
+    values: list = numbers or sorted(every)
+    for r in roots:
+        there = {int(x) if numbers else x for x in suffixes[r] if not numbers or NUMBER.fullmatch(x)}
+        lacking = [x for x in values if x not in there]
+        if lacking:
+            raise VerbError(f"variable {r}{lacking[0]} is missing: every stub needs every value of {j}", 111)
     _identify(v, ids, i)
+    used = {f"{r}{x}": r for r in roots for x in values if f"{r}{x}" in v.names and f"{r}{x}" not in ids}
     kinds: dict[str, str] = {}
-    used = {f"{r}{x}" for r in roots for x in ([*digits, *[s for s in found if s.isdigit()]] or values)} & set(v.names)
-    for r in roots:
-        for n in used:
-            if n.startswith(r) and (n[len(r) :] in found) and r in found[n[len(r) :]]:
-                if kinds.setdefault(r, v.kinds[n]) != v.kinds[n]:
-                    raise VerbError(f"{r}* are strings and numbers", 198)
+    for n, r in used.items():
+        if kinds.setdefault(r, v.kinds[n]) != v.kinds[n]:
+            raise VerbError(f"{r}* are strings and numbers", 198)
     rest = [n for n in v.names if n not in used and n not in ids]
     cells = []
     for x in values:
-        fields = [F.lit(float(x) if digits else x).cast("int" if digits else "string").alias(j)]
+        fields = [F.lit(x).cast("string" if not numbers else "int" if values[-1] < 2**31 else "double").alias(j)]
         for r in roots:
             n, string = f"{r}{x}", kinds.get(r) == "s"
             t = "string" if string else "double"
-            fields.append((F.col(f"`{n}`").cast(t) if n in v.names else F.lit("" if string else None).cast(t)).alias(r))
+            fields.append((F.col(f"`{n}`").cast(t) if n in used else F.lit("" if string else None).cast(t)).alias(r))
         cells.append(F.struct(*fields))
     out = v.df.withColumn("__c", F.explode(F.array(*cells))).select(*[F.col(f"`{n}`") for n in ids], *[F.col(f"__c.`{n}`").alias(n) for n in (j, *roots)], *[F.col(f"`{n}`") for n in rest])
     meta = {n: v.meta[n] for n in (*ids, *rest) if n in v.meta}
@@ -113,7 +118,3 @@ def pivot(v: View, text: str, rows: str, cols: str) -> View:
     small = collapse(v, text, f"{rows} {cols}")
     stubs = [n for n in small.names if n not in {*rows.split(), cols}]
     return reshape_wide(small, " ".join(stubs), rows, cols, check=False)
-
-
-def suffix_is_number(s: str) -> bool:
-    return bool(re.fullmatch(r"\d+", s))

@@ -162,8 +162,17 @@ query2("append_generate", (("region", ""), ("region", "r_regionkey")), "SELECT r
 # -- reshape
 
 query("reshape_long", "part", "SELECT p_partkey, j, CASE j WHEN 1 THEN p_size::DOUBLE ELSE p_retailprice END AS v FROM part, (VALUES (1), (2)) t(j)", "p_partkey p_size p_retailprice")(lambda v: R.reshape_long(C.rename(v, "p_size p_retailprice", "v1 v2"), "v", "p_partkey", "j"))
-query("reshape_wide", "lineitem", "SELECT l_suppkey, " + ", ".join(f"(count(*) FILTER (WHERE l_linenumber = {k})) AS n{k}" for k in range(1, 5)) + " FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1", "l_suppkey l_linenumber")(
-    lambda v: View(R.reshape_wide(C.rename(A.contract(C.keep_if(v, "l_linenumber <= 4"), "l_suppkey l_linenumber"), "_freq", "n"), "n", "l_suppkey", "l_linenumber").df.na.fill(0))
+query("reshape_long_zeros", "part", "SELECT p_partkey, j, CASE j WHEN 1 THEN p_size::DOUBLE END AS v, p_retailprice AS v02, p_name AS vx FROM part, (VALUES (1), (2)) t(j)", "p_partkey p_size p_retailprice p_name")(
+    lambda v: R.reshape_long(C.rename(v, "p_size p_retailprice p_name", "v1 v02 vx"), "v", "p_partkey", "j")
+)
+query(
+    "reshape_long_two", "part",
+    "SELECT p_partkey, j, CASE j WHEN 'a' THEN p_size::DOUBLE ELSE p_retailprice END AS x, CASE j WHEN 'a' THEN p_brand ELSE p_type END AS y, p_name FROM part, (VALUES ('a'), ('b')) t(j)",
+    "p_partkey p_size p_retailprice p_brand p_type p_name",
+)(lambda v: R.reshape_long(C.rename(v, "p_size p_retailprice p_brand p_type", "xa xb ya yb"), "x y", "p_partkey", "j"))
+_COUNTS = ", ".join(f"nullif(count(*) FILTER (WHERE l_linenumber = {k}), 0) AS n{k}" for k in range(1, 8))
+query("reshape_wide", "lineitem", f"SELECT l_suppkey, {_COUNTS} FROM lineitem GROUP BY 1", "l_suppkey l_linenumber")(
+    lambda v: R.reshape_wide(C.rename(A.contract(v, "l_suppkey l_linenumber"), "_freq", "n"), "n", "l_suppkey", "l_linenumber")
 )
 
 # -- statistics

@@ -120,6 +120,18 @@ def test_reshape(panel):
     assert rows(R.pivot(panel, "(mean) wage", "firm", "year")) == [("a", 20.0, 22.5), ("b", 20.0, None)]
 
 
+def test_reshape_long_carries_leading_zeros_and_refuses_gaps(spark):
+    v = boundary(spark.createDataFrame([(1, 10, 100), (2, 20, 200)], "id int, inc1 int, inc01 int"))
+    got = R.reshape_long(v, "inc", "id", "year")
+    assert got.names == ["id", "year", "inc", "inc01"] and rows(got) == [(1, 1, 10.0, 100), (2, 1, 20.0, 200)]
+    only = R.reshape_long(C.drop(v, "inc1"), "inc", "id", "year")
+    assert rows(only) == [(1, 1, None, 100), (2, 1, None, 200)]
+    with pytest.raises(VerbError, match="a2 is missing"):
+        R.reshape_long(boundary(spark.createDataFrame([(1, 2, 3)], "id int, a1 int, b2 int")), "a b", "id", "j")
+    with pytest.raises(VerbError, match="ax is missing"):
+        R.reshape_long(boundary(spark.createDataFrame([(1, 2, 3, 4)], "id int, aw int, bw int, bx int")), "a b", "id", "j")
+
+
 def test_order_survives_a_dropped_key(panel):
     v = C.keep(C.gsort(panel, "-wage"), "id")
     assert [r[0] for r in rows(v)] == [3, 3, 2, 1, 1, 2] and v.names == ["id"]
