@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import crc_of_id, only, parts, table, words_of, written
+from .shared import byte_words, crc_of_id, one_thread, only, parts, table, words_of, written
 
 BLOCK = 1_500_000
 HEAD = 384
@@ -79,10 +79,18 @@ def ending(word: str) -> str:
 BLOCKS = "block long, words array<string>, train array<int>, doc_ids array<long>, lengths array<int>, codes binary"
 
 
+class Numbers(dict):
+    """Words in order of appearance: a new one gets the next number."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
-        numbers: dict[str, int] = {END: 0}
+        numbers = Numbers({END.encode(): 0})
         codes, ids, lengths, total = [], [], [], 0
 
         def flush():
@@ -93,7 +101,7 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
             row = pa.RecordBatch.from_arrays(
                 [
                     pa.array([(part << 32) + seq], pa.int64()),
-                    pa.array([list(numbers)], pa.list_(pa.string())),
+                    pa.array([list(numbers)], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
                     pa.array([train], pa.list_(pa.int32())),
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([lengths], pa.list_(pa.int32())),
@@ -102,15 +110,13 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
                 names=[c.split()[0] for c in BLOCKS.split(", ")],
             )
             seq += 1
-            numbers, codes, ids, lengths, total = {END: 0}, [], [], [], 0
+            numbers, codes, ids, lengths, total = Numbers({END.encode(): 0}), [], [], [], 0
             return row
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                for w in set(words).difference(numbers):
-                    numbers[w] = len(numbers)
-                codes.append(np.fromiter((numbers[w] for w in words), np.int32, len(words)))
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                words = byte_words(text)
+                codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
                 codes.append(np.zeros(1, np.int32))
                 ids.append(doc_id)
                 lengths.append(len(words) + 1)
@@ -187,7 +193,7 @@ class Gru:
             "w": np.zeros(len(vocabulary.head), f),
         }
 
-    def step(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
+    def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
         n = self.h
         g = h @ self.p["U"]
         a = x[:, : 2 * n] + g[:, : 2 * n]
@@ -196,12 +202,19 @@ class Gru:
         a += 1.0
         a *= 0.5  # logistic
         r, z, gn = a[:, :n], a[:, n:], g[:, 2 * n :]
-        cand = np.tanh(x[:, 2 * n :] + r * gn)
-        out = cand + z * (h - cand)
-        if keep is not None:
-            keep.append((h, r, z, gn, cand))
+        r *= gn
+        r += x[:, 2 * n :]
+        cand = np.tanh(r, out=r)
+        out = h - cand
+        out *= z
+        out += cand
         return out
 
+    @staticmethod
+    def bounded(weights: np.ndarray, biases: np.ndarray) -> bool:
+        """Whether no state (numbers between -1 and 1) gives a logit whose exponential needs scaling."""
+        return len(biases) > 0 and float((np.abs(weights).sum(axis=0) + np.abs(biases)).max()) < 60.0
+
     def class_logs(self, states: np.ndarray) -> np.ndarray:
         logits = states @ self.p["C"] + self.p["c"]
         logits -= logits.max(axis=1, keepdims=True)
@@ -211,9 +224,9 @@ class Gru:
         """Natural log of each token's probability; shares: log share within the class of words outside the head."""
         logits = states @ self.p["C"]
         logits += self.p["c"]
-        top = logits.max(axis=1)
-        out = (logits[np.arange(len(logits)), classes] - top).astype(np.float64)
-        logits -= top[:, None]
+        if not self.bounded(self.p["C"], self.p["c"]):
+            logits -= logits.max(axis=1, keepdims=True)
+        out = logits[np.arange(len(logits)), classes].astype(np.float64)
         np.exp(logits, out=logits)
         out -= np.log(logits.sum(axis=1))
         tail = classes >= self.v.heads
@@ -224,9 +237,14 @@ class Gru:
         for c, m in enumerate(self.v.members):
             rows = order[bounds[c] : bounds[c + 1]]
             if len(rows) and len(m) > 1:
-                inner = states[rows] @ self.p["W"][m].T + self.p["w"][m]
-                peak = inner.max(axis=1)
-                out[rows] += inner[np.arange(len(rows)), self.v.place[inputs[rows]]] - peak - np.log(np.exp(inner - peak[:, None]).sum(axis=1))
+                weights, biases = self.p["W"][m].T, self.p["w"][m]
+                inner = states[rows] @ weights
+                inner += biases
+                if not self.bounded(weights, biases):
+                    inner -= inner.max(axis=1, keepdims=True)
+                own = inner[np.arange(len(rows)), self.v.place[inputs[rows]]]
+                np.exp(inner, out=inner)
+                out[rows] += own - np.log(inner.sum(axis=1))
         return out
 
     def fit(self, documents: list[np.ndarray], classes: np.ndarray, passes: int = FIT_PASSES, lanes: int = FIT_LANES, steps: int = FIT_STEPS, rate: float = RATE, seed: int = 11, fresh: bool = True) -> None:
@@ -267,52 +285,86 @@ class Gru:
                     self.p[k] -= pace * m / (np.sqrt(v) + 1e-8)
 
     def _window(self, before, target, classes, h, end):
+        """States after a window of tokens, and the gradients of its loss (the states before it are taken as given)."""
         n, p = self.h, self.p
         lanes, steps = before.shape
-        tape, states, resets = [], [], []
+        dtype = p["U"].dtype
+        fresh = (before.T == end)[:, :, None]
+        starts, s = np.empty((steps, lanes, n), dtype), np.empty((steps, lanes, n), dtype)
+        gates, inner, cand = np.empty((steps, lanes, 2 * n), dtype), np.empty((steps, lanes, n), dtype), np.empty((steps, lanes, n), dtype)
+        x = p["X"][before.T]
         for t in range(steps):
-            fresh = (before[:, t] == end)[:, None]
-            h = np.where(fresh, np.float32(0), h)
-            resets.append(fresh)
-            h = self.step(p["X"][before[:, t]], h, tape)
-            states.append(h)
-        s = np.concatenate(states)
+            h = starts[t] = np.where(fresh[t], dtype.type(0), h)
+            g = h @ p["U"]
+            a = np.add(x[t, :, : 2 * n], g[:, : 2 * n], out=gates[t])
+            a *= 0.5
+            np.tanh(a, out=a)
+            a += 1.0
+            a *= 0.5
+            inner[t] = g[:, 2 * n :]
+            np.multiply(a[:, :n], inner[t], out=cand[t])
+            cand[t] += x[t, :, 2 * n :]
+            np.tanh(cand[t], out=cand[t])
+            h = np.subtract(h, cand[t], out=s[t])
+            h *= a[:, n:]
+            h += cand[t]
+        flat = s.reshape(-1, n)
         y = target.T.reshape(-1)
         cls = classes[y]
-        scale = np.float32(1.0 / lanes)
-        grad = np.exp(self.class_logs(s))
-        grad[np.arange(len(y)), cls] -= 1
-        grad *= scale
-        grads = {"C": s.T @ grad, "c": grad.sum(axis=0), "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"])}
+        scale = dtype.type(1.0 / lanes)
+        grad = flat @ p["C"]
+        grad += p["c"]
+        if not self.bounded(p["C"], p["c"]):
+            grad -= grad.max(axis=1, keepdims=True)
+        np.exp(grad, out=grad)
+        grad *= scale / grad.sum(axis=1, keepdims=True)
+        grad[np.arange(len(y)), cls] -= scale
+        grads = {"C": flat.T @ grad, "c": grad.sum(axis=0), "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"])}
         ds = grad @ p["C"].T
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        bounds = np.searchsorted(cls[order], np.arange(self.v.heads + 1))
         for c, m in enumerate(self.v.members):
-            rows = np.flatnonzero(cls == c)
+            rows = order[bounds[c] : bounds[c + 1]]
             if len(rows) and len(m) > 1:
-                inner = s[rows] @ p["W"][m].T + p["w"][m]
-                inner -= inner.max(axis=1, keepdims=True)
-                inner = np.exp(inner)
-                inner /= inner.sum(axis=1, keepdims=True)
-                inner[np.arange(len(rows)), self.v.place[y[rows]]] -= 1
-                inner *= scale
-                grads["W"][m] += inner.T @ s[rows]
-                grads["w"][m] += inner.sum(axis=0)
-                ds[rows] += inner @ p["W"][m]
-        grads["U"] = np.zeros_like(p["U"])
-        dx_all = np.empty((steps, lanes, 3 * n), np.float32)
-        carry = np.zeros((lanes, n), np.float32)
+                own, weights = flat[rows], p["W"][m]
+                soft = own @ weights.T
+                soft += p["w"][m]
+                if not self.bounded(weights.T, p["w"][m]):
+                    soft -= soft.max(axis=1, keepdims=True)
+                np.exp(soft, out=soft)
+                soft *= scale / soft.sum(axis=1, keepdims=True)
+                soft[np.arange(len(rows)), self.v.place[y[rows]]] -= scale
+                grads["W"][m] += soft.T @ own
+                grads["w"][m] += soft.sum(axis=0)
+                ds[rows] += soft @ weights
+        # what does not depend on later steps is worked out for all steps at once
+        r, z = gates[:, :, :n], gates[:, :, n:]
+        to_cand = (1 - z) * (1 - cand * cand)
+        to_z = (starts - cand) * z * (1 - z)
+        to_r = inner * r * (1 - r)
+        ds = ds.reshape(steps, lanes, n)
+        dx, dg = np.empty((steps, lanes, 3 * n), dtype), np.empty((steps, lanes, 3 * n), dtype)
+        carry, back = np.zeros((lanes, n), dtype), p["U"].T.copy()
         for t in range(steps - 1, -1, -1):
-            h0, r, z, gn, cand = tape[t]
-            dh = ds[t * lanes : (t + 1) * lanes] + carry
-            dcand = dh * (1 - z) * (1 - cand * cand)
-            dz = dh * (h0 - cand) * z * (1 - z)
-            dr = dcand * gn * r * (1 - r)
-            dx = dx_all[t]
-            dx[:, :n], dx[:, n : 2 * n], dx[:, 2 * n :] = dr, dz, dcand
-            dg = np.concatenate([dr, dz, dcand * r], axis=1)
-            grads["U"] += h0.T @ dg
-            carry = np.where(resets[t], np.float32(0), dh * z + dg @ p["U"].T)
+            dh = carry
+            dh += ds[t]
+            d = np.multiply(dh, to_cand[t], out=dx[t, :, 2 * n :])
+            np.multiply(d, to_r[t], out=dx[t, :, :n])
+            np.multiply(dh, to_z[t], out=dx[t, :, n : 2 * n])
+            dg[t, :, : 2 * n] = dx[t, :, : 2 * n]
+            np.multiply(d, r[t], out=dg[t, :, 2 * n :])
+            dh *= z[t]
+            dh += dg[t] @ back
+            dh[fresh[t, :, 0]] = 0
+            carry = dh
+        grads["U"] = starts.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
+        # the inputs' gradients, summed by input
+        names = before.T.reshape(-1)
+        order = np.argsort(names.astype(np.int16), kind="stable")
+        names = names[order]
+        first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
         grads["X"] = np.zeros_like(p["X"])
-        np.add.at(grads["X"], before.T.reshape(-1), dx_all.reshape(-1, 3 * n))
+        grads["X"][names[first]] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], first, axis=0)
         return h, grads
 
     def score(self, words: np.ndarray, inputs: np.ndarray, classes: np.ndarray, shares: np.ndarray, lengths: np.ndarray, lanes: int = LANES, steps: int = STEPS) -> np.ndarray:
@@ -399,6 +451,7 @@ def fit_blocks(paired: DataFrame, model: Gru, classes: np.ndarray, rounds: int =
         return pa.RecordBatch.from_arrays([pa.array([tokens] if tokens else [], pa.int64()), pa.array([total.tobytes()] if tokens else [], pa.binary())], names=["tokens", "weights"])
 
     def one(ids, lengths, codes, pairs):
+        one_thread()
         at = np.asarray(pairs.field("idx"))
         inputs = np.zeros(len(at), np.int64)
         inputs[at] = np.asarray(pairs.field("input"))
@@ -453,6 +506,7 @@ def score_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     fit_blocks(paired, model, classes)
 
     def run(batches):
+        one_thread()
         for batch in batches:
             for k in range(batch.num_rows):
                 ids = batch.column(0)[k].as_py()

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import re
+import glob
+import os
 import tempfile
 import uuid
 import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the word rule: words are runs of anything else (fixed by the contracts).
-WORD_SPACE = "\x20\t\n\x0b\x0c\r"
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -58,28 +57,23 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def ascii_lower(text: str) -> str:
-    """A-Z only, as the contracts ask; other letters stay."""
-    return text.translate(_LOWER)
-
-
-_LOWER = {c: c + 32 for c in range(65, 91)}
+def byte_words(text: bytes | None) -> list[bytes]:
+    """Lower-cased (A-Z) words of a text in UTF-8: bytes know no other letters and no other white space than the word rule's."""
+    return text.lower().split() if text else []
 
 
 def words_of(text: str | None) -> list[str]:
     """Lower-cased (A-Z) words: runs without ASCII white space; null has none."""
-    if not text:
-        return []
-    low = text.lower() if text.isascii() else text.translate(_LOWER)
-    if _ODD_SPACE.search(low):
-        low = low.translate(_ODD)
-        return [w for w in low.split(" ") if w]
-    return low.split()
-
-
-#: Characters at which str.split() cuts though the word rule does not.
-_ODD_SPACE = re.compile("[" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in WORD_SPACE) + "]")
-_ODD = {ord(c): " " for c in WORD_SPACE}
+    return [w.decode("utf-8", "surrogatepass") for w in byte_words(text.encode("utf-8", "surrogatepass"))] if text else []
+
+
+def one_thread() -> None:
+    """Matrix products of this process stay on its own core: those of the models here are too small to share, and waiting threads burn time."""
+    for lib in glob.glob(os.path.join(os.path.dirname(np.__file__), os.pardir, "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(lib)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
 
 
 def crc_of_id(doc_id: int | None) -> int:

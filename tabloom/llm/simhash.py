@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, kept, only, parts, table, words_of, written
+from .shared import byte_words, cut, kept, only, parts, table, written
 
 WORDS = 4
 RADIUS = 4
@@ -44,17 +44,19 @@ SEED = 42
 HOT = 2_048
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    got = words_of(text)
+def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED) -> int:
+    """Of a text in UTF-8."""
+    got = byte_words(text)
     if not got:
         return 0
     n = max(1, len(got) - words + 1)
-    h = xxhash.xxh64_intdigest
+    h, join = xxhash.xxh64_intdigest, b" ".join
     ones = np.zeros(64, np.int64)
     for a in range(0, n, 65_536):
         b = min(n, a + 65_536)
-        hashes = np.array([h(" ".join(got[k : k + words]), seed) for k in range(a, b)], "<u8")
-        ones += _ones(hashes)
+        some = got[a : b + words - 1]
+        joined = map(join, zip(*(some[k : k + b - a] for k in range(words)), strict=True)) if n > 1 or len(got) >= words else [join(got)]
+        ones += _ones(np.fromiter((h(x, seed) for x in joined), "<u8", b - a))
     return int(sum(1 << k for k in np.nonzero(2 * ones > n)[0].tolist()))
 
 
@@ -107,7 +109,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def run(batches):
         kept("simhash")
         for batch in batches:
-            fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).astype(np.int64)
+            fps = np.array([fingerprint(t, words) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
     slim = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
