@@ -182,7 +182,7 @@ class Gru:
 
     def __init__(self, vocabulary: Vocabulary, hidden: int = HIDDEN, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.v, self.h = vocabulary, hidden
+        self.v, self.h, self.rooms = vocabulary, hidden, {}
         f = np.float32
         self.p = {
             "X": (rng.standard_normal((vocabulary.inputs, 3 * hidden)) * 0.1).astype(f),
@@ -193,6 +193,16 @@ class Gru:
             "w": np.zeros(len(vocabulary.head), f),
         }
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rooms": {}}
+
+    def _room(self, name: int, shape: tuple[int, ...], dtype) -> np.ndarray:
+        """An array that is written anew in every window; its memory is kept."""
+        held = self.rooms.get(name)
+        if held is None or held.shape != shape or held.dtype != dtype:
+            held = self.rooms[name] = np.empty(shape, dtype)
+        return held
+
     def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
         n = self.h
         g = h @ self.p["U"]
@@ -290,9 +300,9 @@ class Gru:
         lanes, steps = before.shape
         dtype = p["U"].dtype
         fresh = (before.T == end)[:, :, None]
-        starts, s = np.empty((steps, lanes, n), dtype), np.empty((steps, lanes, n), dtype)
-        gates, inner, cand = np.empty((steps, lanes, 2 * n), dtype), np.empty((steps, lanes, n), dtype), np.empty((steps, lanes, n), dtype)
-        x = p["X"][before.T]
+        starts, s, inner, cand, to_cand, to_z, to_r = (self._room(k, (steps, lanes, n), dtype) for k in range(7))
+        gates, dx, dg, x = self._room(7, (steps, lanes, 2 * n), dtype), *(self._room(k, (steps, lanes, 3 * n), dtype) for k in (8, 9, 10))
+        np.take(p["X"], before.T, axis=0, out=x, mode="clip")
         for t in range(steps):
             h = starts[t] = np.where(fresh[t], dtype.type(0), h)
             g = h @ p["U"]
@@ -339,11 +349,17 @@ class Gru:
                 ds[rows] += soft @ weights
         # what does not depend on later steps is worked out for all steps at once
         r, z = gates[:, :, :n], gates[:, :, n:]
-        to_cand = (1 - z) * (1 - cand * cand)
-        to_z = (starts - cand) * z * (1 - z)
-        to_r = inner * r * (1 - r)
+        np.subtract(starts, cand, out=to_z)
+        to_z *= z
+        np.subtract(1, z, out=to_r)
+        to_z *= to_r
+        np.multiply(cand, cand, out=to_cand)
+        np.subtract(1, to_cand, out=to_cand)
+        to_cand *= to_r
+        np.subtract(1, r, out=to_r)
+        to_r *= r
+        to_r *= inner
         ds = ds.reshape(steps, lanes, n)
-        dx, dg = np.empty((steps, lanes, 3 * n), dtype), np.empty((steps, lanes, 3 * n), dtype)
         carry, back = np.zeros((lanes, n), dtype), p["U"].T.copy()
         for t in range(steps - 1, -1, -1):
             dh = carry
