@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from dataclasses import replace as changed
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import VerbError
 from ..functions.values import is_storage, stored
 from ..plans.folder import fixed
-from ..plans.view import Meta, View, numbered
+from ..plans.view import Meta, View
 from ..sources.names import valid_name
 
 STATS = ("mean", "sd", "sum", "min", "max", "count", "median", "first", "last", "firstnm", "lastnm")
@@ -60,7 +59,7 @@ def parse_collapse(v: View, text: str) -> list[tuple[str, str, str]]:
     return out
 
 
-def aggregate(v: View, stat: str, source: str, rank: str = "__rank") -> Column:
+def aggregate(v: View, stat: str, source: str, rank: Column | None = None) -> Column:
     string = v.kinds[source] == "s"
     c = F.col(f"`{source}`")
     if string and stat not in ("count", "first", "last", "firstnm", "lastnm"):
@@ -78,9 +77,9 @@ def aggregate(v: View, stat: str, source: str, rank: str = "__rank") -> Column:
     if stat == "count":
         return F.count(F.when(there, 1))
     if stat in ("first", "last"):
-        return (F.min_by if stat == "first" else F.max_by)(c, F.col(rank))
+        return (F.min_by if stat == "first" else F.max_by)(c, rank)
     if stat in ("firstnm", "lastnm"):
-        return (F.min_by if stat == "firstnm" else F.max_by)(c, F.when(there, F.col(rank)))
+        return (F.min_by if stat == "firstnm" else F.max_by)(c, F.when(there, rank))
     raise VerbError(f"{stat} is no aggregate of a row at a time", 198)
 
 
@@ -94,8 +93,11 @@ def grouped(df: DataFrame, keys: list[str], aggs: list[Column], wanted: list[tup
     sources = sorted({src for _, src, _ in wanted})
     if not wanted:
         return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
-    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] if keys else df.count()
-    if (rows or 0) <= (LARGE_GROUP if large is None else large):
+    large = LARGE_GROUP if large is None else large
+    rows = df.count()  # no group is larger than the table
+    if rows > large and keys:
+        rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    if (rows or 0) <= large:
         lists = [F.collect_list(F.col(f"`{src}`").cast("double")).alias(f"__a{i}") for i, src in enumerate(sources)]
         out = df.groupBy(*keys).agg(*aggs, *lists) if keys else df.agg(*aggs, *lists)
         out = out.withColumns({f"__a{i}": F.array_sort(f"__a{i}") for i in range(len(sources))})
@@ -151,32 +153,6 @@ def by_keys(v: View, by: str | list[str]) -> list[str]:
     return v.expand(by, wild=False) if by else []
 
 
-def global_percentiles(df: DataFrame, source: str, wanted: list[float]) -> dict[float, float | None]:
-    """Exact percentiles of one whole column by its distinct values' counts: no task holds all values."""
-    counts = df.where(F.col(f"`{source}`").isNotNull()).groupBy(F.col(f"`{source}`").cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    n = counts.agg(F.sum("n")).first()[0] or 0
-    if not n:
-        return dict.fromkeys(wanted)
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = fixed(counts.repartitionByRange(parts, "x").sortWithinPartitions("x"))
-    per = {r["p"]: r["n"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("n").alias("n")).collect()}
-    before, at = {}, 0
-    for p in sorted(per):
-        before[p] = at
-        at += per[p]
-    offset = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv])
-    run = F.sum("n").over(Window.partitionBy("p").orderBy("x"))
-    ranked = dealt.withColumn("p", F.spark_partition_id()).withColumn("hi", run + F.element_at(offset, F.col("p").cast("long")))
-    ranks = {}
-    for p in wanted:
-        k, rest = divmod(int(n) * int(p), 100)
-        ranks[p] = (k, k + 1) if rest == 0 else (k + 1, k + 1)
-    need = sorted({min(max(r, 1), n) for pair in ranks.values() for r in pair})
-    hit = ranked.where(F.exists(F.array(*[F.lit(r).cast("long") for r in need]), lambda r: (r > F.col("hi") - F.col("n")) & (r <= F.col("hi")))).select("x", "n", "hi").collect()
-    value = {r: h["x"] for r in need for h in hit if h["hi"] - h["n"] < r <= h["hi"]}
-    return {p: (value[min(max(a, 1), n)] + value[min(max(b, 1), n)]) / 2 for p, (a, b) in ranks.items()}
-
-
 def collapse(v: View, text: str, by: str | list[str] = "") -> View:
     keys = by_keys(v, by)
     items = parse_collapse(v, text)
@@ -186,13 +162,14 @@ def collapse(v: View, text: str, by: str | list[str] = "") -> View:
     for t in targets:
         valid_name(t)
     df = v.df
-    if any(s in ("first", "last", "firstnm", "lastnm") for s, _, _ in items):
-        df = numbered(df, v.total_order(), "__rank")
+    # what comes first is the smallest of the order's keys and, among equal ones, of the values asked for: no row numbers
+    placed = list(dict.fromkeys(src for s, _, src in items if s in ("first", "last", "firstnm", "lastnm")))
+    rank = F.struct(*v.rank_keys(), *[x for n in placed for x in (F.col(f"`{n}`").isNull(), F.col(f"`{n}`"))]) if placed else None
     ranked = [(t, src, percentile_of(s)) for s, t, src in items if percentile_of(s) is not None]
     for t, src, _ in ranked:
         if v.kinds[src] == "s":
             raise VerbError(f"percentile of the string variable {src}", 109)
-    aggs = [aggregate(v, s, src).alias(t) for s, t, src in items if percentile_of(s) is None]
+    aggs = [aggregate(v, s, src, rank).alias(t) for s, t, src in items if percentile_of(s) is None]
     # keys under other names, as a source may be a key too
     tags = [f"__by{i}" for i in range(len(keys))]
     df = df.withColumns({g: v.key(k) for g, k in zip(tags, keys, strict=True)}) if keys else df
@@ -222,8 +199,11 @@ def duplicates_drop(v: View, names: str = "", force: bool = False) -> View:
     keys = v.expand(names)
     if not force or not v.order:
         raise VerbError("duplicates drop of some variables needs force and a declared sort")
-    w = Window.partitionBy(*[v.key(k) for k in keys]).orderBy(*v.orders(), *[F.col(f"`{n}`").asc_nulls_last() for n in v.names])
-    return v.then(v.df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r"), f"duplicates drop {names}, force")
+    # the smallest row of a group by an aggregate, so that a hot key is reduced before it is dealt
+    whole = F.struct(*[F.col(f"`{n}`") for n in v.df.columns])
+    rank = F.struct(*v.rank_keys(), *[x for n in v.names for x in (F.col(f"`{n}`").isNull(), F.col(f"`{n}`"))])
+    out = v.df.groupBy(*[v.key(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min_by(whole, rank).alias("__row")).select("__row.*")
+    return v.then(out, f"duplicates drop {names}, force")
 
 
 EGEN = ("total", "mean", "sd", "min", "max", "count")
@@ -255,7 +235,3 @@ def egen(v: View, name: str, function: str, expression: str, by: str = "", stora
         df = v.df.withColumn("__v", F.lit(per).cast("double"))
     out = df.withColumn(name, stored(F.col("__v"), storage)).select(*[F.col(f"`{n}`") for n in [*v.df.columns, name]])
     return v.then(out, f"egen {name} = {function}({expression}){', by(' + by + ')' if by else ''}", meta={**v.meta, name: Meta(storage=storage)})
-
-
-def relabel(v: View, step: str) -> View:
-    return changed(v, steps=(*v.steps, step))

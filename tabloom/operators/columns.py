@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import replace as changed
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import VerbError, not_found
 from ..functions.values import finite, is_storage, stored
@@ -132,19 +131,46 @@ def keep_in(v: View, first: int, last: int | None = None) -> View:
     last = first if last is None else last
     if not 1 <= first <= last:
         raise VerbError(f"in {first}/{last}: no such rows")
-    df = numbered(v.df, v.total_order(), "__row_n") if not v.order else v.df.orderBy(*v.orders())
-    cut = df.where(F.col("__row_n").between(first, last)).drop("__row_n") if not v.order else df.offset(first - 1).limit(last - first + 1)
+    cut = numbered(v.df, v.rank_keys(), "__row_n", first, last).drop("__row_n")
     return v.then(cut, f"keep in {first}/{last}", ranges=(*v.ranges, (v.df, first, last)))
 
 
 def sample(v: View, size: float, count: bool = False, seed: int = 1) -> View:
-    """Exactly `size` percent of the rows (rounded), or `size` rows; repeatable with a seed."""
+    """Exactly `size` percent of the rows (rounded), or `size` rows: those with the smallest draws.
+
+    A row's draw is a hash of the seed and its values, so the sample is the same on every
+    run; of equal rows as many stay as fit.  Three counts by ever finer ranges of the draw find
+    the last one that fits, and a filter keeps what lies below: rows are neither sorted nor gathered.
+    """
     if count and (size < 1 or size != int(size)) or not count and not 0 < size <= 100:
         raise VerbError("sample takes a percentage in (0, 100], or a number of rows")
-    n = int(size) if count else int(v.df.count() * size / 100 + 0.5)
-    draw = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in v.names])
-    df = v.df.withColumn("__d", draw).withColumn("__r", F.rand(seed)).orderBy("__d", "__r").limit(n).drop("__d", "__r")
-    return v.then(df, f"sample {size}")
+    told = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in v.names]
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *told).cast("binary")), 1, 15), 16, 10).cast("long")
+    df = v.df.withColumn("__d", draw)
+    drawn, below, prefix = df.select("__d"), 0, 0
+    n = None
+    for shift in (40, 20, 0):
+        level = drawn if n is None else drawn.where(F.shiftright("__d", shift + 20) == prefix)
+        sizes = sorted((r["b"], r["n"]) for r in level.groupBy(F.shiftright("__d", shift).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())  # 2^20 at most
+        if n is None:
+            rows_ = sum(k for _, k in sizes)
+            n = min(int(size) if count else int(rows_ * size / 100 + 0.5), rows_)
+            if n == rows_:
+                return v.then(v.df, f"sample {size}")
+        for prefix, k in sizes:
+            if below + k > n:
+                break
+            below += k
+    kept = df.where(F.col("__d") < prefix).drop("__d")
+    if below < n:  # some of the rows that share one draw: as many copies as are lacking, of the smallest rows
+        names = [F.col(f"`{c}`") for c in v.df.columns]
+        tied = df.where(F.col("__d") == prefix).groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).orderBy(*names).limit(n - below).collect()  # one row, but for a collision of hashes
+        for r in tied:
+            k = min(r["__n"], n - below)
+            below += k
+            if k:
+                kept = kept.unionByName(v.df.sparkSession.range(k).select(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in v.df.schema]))
+    return v.then(kept, f"sample {size}")
 
 
 def label(v: View, name: str, text: str) -> View:
@@ -209,7 +235,3 @@ def query(v: View, fragment: str) -> View:
     except Exception as e:
         raise VerbError(f"the fragment does not compile: {e}", 920) from e
     return v.then(df, f"query {fragment}")
-
-
-def is_string(t: T.DataType) -> bool:
-    return isinstance(t, T.StringType)

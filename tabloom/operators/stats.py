@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import VerbError
 from ..plans.view import Meta, View
-from .aggregate import aggregate, global_percentiles, grouped, percentile_of
+from .aggregate import aggregate, grouped, percentile_of, ranked_percentiles
 
 DETAIL = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 MOST_ROWS, MOST_COLUMNS, MOST_LEVELS, MOST_GROUPS, MOST_BINS = 10_000, 30, 5_000, 200, 1_000
@@ -60,11 +59,12 @@ def summarize_detail(v: View, names: str = "") -> DataFrame:
         for k, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max), ("var", F.var_samp), ("skew", F.skewness), ("kurt", F.kurtosis)):
             aggs.append(f(x).alias(f"{k}_{i}"))
     row = v.df.agg(*aggs).first()
+    # all variables' percentiles in one scan
+    ranks = ranked_percentiles(v.df, [], got, [(f"p{q}_{i}", n, float(q)) for i, n in enumerate(got) for q in DETAIL]).first()
     rows = []
     for i, n in enumerate(got):
-        p = global_percentiles(v.df, n, [float(q) for q in DETAIL])
         kurt = row[f"kurt_{i}"]
-        rows.append((n, *[row[f"{k}_{i}"] for k in ("n", "mean", "sd", "min", "max", "var", "skew")], None if kurt is None else kurt + 3, *[p[float(q)] for q in DETAIL]))
+        rows.append((n, *[row[f"{k}_{i}"] for k in ("n", "mean", "sd", "min", "max", "var", "skew")], None if kurt is None else kurt + 3, *[ranks[f"p{q}_{i}"] for q in DETAIL]))
     return frame(v, rows, schema)
 
 
@@ -302,7 +302,3 @@ def describe(v: View) -> DataFrame:
 def lookfor(v: View, words: str) -> list[str]:
     wanted = words.lower().split()
     return [n for n in v.names if any(w in n.lower() or w in v.meta.get(n, Meta()).label.lower() for w in wanted)]
-
-
-def is_word(s: str) -> bool:
-    return bool(re.fullmatch(r"\w+", s))

@@ -10,14 +10,13 @@ from __future__ import annotations
 import fnmatch
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import VerbError, not_found
 from ..functions.expression import Value, parse
-from ..functions.values import NUMERIC, key_of
-from .folder import fixed
+from ..functions.values import key_of
 
 
 @dataclass(frozen=True)
@@ -96,6 +95,14 @@ class View:
         """The declared order; without one, all columns, so that what comes first is the same on every run."""
         return self.orders() or [F.col(f"`{n}`").asc_nulls_last() for n in self.names]
 
+    def rank_keys(self) -> list[Column]:
+        """Columns whose ascending order, one after another, is the total order."""
+        out = []
+        for n, down in self.order or [(n, False) for n in self.names]:
+            c = F.col(f"`{n}`")
+            out += [c.isNull(), (descending(c, isinstance(self.type_of(n), T.StringType)) if down else c)]
+        return out
+
     def sorted_df(self) -> DataFrame:
         df = self.df.orderBy(*self.orders()) if self.order else self.df
         return df.select(*[F.col(f"`{n}`") for n in self.names])
@@ -121,39 +128,73 @@ class View:
         return self.df.withColumn(hidden, F.col(f"`{name}`")), tuple((hidden if n == name else n, d) for n, d in self.order)
 
     def with_rows(self, uses: set[str]) -> DataFrame:
-        """The rows with their number (__row_n) and how many there are (__rows), if used.
-
-        Numbers come from a range partitioning by the order: each partition numbers
-        its own rows after the counts of the partitions before, so no task holds all rows.
-        """
+        """The rows with their number (__row_n) and how many there are (__rows), if used."""
         df = self.df
         if "_N" in uses:
             df = df.withColumn("__rows", F.lit(df.count()))
         if "_n" in uses:
-            df = numbered(df, self.total_order(), "__row_n")
+            df = numbered(df, self.rank_keys(), "__row_n")
         return df
 
     def plain(self, df: DataFrame) -> DataFrame:
         return df.drop("__row_n", "__rows")
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with the row number in a global order, without a single-partition window."""
+def descending(c: Column, string: bool) -> Column:
+    """A column whose ascending order is the descending one of c: of a string, its bytes turned about (a longer one first)."""
+    if not string:
+        return -c
+    return F.concat(F.translate(F.hex(F.encode(c, "UTF-8")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+
+
+#: Sampled keys a partition from which the bounds of ranges are taken.
+SAMPLED = 32
+
+
+def ranges(df: DataFrame, keys: list[Column]) -> tuple[Column, Column, dict[int, int]]:
+    """A key of the rows, the number of the range it lies in, and the rows of each range.
+
+    The bounds come from a sample by a hash of the key, so they are the same on every
+    run and nothing has to be kept; a range is found by a binary search over the bounds.
+    """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = fixed(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
-    counts = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    slim = df.select(key.alias("k"))
+    share = min(1.0, SAMPLED * n / max(1, df.count()))
+    drawn = slim.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else slim
+    told = drawn.distinct().orderBy("k").collect()  # SAMPLED keys a partition
+    kinds = [f.dataType for f in slim.schema["k"].dataType]
+    step = max(1, -(-len(told) // n))
+    bounds = [F.struct(*[F.lit(x).cast(t).alias(f"k{i}") for i, (x, t) in enumerate(zip(r["k"], kinds, strict=True))]) for r in told[step::step]]
+
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key < bounds[middle], within(low, middle)).otherwise(within(middle + 1, high))
+
+    place = within(0, len(bounds)).cast("int")
+    return key, place, {r["p"]: r["n"] for r in df.select(place.alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def numbered(df: DataFrame, keys: list[Column], name: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """df with the row number in the ascending order of keys; of rows first to last alone, if given.
+
+    Rows are dealt to ranges of the keys and numbered within them, after the counts of
+    the ranges before, so no task holds all rows, and ranges outside first to last are not
+    dealt at all.  Of rows with equal keys the order is that of a hash of the whole row.
+    """
+    key, place, counts = ranges(df, keys)
     before, at = {}, 0
-    for row in sorted(counts, key=lambda r: r["p"]):
-        before[row["p"]] = at
-        at += row["n"]
+    for p in sorted(counts):
+        before[p] = at
+        at += counts[p]
     if not before:
         return df.withColumn(name, F.lit(0).cast("long"))
     offset = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv])
-    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return dealt.withColumn(name, F.element_at(offset, F.spark_partition_id().cast("long")) + local + 1)
-
-
-def numeric(t: T.DataType) -> bool:
-    return isinstance(t, NUMERIC)
-
-
+    dealt = df.withColumn("__place", place)
+    if first is not None:
+        dealt = dealt.where(F.col("__place").isin([p for p in before if before[p] < last and before[p] + counts[p] >= first]))
+    w = Window.partitionBy("__place").orderBy(key, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    out = dealt.withColumn(name, F.row_number().over(w) + F.element_at(offset, F.col("__place").cast("long"))).drop("__place")
+    return out if first is None else out.where(F.col(name).between(first, last))

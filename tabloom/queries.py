@@ -100,7 +100,11 @@ query("query_fragment", "part", "SELECT * FROM part WHERE p_size BETWEEN 3 AND 9
 query("query_qualify", "part", "SELECT p_partkey, p_brand, p_retailprice FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= 3", "p_partkey p_brand p_retailprice")(
     lambda v: C.query(v, "QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= 3")
 )
-query("sample", "orders", "")(lambda v: C.sample(v, 10, seed=3))
+query(
+    "sample", "orders",
+    """SELECT o_orderkey, o_custkey, o_orderstatus FROM orders QUALIFY row_number() OVER (ORDER BY ('0x' || substr(md5('3|' || o_orderkey || '|' || o_custkey || '|' || o_orderstatus), 1, 15))::BIGINT) <= floor(0.5 + (SELECT count(*) FROM orders) * 0.1)""",
+    "o_orderkey o_custkey o_orderstatus",
+)(lambda v: C.sample(v, 10, seed=3))
 query("dates_boundary", "lineitem", "SELECT l_orderkey, l_linenumber, (epoch_ms(l_shipdate) + 315619200000)::BIGINT AS l_shipdate FROM lineitem", "l_orderkey l_linenumber l_shipdate")(lambda v: v)
 
 # -- aggregation

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import VerbError
-from ..functions.values import BIG, EPOCH_DAYS, EPOCH_MS
+from ..functions.values import BIG, EPOCH_MS
 from ..plans.view import Meta, View
 from .names import sanitised
 
@@ -223,6 +223,3 @@ def describe_file(path: str) -> dict:
 
 def path_of(path: str) -> dict:
     return {"path": os.path.abspath(path), "exists": os.path.exists(path)}
-
-
-DAYS = EPOCH_DAYS

@@ -53,7 +53,8 @@ def test_percentile_rule_by_brute_force(spark):
         for p in (1, 25, 50, 90, 99):
             k, rest = divmod(n * p, 100)
             want[float(p)] = (max(k, 1) - 1 + min(k + 1, n) - 1) / 2 if rest == 0 else float(k)
-        assert A.global_percentiles(v.df, "x", list(want)) == want
+        got = A.ranked_percentiles(v.df, [], ["x"], [(f"p{int(p)}", "x", p) for p in want]).first()
+        assert {p: got[f"p{int(p)}"] for p in want} == want
 
 
 def test_percentiles_of_large_groups_are_those_of_small_ones(spark, monkeypatch):
@@ -152,6 +153,32 @@ def test_storage(panel):
     assert rows(v)[0][-1] == "aé"
 
 
+def test_sample_is_the_same_on_every_run(spark):
+    base = spark.createDataFrame([(k % 50, float(k % 7)) for k in range(3000)] + [(7, 7.0)] * 2000, "a int, b double")
+    for size, count, want in ((10, False, 500), (37.5, False, 1875), (1, True, 1), (4999, True, 4999), (90, False, 4500), (100, False, 5000), (9999, True, 5000)):
+        got = [sorted(map(tuple, C.sample(boundary(base.repartition(n)), size, count, seed=4).df.collect())) for n in (1, 5)]
+        assert len(got[0]) == want and got[0] == got[1]
+    every = C.sample(boundary(base), 20, seed=4).df.groupBy("a", "b").count().join(base.groupBy("a", "b").count().toDF("a", "b", "n"), ["a", "b"])
+    assert every.where("count > n").count() == 0
+
+
+def test_row_numbers_by_brute_force(spark):
+    rows_ = [(None if k % 5 == 0 else k * 7 % 13, "" if k % 4 == 0 else "ab"[: k % 3] + "é" * (k % 2), k) for k in range(200)]
+    v = boundary(spark.createDataFrame(rows_, "x int, s string, k int").repartition(7))
+    for keys, sort in (("-s x k", lambda r: (0, [-b for b in r[1].encode()] + [1], r[0] is None, r[0] or 0, r[2])), ("-x +s -k", lambda r: (r[0] is None, -(r[0] or 0), r[1].encode(), -r[2])), ("k", lambda r: r[2])):
+        w = C.gsort(v, keys)
+        order = [r[2] for r in sorted([(a, b or "", c) for a, b, c in rows_], key=sort)]
+        got = {r["k"]: r["r"] for r in C.gen(w, "r", "_n").df.collect()}
+        assert [k for k, _ in sorted(got.items(), key=lambda z: z[1])] == order and sorted(got.values()) == list(range(1, 201))
+        assert sorted(r["k"] for r in C.keep_in(w, 30, 95).df.collect()) == sorted(order[29:95])
+        first = {r["x"]: r["f"] for r in A.collapse(w, "(first) f=k", "x").df.collect()}
+        assert first == {x: next(k for k in order if rows_[k][0] == x) for x in {r[0] for r in rows_}}
+        kept = A.duplicates_drop(w, "x", force=True).df.collect()
+        assert {r["x"]: r["k"] for r in kept} == first
+    plan = C.keep(C.gen(C.sort(v, "k"), "r", "_n"), "r").df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan or "checkpoint" not in plan
+
+
 def test_sample_is_exact(panel):
     assert C.sample(panel, 50).df.count() == 3 and C.sample(panel, 2, count=True, seed=5).df.count() == 2
 
