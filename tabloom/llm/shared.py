@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import glob
 import os
+import re
 import tempfile
 import uuid
 import zlib
@@ -20,17 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary one only where all of Spark is in this process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tabloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+#: Folders this process has written and nobody has dropped yet.
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tabloom-{name}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(_drop_all)
+    path = f"{shared_folder(spark)}/tabloom-{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +53,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """A mark: how many folders have been written so far."""
+    return len(_MADE)
+
+
+def drop_made(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Delete the folders written between two marks; of use once nothing lazy reads them any more."""
+    for path in _MADE[since:until]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _MADE[since:until]
+
+
+def _drop_all() -> None:
+    """At the end of the process, while Spark still answers."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            drop_made(spark)
+        except Exception:  # noqa: BLE001  the JVM is gone: its folder is the cluster's to clear
+            return
+
+
 def cut(df: DataFrame) -> DataFrame:
     """An eager, reliable checkpoint; for narrow frames that are read again at once."""
     shared_folder(df.sparkSession)

@@ -22,8 +22,9 @@ bounds a split bucket by 2 to the number of positions that both masks leave free
 Defined results: a text of fewer words than a shingle is one shingle; null text
 and a text without words have fingerprint zero and are linked like any other.
 component_id is the smallest doc_id reachable, itself included (null ids count
-only where there is no other); repeated rows are returned once each; further
-columns are ignored; an empty table gives no rows.
+only where there is no other); repeated rows are returned once each; very long texts
+are read whole, their shingles counted piece by piece; further columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ RADIUS = 4
 SEED = 42
 #: Members from which a bucket is split before it is searched.
 HOT = 2_048
+#: Tasks that a group's fingerprints are dealt to.
+SALTS = 16
 
 
 def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -153,9 +156,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, h
     prints = written(fingerprints(docs, words), "simhash")
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(classes.select("fp"), radius, hot))
-    named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(named.join(smallest, "root").select("fp", "root", "component_id"), "fp")
+    named = cut(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", "root"))
+    linked = named.where("root is not null")
+    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    # a group may hold a third of all fingerprints: they meet its smallest id in SALTS tasks
+    salted = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"]).select("fp", "root", "component_id")
+    alone = named.where("root is null").select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))
+    return prints.join(found.unionByName(alone), "fp")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:

@@ -6,17 +6,19 @@ fingerprint is the multiset of its signatures, as the set of 32-bit hashes of
 (signature, how many times it came before), written as sorted hex; likeness is
 the Jaccard index of two such sets, 0 at once if their sizes can't reach the floor.
 
-`near_pairs` joins whole collections: sets are partitioned by length into ranges
+`near_classes` joins whole collections: sets are partitioned by length into ranges
 such that a pair of at least the wanted likeness lies in the same or neighbouring
-ranges, candidates share one of each set's rarest signatures (prefix filter), and
-candidates are verified by the pruned Jaccard.
+ranges, candidates share one of each set's rarest signatures (prefix filter; a signature
+of very many sets is dealt to several tasks), and candidates are verified by the pruned Jaccard.
 
 Defined results: null text counts as empty.  Before the first anchor, and where GAP
 words passed without one, every word is an anchor, so short texts, lists and other
 languages have fingerprints too; a text with no chain at all is fingerprinted by its
 whole word sequence, a text without words by the empty set.
 Two empty sets have likeness 1, an empty and another 0.  Equal texts have equal
-fingerprints.  Rows with equal doc_id are ordered by text.
+fingerprints.  Rows with equal doc_id are ordered by text, those without one come first;
+repeated rows are each returned; very long texts are read whole; further columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,6 +44,10 @@ ANCHORS = frozenset(
     "au aux avec ce cette dans du elle en est et il la le les ne par pas pour que qui sur un une "
     "al como con de del el ella las lo los más no para pero por se sin su sus una y".split()
 )
+#: Sets of a length range that share a signature, up to which one task compares them.
+HOT = 1_000
+#: Ranges of ids from which the ranges of like size are put together, for each of these.
+FINER = 8
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 
 
@@ -107,29 +113,31 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, fingerprint string")
 
 
-def near_pairs(docs: DataFrame, floor: float = 0.8, chain: int = CHAIN) -> DataFrame:
-    """Pairs (a, b, likeness) of fingerprint classes at least `floor` alike.
-
-    Documents with equal fingerprints form one class, named by its smallest
-    doc_id; pairs are between class names (a < b), so groups of copies do not
-    expand.  Use `fingerprints` for the membership.
-    """
+def near_pairs(prints: DataFrame, floor: float = 0.8, hot: int = HOT) -> DataFrame:
+    """Links (a, b, likeness) between names of fingerprint classes at least `floor` alike, a < b; prints: name, fingerprint, each class once."""
     if not 0.0 < floor <= 1.0:
         raise ValueError("the floor lies in (0, 1]")
-    prints = fingerprints(docs, chain).where("fingerprint <> ''").groupBy("fingerprint").agg(F.min("doc_id").alias("name"))
-    prints = written(prints, "spots")
+    prints = prints.where("fingerprint <> ''")
     size = (F.length("fingerprint") / 8).cast("int")
-    tokens = prints.select("name", "fingerprint", size.alias("n"), F.explode(F.expr("transform(sequence(1, length(fingerprint), 8), i -> substring(fingerprint, i, 8))")).alias("sig"))
+    tokens = prints.select("name", size.alias("n"), F.explode(F.expr("transform(sequence(1, length(fingerprint), 8), i -> substring(fingerprint, i, 8))")).alias("sig"))
     df = tokens.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
     # prefix filter: of a set of n, two alike sets share one of its n - ceil(floor n) + 1 rarest signatures
     ranked = tokens.join(df, "sig").groupBy("name", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("s"))
     prefix = ranked.select("name", "n", F.explode(F.expr(f"slice(s, 1, n - cast(ceil({floor} * n - 1e-9) as int) + 1)")).alias("p"))
     # ranges of lengths, each `1/floor` times as long: a pair lies in the same or the next one
     band = F.lit(0) if floor == 1.0 else F.floor(F.log("n") / F.lit(-float(np.log(floor)))).cast("int")
-    prefix = prefix.select("name", "n", F.col("p.sig").alias("sig"), band.alias("band"))
+    prefix = written(prefix.select("name", "n", F.col("p.sig").alias("sig"), band.alias("band")), "spots-prefix")
+    # a partition of many sets is cut into blocks of `hot`: each set meets all of them, in as many tasks
+    sizes = prefix.groupBy("sig", "band").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("sig", "band", F.ceil(F.col("m") / F.lit(hot)).cast("int").alias("blocks"))
+    sizes = written(sizes, "spots-sizes")
+    sizes = sizes.hint("broadcast") if sizes.count() <= 100_000 else sizes
+    few = F.coalesce("blocks", F.lit(1))
     left = prefix.select(F.col("name").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    right = prefix.select(F.col("name").alias("b"), F.col("n").alias("nb"), "sig", "band")
-    pairs = left.join(right, ["sig", "band"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= floor * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    left = left.join(sizes, ["sig", "band"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), few - 1))).drop("blocks")
+    right = prefix.select(F.col("name").alias("b"), F.col("n").alias("nb"), "sig", "band").join(sizes, ["sig", "band"], "left")
+    right = right.withColumn("block", F.pmod(F.xxhash64("b"), few).cast("int")).drop("blocks")
+    near = left.join(right, ["sig", "band", "block"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= floor * F.greatest("na", "nb") - 1e-9))
+    pairs = near.select("a", "b").distinct()
     texts = prints.select("name", "fingerprint")
     both = pairs.join(texts.toDF("a", "fa"), "a").join(texts.toDF("b", "fb"), "b")
 
@@ -137,9 +145,24 @@ def near_pairs(docs: DataFrame, floor: float = 0.8, chain: int = CHAIN) -> DataF
         for batch in batches:
             rows = batch.to_pydict()
             keep = [(a, b, v) for a, b, x, y in zip(rows["a"], rows["b"], rows["fa"], rows["fb"], strict=True) if (v := jaccard(set(from_hex(x).tolist()), set(from_hex(y).tolist()), floor)) > 0]
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keep], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "likeness"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keep], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["a", "b", "likeness"])
+
+    return both.select("a", "b", "fa", "fb").mapInArrow(run, "a string, b string, likeness double")
+
 
-    return both.select(F.col("a").cast("long"), F.col("b").cast("long"), "fa", "fb").mapInArrow(run, "a long, b long, likeness double")
+def near_classes(docs: DataFrame, floor: float = 0.8, chain: int = CHAIN, hot: int = HOT) -> DataFrame:
+    """doc_id, class_id and n_links of every document.
+
+    Documents of equal fingerprints form a class, whatever their ids; class_id is the
+    smallest of these (null if none has one), n_links the number of other classes at least
+    `floor` alike.  Groups of copies are one class and do not expand into pairs.
+    """
+    each = written(fingerprints(docs, chain).select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("fingerprint").alias("name"), "fingerprint"), "spots")
+    classes = written(each.groupBy("name").agg(F.any_value("fingerprint").alias("fingerprint"), F.min("doc_id").alias("class_id")), "spots-classes")
+    pairs = written(near_pairs(classes.select("name", "fingerprint"), floor, hot), "spots-pairs")
+    ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("name")).agg(F.count(F.lit(1)).alias("n_links"))
+    told = classes.select("name", "class_id").join(ends, "name", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    return each.select("doc_id", "name").join(told, "name").select("doc_id", "class_id", "n_links")
 
 
 def edited(text: str, following: str) -> str:
@@ -156,11 +179,19 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     """
     slim = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    cuts = slim.select(F.percentile_approx(key, [k / buckets for k in range(1, buckets)] or [0.5], 10_000).alias("q")).first()["q"] or []
+    fine = FINER * buckets if buckets > 1 else 1
+    cuts = slim.select(F.percentile_approx(key, [k / fine for k in range(1, fine)] or [0.5], 100_000).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts)) if buckets > 1 else []
-    # a binary search, so that thousands of ranges stay cheap
-    bucket = _search(key, cuts)
-    firsts = slim.groupBy(bucket.alias("bucket")).agg(F.min(key).alias("key")).orderBy("bucket").collect()  # one row a range
+    # fine ranges by rows, put together to ranges of like characters; a binary search, so that thousands of ranges stay cheap
+    place = _search(key, cuts)
+    ranges = slim.groupBy(place.alias("place")).agg(F.min(key).alias("key"), (F.sum(F.coalesce(F.length("text"), F.lit(0))) + F.count(F.lit(1))).alias("size")).orderBy("place").collect()
+    share, total, belongs, firsts = sum(r["size"] for r in ranges) / buckets, 0, {}, []
+    for r in ranges:
+        belongs[r["place"]] = b = min(buckets - 1, int((total + r["size"] / 2) / share))
+        if not firsts or firsts[-1]["bucket"] != b:
+            firsts.append({"bucket": b, "key": r["key"]})
+        total += r["size"]
+    bucket = F.element_at(F.array(*[F.lit(belongs.get(k, 0)) for k in range(len(cuts) + 1)]), place + 1)
     if not firsts:
         return slim.select(F.lit(0).alias("bucket"), "doc_id", "text", F.lit(False).alias("last"))
     before = {row["key"]: firsts[k - 1]["bucket"] for k, row in enumerate(firsts)}  # the very first follows the last range
@@ -207,9 +238,17 @@ def edit_report(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(7)], names=names)
 
     n = parts(docs.sparkSession)
-    dealt = with_next(docs, n).repartition(n, "bucket").sortWithinPartitions("bucket", "last", F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
+    # a number for each range that Spark's hash sends to a partition of its own
+    numbers = docs.sparkSession.range(40 * n + 400).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect()
+    number = {r["p"]: r["k"] for r in numbers}
+    lane = F.element_at(F.array(*[F.lit(number.get(k, -k)) for k in range(n)]), F.col("bucket") + 1)
+    dealt = with_next(docs, n).withColumn("lane", lane).repartition(n, "lane").drop("lane").sortWithinPartitions("bucket", "last", F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
     return dealt.mapInArrow(run, schema)
 
 
+def spotsigs_near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_report(table(spark, sf_dir, "documents"))

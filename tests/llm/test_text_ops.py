@@ -267,16 +267,43 @@ def test_fingerprints_tell_copies(spark, sf):
     assert sum(r["near_edited"] for r in got) / len(got) > 0.5 and sum(r["near_next"] for r in got) / len(got) < 0.05
 
 
-def test_near_pairs_by_brute_force(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    names: dict = {}
-    for r in docs.collect():
-        s = frozenset(spotsigs.signatures(r["text"]))
-        if s:
-            names[s] = min(names.get(s, r["doc_id"]), r["doc_id"])
-    items = [(n, s) for s, n in names.items()]
-    want = {(min(a, b), max(a, b)) for i, (a, x) in enumerate(items) for b, y in items[:i] if len(x & y) >= 0.5 * len(x | y)}
-    assert {(r["a"], r["b"]) for r in spotsigs.near_pairs(docs, 0.5).collect()} == want
+@pytest.mark.parametrize("hot", [spotsigs.HOT, 2])
+def test_near_classes_by_brute_force(spark, sf, odd, empty, hot):
+    base = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    chain = ["the " + " the ".join(f"a{k} b{k}" for k in range(i, i + 30)) for i in range(12)]
+    more = spark.createDataFrame([*[(None, t) for t in chain[:6]], *[(7, t) for t in chain[6:]], (7, chain[6]), (8, None), (9, "")], "doc_id long, text string")
+    for df, floor in ((base, 0.5), (base.unionByName(more), 0.8), (odd, 0.8)):
+        docs = [(r["doc_id"], r["text"]) for r in df.collect()]
+        prints = [frozenset(brute_spots(t)) for _, t in docs]
+        ids = {}
+        for (i, _), s in zip(docs, prints, strict=True):
+            ids.setdefault(s, []).append(i)
+        classes = list(ids)
+        links = {x: sum(bool(x and y and x is not y and len(x & y) >= floor * len(x | y)) for y in classes) for x in classes}
+        want = sorted(((i, min((k for k in ids[s] if k is not None), default=None), links[s]) for (i, _), s in zip(docs, prints, strict=True)), key=str)
+        assert sorted(map(tuple, spotsigs.near_classes(df, floor, hot=hot).collect()), key=str) == want
+    assert spotsigs.near_classes(empty).count() == 0
+
+
+def brute_spots(text):
+    """A text's chains with the number of each that came before, written anew."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in (re.sub(r"^\W+|\W+$", "", x) for x in re.split(r"[\x20\x09-\x0D]+", low)) if w]
+    out, seen, chains, after, between = set(), collections.Counter(), [], [], None
+    starts = []
+    for w in words:  # whether each word begins a chain
+        common = w in spotsigs.ANCHORS
+        starts.append(common or between is None or between >= spotsigs.GAP)
+        between = 0 if common else None if between is None else between + 1
+    for w, begins in zip(reversed(words), reversed(starts), strict=True):  # after: the content words that follow
+        if begins and len(after) >= 2:
+            chains.append((w, *after[:2]))
+        if w not in spotsigs.ANCHORS:
+            after = [w, *after[:1]]
+    for c in chains or ([tuple(words)] if words else []):
+        out.add((c, seen[c]))
+        seen[c] += 1
+    return out
 
 
 def test_jaccard():
