@@ -298,13 +298,34 @@ def test_one_row_of_each_group_whatever_the_ids(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, a), (1, b), (None, c), (-1, d), (7, "")], key=str)
 
 
+def brute_groups(texts):
+    """Whether each text is the first of its group: groups are what pairs of a Jaccard index of five-word shingles of 0.8 or more connect."""
+    sets = [brute_five(t) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for b, y in enumerate(sets):
+        for a, x in enumerate(sets[:b]):
+            if 5 * len(x & y) >= 4 * len(x | y) and find(a) != find(b):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(k) == k for k in range(len(sets))]
+
+
+def brute_five(text):
+    w = words_of(text)
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
 def test_pipeline_by_brute_force(spark, sf):
     docs = sorted(((r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()))
     samples = language_id.learn(spark.read.parquet(f"{sf}/documents.parquet").where(~language_id.held_out()))
     told = language_id.Model(samples).predict([t for _, t, _ in docs])
-    docs = [d for d, (lang, _) in zip(docs, told, strict=True) if lang != "und"]
-    roots = brute_components([brute_fingerprint(t) for _, t, _ in docs])
-    docs = [d for k, d in enumerate(docs) if roots[k] == k]
+    docs = [d for d, (lang, score) in zip(docs, told, strict=True) if lang != "und" and score >= 0.01]
+    docs = [d for d, first in zip(docs, brute_groups([d[1] for d in docs]), strict=True) if first]
     items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     docs = [x for x in docs if not any(brute_leak(i, x[1]) for i in items)]
     c = duckdb.connect()
@@ -320,8 +341,25 @@ def test_pipeline_by_brute_force(spark, sf):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect()), key=lambda r: r[1]) == want
 
 
+def test_language_stage_rejects_and_writes(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(10**9 + k, t, None, "s", 1) for k, t in enumerate((None, "", "123 !", "Q"))], docs.schema)
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, docs.unionByName(odd), sf).collect()}
+    samples = language_id.learn(docs.where(~language_id.held_out()))
+    told = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in language_id.predicted(docs, samples).collect()}
+    assert kept == {k: lang for k, (lang, score) in told.items() if lang != "und" and score >= corpus_pipeline.TOLD}
+
+
 def test_stages_take_odd_documents(spark, sf, odd, empty):
+    """Every stage, run on nulls, empties, a long text, ties, repeated rows and on no rows at all."""
     five = ["doc_id", "text", "lang", "source", "n_chars"]
-    for df in (odd.select(*five), empty.select(*five)):
-        for name, stage in corpus_pipeline.STAGES[:-1]:
-            assert stage(spark, df, sf).columns == five, name
+    want = {"language_id": None, "near_dedup": 8, "decontaminate": 12, "mix_sources": None, "token_ids": 12}
+    for df, rows in ((odd.select(*five), 12), (empty.select(*five), 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, df, sf)
+            found = got.collect()
+            assert name == "token_ids" or got.columns == five, name
+            assert not rows or want[name] is None or len(found) == want[name], name
+            assert rows or not found, name
+    told = corpus_pipeline.language_id(spark, odd.select(*five), sf).collect()
+    assert {r["doc_id"] for r in told} >= {4, 5, 6} and not {r["doc_id"] for r in told} & {1, 2, 3, 9}
