@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace as changed
 
 from pyspark.sql import functions as F
@@ -76,15 +77,73 @@ def replace(v: View, name: str, expression: str, condition: str = "") -> View:
     if x.kind == "s":
         new = F.coalesce(x.col, F.lit(""))
     else:
+        kind = kept_type(v, name, expression)
         new = F.when(x.col, 1.0).when(~x.col, 0.0) if x.kind == "b" else x.col if x.sure else finite(x.col.cast("double"))
-        old = old.cast("double")
+        new, old = new.cast(kind), old.cast(kind)
     if condition:
         c, _ = v.condition(condition)
         new = F.when(F.coalesce(c, F.lit(False)), new).otherwise(old)
-    meta = changed(v.meta.get(name, Meta()), storage="")
+    was = v.meta.get(name, Meta())
+    meta = changed(was, storage=was.storage if x.kind != "s" and v.type_of(name).simpleString() == kind and expression.strip() == "." else "")
     return v.then(df.withColumn(name, new), f"replace {name} = {expression}{' if ' + condition if condition else ''}", order=order, meta={**v.meta, name: meta})
 
 
+def kept_type(v: View, name: str, expression: str) -> str:
+    """The type of a number after replace: its own if no value can need more, a wider whole number, else double.
+
+    Sums, differences and products of whole numbers are whole; a missing value fits any type.
+    """
+    whole, old = ("tinyint", "smallint", "int", "bigint"), v.type_of(name).simpleString()
+    if expression.strip() == ".":
+        return old if old in (*whole, "float") else "double"
+    words = re.findall(r"[A-Za-z_]\w*|[0-9.]+|\S", expression)
+    kinds = []
+    for w in words:
+        if re.fullmatch(r"[0-9]{1,9}", w):
+            kinds.append(next(t for t, most in (("tinyint", 127), ("smallint", 32767), ("int", 2**31)) if int(w) <= most))
+        elif w in v.names:
+            kinds.append(v.type_of(w).simpleString())
+        elif w not in "+-*()":
+            return "double"
+    if not set(kinds) <= {*whole, "float"} or old not in (*whole, "float"):
+        return "double"
+    if old == "float" or "float" in kinds:
+        return "float" if old == "float" and (len(words) == 1 or "float" not in kinds) else "double"
+    if any(w in "+-*" for w in words):
+        return "bigint"
+    return max([old, *kinds], key=whole.index)
+
+
+def label_define(v: View, name: str, texts: dict[int, str]) -> View:
+    """A value label: texts of whole numbers."""
+    valid_name(name)
+    return changed(v, value_labels={**v.value_labels, name: {int(k): str(t) for k, t in texts.items()}})
+
+
+def label_values(v: View, names: str, label: str = "") -> View:
+    """Attach a value label to numbers; none takes it off."""
+    got = v.expand(names)
+    if label and label not in v.value_labels:
+        raise VerbError(f"value label {label} not found", 111)
+    if any(v.kinds[n] == "s" for n in got):
+        raise VerbError("a string has no value label", 181)
+    return changed(v, meta={**v.meta, **{n: changed(v.meta.get(n, Meta()), value_label=label) for n in got}})
+
+
+def note(v: View, text: str) -> View:
+    """A note on the data; it is saved and read back with them."""
+    return changed(v, notes=(*v.notes, text))
+
+
+def char(v: View, name: str, key: str, text: str) -> View:
+    """A characteristic of a variable; an empty text takes it off."""
+    v.expand(name, wild=False)
+    valid_name(key)
+    m = v.meta.get(name, Meta())
+    rest = tuple((k, t) for k, t in m.chars if k != key)
+    return changed(v, meta={**v.meta, name: changed(m, chars=(*rest, (key, text)) if text else rest)})
+
+
 def rename(v: View, old: str, new: str) -> View:
     """rename(v, "a", "b"), or simultaneously rename(v, "a b", "b a")."""
     olds, news = old.split(), new.split()

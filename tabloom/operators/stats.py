@@ -81,8 +81,8 @@ def tabulate(v: View, name: str, missing: bool = False) -> DataFrame:
     return small.select(F.coalesce(label_text(v, n), F.lit("." if v.kinds[n] == "n" else "")).alias("value"), "freq", (F.col("freq") * 100.0 / F.lit(max(total, 1))).alias("percent"), (F.sum("freq").over(w) * 100.0 / F.lit(max(total, 1))).alias("cum"))
 
 
-def tabulate_two(v: View, a: str, b: str, missing: bool = False) -> DataFrame:
-    """row, col, freq, and each cell's share of its row and column, in percent."""
+def tabulate_two(v: View, a: str, b: str, missing: bool = False, totals: bool = False) -> DataFrame:
+    """row, col, freq, and each cell's share of its row and column, in percent; with totals also rows and columns named Total."""
     a, b = v.expand(a, wild=False)[0], v.expand(b, wild=False)[0]
     df = v.df if missing else v.df.where(there(v, a) & there(v, b))
     none = {"n": ".", "s": ""}
@@ -96,7 +96,12 @@ def tabulate_two(v: View, a: str, b: str, missing: bool = False) -> DataFrame:
     for r in cells:
         rows[r["row"]] = rows.get(r["row"], 0) + r["freq"]
         cols[r["col"]] = cols.get(r["col"], 0) + r["freq"]
-    return frame(v, [(r["row"], r["col"], r["freq"], 100.0 * r["freq"] / rows[r["row"]], 100.0 * r["freq"] / cols[r["col"]]) for r in cells], "row string, col string, freq long, row_percent double, col_percent double")
+    told = [(r["row"], r["col"], r["freq"]) for r in cells]
+    if totals:
+        whole = sum(rows.values())
+        told += [*[(r, "Total", n) for r, n in rows.items()], *[("Total", c, n) for c, n in cols.items()], ("Total", "Total", whole)]
+        rows["Total"] = cols["Total"] = whole
+    return frame(v, [(r, c, n, 100.0 * n / rows[r] if n else 0.0, 100.0 * n / cols[c] if n else 0.0) for r, c, n in told], "row string, col string, freq long, row_percent double, col_percent double")
 
 
 def misstable(v: View, names: str = "") -> DataFrame:

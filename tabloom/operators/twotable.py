@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from dataclasses import replace as changed
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,16 @@ def _brought(v: View, u: View, keys: list[str], keepusing: str) -> list[str]:
     return [n for n in wanted if n not in both]
 
 
+def _labels(v: View, *using: View) -> dict[str, dict[int, str]]:
+    """Value labels of all tables; of a name that two define otherwise, the first one's."""
+    out = dict(v.value_labels)
+    for u in using:
+        for name, texts in u.value_labels.items():
+            if out.setdefault(name, texts) != texts:
+                warnings.warn(f"value label {name} differs between the tables: the master's is kept", stacklevel=4)
+    return out
+
+
 def _sides(v: View, u: View, keys: list[str], bring: list[str]) -> tuple[DataFrame, DataFrame]:
     """Both tables with comparable keys: numbers as numbers of one type, '' and NaN as missing."""
     cast = {k: "string" if v.kinds[k] == "s" else None for k in keys}
@@ -103,7 +114,7 @@ def merge(v: View, kind: str, keys: str, using: View, keep: str = "", keepusing:
     if not nogenerate:
         cols.append(mark.alias(generate))
     meta = {**{n: using.meta[n] for n in bring if n in using.meta}, **v.meta}
-    labels = {**using.value_labels, **v.value_labels}
+    labels = _labels(v, using)
     if not nogenerate:
         meta[generate] = Meta(label="matching result from merge", value_label="_merge")
         labels["_merge"] = MERGE_LABEL
@@ -136,7 +147,7 @@ def merge_rows_in_turn(v: View, keys: str, using: View) -> View:
     j = j.join(u, [spine[f"__k{i}"].eqNullSafe(u[f"__u{i}"]) for i in range(len(names))] + [F.least("__i", "__cu") == u["__ru"]], "left")
     cols = [F.col(f"__k{names.index(n)}").alias(n) if n in names else _filled(n, v.kinds[n]) for n in v.names] + [_filled(n, using.kinds[n]) for n in bring]
     cols.append(F.when(F.col("__cm").isNull(), 2).when(F.col("__cu").isNull(), 1).otherwise(3).cast("tinyint").alias("_merge"))
-    return v.then(j.select(*cols), f"merge m:m {keys}", order=tuple((k, False) for k in names), meta={**using.meta, **v.meta}, value_labels={**using.value_labels, **v.value_labels, "_merge": MERGE_LABEL})
+    return v.then(j.select(*cols), f"merge m:m {keys}", order=tuple((k, False) for k in names), meta={**using.meta, **v.meta}, value_labels={**_labels(v, using), "_merge": MERGE_LABEL})
 
 
 def joinby(v: View, keys: str, using: View) -> View:
@@ -148,7 +159,7 @@ def joinby(v: View, keys: str, using: View) -> View:
     m, u = _sides(v, using, names, bring)
     j = m.join(u, [m[f"__m{i}"].eqNullSafe(u[f"__u{i}"]) for i in range(len(names))], "inner")
     cols = [F.col(f"__m{names.index(n)}").alias(n) if n in names else F.col(f"`{n}`") for n in v.names]
-    return v.then(j.select(*cols, *[F.col(f"`{n}`") for n in bring]), f"joinby {keys}", order=tuple((k, False) for k in names), meta={**{n: using.meta[n] for n in bring if n in using.meta}, **v.meta}, value_labels={**using.value_labels, **v.value_labels}, paths=(*v.paths, *using.paths))
+    return v.then(j.select(*cols, *[F.col(f"`{n}`") for n in bring]), f"joinby {keys}", order=tuple((k, False) for k in names), meta={**{n: using.meta[n] for n in bring if n in using.meta}, **v.meta}, value_labels=_labels(v, using), paths=(*v.paths, *using.paths))
 
 
 def append(v: View, *using: View, generate: str = "") -> View:
@@ -157,14 +168,13 @@ def append(v: View, *using: View, generate: str = "") -> View:
         valid_name(generate)
     if generate and any(generate in w.names for w in (v, *using)):
         raise VerbError(f"variable {generate} already defined", 110)
-    kinds, out, meta, labels = dict(v.kinds), None, dict(v.meta), dict(v.value_labels)
+    kinds, out, meta, labels = dict(v.kinds), None, dict(v.meta), _labels(v, *using)
     for w in using:
         check_ranges(w)
         for n, k in w.kinds.items():
             if kinds.setdefault(n, k) != k:
                 raise VerbError(f"{n} is a string in one table and a number in the other", 106)
         meta = {**w.meta, **meta}
-        labels = {**w.value_labels, **labels}
     types: dict[str, set[str]] = {}
     for w in (v, *using):
         for n in w.names:
@@ -184,11 +194,54 @@ def append(v: View, *using: View, generate: str = "") -> View:
     return v.then(out, "append", order=(), meta=meta, value_labels=labels, paths=(*v.paths, *[p for w in using for p in w.paths]))
 
 
-def merge_in(v: View, kind: str, keys: str, using: View, update: bool = False, replace: bool = False, asserted: str = "", **options) -> View:
-    """merge with update (fill missing values), replace (also overwrite by nonmissing ones) and assert()."""
+def append_in(v: View, using: View, keep: str = "", force: bool = False) -> View:
+    """append of some of a table's variables; with force, one that is a string in one table and a number in the other is missing there."""
+    if keep:
+        using = _only(using, keep)
+    other = [n for n in using.names if n in v.names and using.kinds[n] != v.kinds[n]]
+    if other and force:
+        blank = [F.lit("" if v.kinds[n] == "s" else None).cast(v.type_of(n)).alias(n) if n in other else F.col(f"`{n}`") for n in using.names]
+        using = using.then(using.df.select(*blank), "force", order=(), meta={n: m for n, m in using.meta.items() if n not in other})
+    return append(v, using)
+
+
+def _only(v: View, names: str) -> View:
+    from .columns import keep
+
+    return keep(v, names)
+
+
+def merge_report(v: View, generate: str = "_merge") -> dict[str, int]:
+    """How many rows came from the master alone, the using table alone, and both."""
+    per = {r["m"]: r["n"] for r in v.df.groupBy(F.col(f"`{generate}`").alias("m")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {text: per.get(k, 0) for k, text in MERGE_LABEL.items()}
+
+
+def merge_in(
+    v: View, kind: str, keys: str, using: View, update: bool = False, replace: bool = False, asserted: str = "", force: bool = False, nolabel: bool = False, nonotes: bool = False, noreport: bool = True, **options
+) -> View:
+    """merge with update (fill missing values), replace (also overwrite by nonmissing ones) and assert().
+
+    force: of a variable that is a string in one table and a number in the other, the master's
+    values stay; nolabel and nonotes: the using table's value labels and notes are not taken;
+    noreport: the counts of merge_report are not printed.
+    """
+    using = changed(using, value_labels={} if nolabel else using.value_labels)
+    out = _merged_in(v, kind, keys, using, update, replace, asserted, force, **options)
+    if not nonotes:
+        out = changed(out, notes=(*v.notes, *[n for n in using.notes if n not in v.notes]))
+    if not noreport and options.get("generate", "_merge") in out.names:
+        for text, n in merge_report(out, options.get("generate", "_merge")).items():
+            print(f"{text:20} {n:>12}")
+    return out
+
+
+def _merged_in(v: View, kind: str, keys: str, using: View, update: bool, replace: bool, asserted: str, force: bool, **options) -> View:
     if kind == "m:m":
         return merge_rows_in_turn(v, keys, using)
     names = v.expand(keys, wild=False)
+    if force:
+        using = _only(using, " ".join(n for n in using.names if n in names or n not in v.names or using.kinds[n] == v.kinds[n]))
     shared = [n for n in using.names if n in v.names and n not in names]
     if (update or replace) and shared:
         for n in shared:

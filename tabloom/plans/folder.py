@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def fixed(df: DataFrame) -> DataFrame:
-    """The rows as they are dealt now, kept in the shared folder (spark.checkpoint.dir; a temporary one where it is unset).
+    """The rows as they are dealt now, kept in the shared folder (spark.checkpoint.dir; a temporary one where all of Spark is in this process).
 
     What is read twice and must be the same both times needs it: a range
     partitioning samples anew on every run.
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tabloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tabloom-"))
     return df.checkpoint(eager=True)

@@ -43,6 +43,7 @@ class View:
     steps: tuple[str, ...] = ()
     paths: tuple[str, ...] = ()
     notes: tuple[str, ...] = ()
+    source: DataFrame | None = None  # as it was read, for what loading must tell of it
 
     # -- what there is
 

@@ -17,7 +17,7 @@ from .sources import readers, writers
 
 #: Verbs that make a new view, and what reads one, by name.
 VERBS = {
-    **{n: getattr(columns, n) for n in ("keep", "drop", "keep_if", "drop_if", "gen", "replace", "rename", "order", "sort", "gsort", "keep_in", "sample", "label", "fmt", "query")},
+    **{n: getattr(columns, n) for n in ("keep", "drop", "keep_if", "drop_if", "gen", "replace", "rename", "order", "sort", "gsort", "keep_in", "sample", "label", "label_define", "label_values", "note", "char", "fmt", "query")},
     **{n: getattr(aggregate, n) for n in ("collapse", "contract", "duplicates_drop", "egen")},
     **{n: getattr(reshape, n) for n in ("reshape_long", "reshape_wide", "pivot")},
 }
@@ -27,7 +27,7 @@ READS = {
     **{n: getattr(stats, n) for n in ("summarize", "summarize_detail", "tabulate", "tabulate_two", "misstable", "misstable_patterns", "levelsof", "codebook", "distinct", "duplicates_report", "duplicates_list", "tabstat", "correlate", "pwcorr", "histogram", "describe", "lookfor")},
     "glimpse": stats.describe,
 }
-TWO = {n: getattr(twotable, n) for n in ("merge", "merge_in", "joinby", "append")}
+TWO = {n: getattr(twotable, n) for n in ("merge", "merge_in", "joinby", "append", "append_in")}
 
 
 class Session:
@@ -122,7 +122,9 @@ class Session:
     # -- plans and settings
 
     def show(self) -> str:
-        return "\n".join(f"{k + 1}. {s}" for k, s in enumerate(self.view.steps))
+        """The verbs of the view, and the plan that they make."""
+        steps = "\n".join(f"{k + 1}. {s}" for k, s in enumerate(self.view.steps))
+        return f"{steps}\n\n{self.view.sorted_df()._jdf.queryExecution().optimizedPlan().toString()}"
 
     def explain(self, mode: str = "formatted") -> None:
         self.view.sorted_df().explain(mode)
@@ -166,6 +168,8 @@ class Session:
             return lambda *a, **k: READS[name](self.view, *a, **k)
         if name == "append":
             return lambda *using, **k: self.put(twotable.append(self.view, *[self._source(u) for u in using], **k))
+        if name == "append_in":
+            return lambda using, **k: self.put(twotable.append_in(self.view, self._source(using), **k))
         if name == "joinby":
             return lambda keys, using, **k: self.put(twotable.joinby(self.view, keys, self._source(using), **k))
         if name in ("merge", "merge_in"):

@@ -7,6 +7,8 @@ import glob
 import json
 import os
 import warnings
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace as changed
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import types as T
 from ..errors import VerbError
 from ..functions.values import BIG, EPOCH_MS
 from ..plans.view import Meta, View
+from . import store
 from .names import sanitised
 
 META_KEY = "tabloom"
@@ -37,26 +40,27 @@ def boundary(df: DataFrame, paths: tuple[str, ...] = (), step: str = "use") -> V
         raise VerbError("no variable is left")
     for f, name in zip(kept, sanitised([f.name for f in kept]), strict=True):
         c, t = F.col(f"`{f.name}`"), f.dataType
-        m = Meta(**{k: v for k, v in json.loads((f.metadata or {}).get(META_KEY, "{}")).items() if k in ("storage", "fmt", "label", "value_label")}, source=f.name if f.name != name else "")
+        told = json.loads((f.metadata or {}).get(META_KEY, "{}"))
+        m = Meta(**{k: v for k, v in told.items() if k in ("storage", "fmt", "label", "value_label")}, source=f.name if f.name != name else "", chars=tuple(tuple(c) for c in told.get("chars", ())))
         if isinstance(t, T.BooleanType):
             c = c.cast("tinyint")
         elif isinstance(t, (T.FloatType, T.DoubleType)):
             c = F.when(F.abs(c) < F.lit(BIG), c)
         elif isinstance(t, T.DateType):
-            c, m = F.datediff(c, F.lit("1960-01-01").cast("date")), Meta(m.storage, m.fmt or "%td", m.label, m.value_label, m.source)
+            c, m = F.datediff(c, F.lit("1960-01-01").cast("date")), changed(m, fmt=m.fmt or "%td")
         elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
             micros = F.unix_micros(c.cast("timestamp")) if isinstance(t, T.TimestampType) else F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{f.name}`)")
-            c, m = F.floor(micros / 1000).cast("bigint") + F.lit(EPOCH_MS), Meta(m.storage, m.fmt or "%tc", m.label, m.value_label, m.source)
+            c, m = F.floor(micros / 1000).cast("bigint") + F.lit(EPOCH_MS), changed(m, fmt=m.fmt or "%tc")
         elif isinstance(t, T.NullType):
             c = c.cast("int")
         elif isinstance(t, T.StringType):
             c = F.coalesce(c, F.lit(""))
         elif type(t).__name__ == "TimeType":
-            c, m = F.expr(f"cast(extract(hour from `{f.name}`) * 3600000 + extract(minute from `{f.name}`) * 60000 + floor(extract(second from `{f.name}`) * 1000) as bigint)"), Meta(m.storage, "%tcHH:MM:SS", m.label, m.value_label, m.source)
+            c, m = F.expr(f"cast(extract(hour from `{f.name}`) * 3600000 + extract(minute from `{f.name}`) * 60000 + floor(extract(second from `{f.name}`) * 1000) as bigint)"), changed(m, fmt="%tcHH:MM:SS")
         cols.append(c.alias(name))
         meta[name] = m
     out = df.select(*cols)
-    return View(out, {k: m for k, m in meta.items() if m != Meta()}, steps=(step,), paths=paths)
+    return View(out, {k: m for k, m in meta.items() if m != Meta()}, steps=(step,), paths=paths, source=df)
 
 
 def _readable(t: T.DataType) -> bool:
@@ -85,30 +89,33 @@ def escaped(path: str) -> str:
 def footers(files: list[str]) -> list[dict[str, str]]:
     import pyarrow.parquet as pq
 
-    out = []
-    for f in files:
+    def one(f: str) -> dict[str, str]:
         schema = pq.read_schema(f)
         if any("\0" in n for n in schema.names):
             raise VerbError(f"{f}: a column name has a NUL byte")
-        out.append({n: str(t) for n, t in zip(schema.names, schema.types, strict=True)})
-    return out
+        if len(set(schema.names)) < len(schema.names):
+            raise VerbError(f"{f}: a column name occurs twice in the file")
+        return {n: str(t) for n, t in zip(schema.names, schema.types, strict=True)}
+
+    with ThreadPoolExecutor(store.AT_ONCE) as pool:  # many small reads that wait for the disk
+        return list(pool.map(one, files))
 
 
 def read_parquet(spark: SparkSession, path: str | list[str], relaxed: bool = False) -> DataFrame:
     """One file, a list, a pattern or a partitioned tree; all files alike, unless relaxed: then the union by name."""
     paths = [path] if isinstance(path, str) else list(path)
-    if any(is_remote(p) for p in paths):  # a store that only Spark's readers can open: Spark's own schema rules hold
-        reader = spark.read.option("mergeSchema", "true") if relaxed else spark.read
-        return reader.parquet(*paths)
-    paths = [p.removeprefix("file://") for p in paths]
-    files = [f for p in paths for f in local_files(p)]
+    remote = any(is_remote(p) for p in paths)
+    paths = paths if remote else [p.removeprefix("file://") for p in paths]
+    files = [f for p in paths for f in (store.parquet_files(spark, p) if remote else local_files(p))]
     if not files:
         raise VerbError(f"file {', '.join(paths)} not found", 601)
-    heads = footers(files)
+    heads = store.footers(spark, files) if remote else footers(files)
     if len({tuple(h) for h in heads}) == 1 and any(len(set(h)) < len(h) for h in heads):
         raise VerbError("a column name occurs twice in the file")
     fold = [{k.lower(): v for k, v in h.items()} for h in heads]
     if all(f == fold[0] for f in fold):
+        if remote:
+            return spark.read.parquet(*paths)
         base = paths[0] if len(paths) == 1 and os.path.isdir(paths[0]) else None
         return spark.read.parquet(escaped(base)) if base else spark.read.parquet(*[escaped(f) for f in files])
     if not relaxed:
@@ -187,9 +194,11 @@ def use(spark: SparkSession, path: str | list[str], names: str = "", relaxed: bo
     else:
         df = read_parquet(spark, path, relaxed)
     v = boundary(df, (path,) if isinstance(path, str) else tuple(path), f"use {path}")
-    side = sidecar(first)
+    side = sidecar(first, spark)
     if side:
-        v = View(v.df, v.meta, tuple((n, False) for n in side.get("sortedby", ()) if n in v.names), (), {k: {int(a): b for a, b in m.items()} for k, m in side.get("value_labels", {}).items()}, side.get("data_label", ""), v.missing_high, v.steps, v.paths)
+        labels = {k: {int(a): b for a, b in m.items()} for k, m in side.get("value_labels", {}).items()}
+        order = tuple((n, False) for n in side.get("sortedby", ()) if n in v.names)
+        v = changed(v, order=order, value_labels=labels, data_label=side.get("data_label", ""), notes=tuple(side.get("notes", ())))
     if names:
         from ..operators.columns import keep
 
@@ -197,9 +206,12 @@ def use(spark: SparkSession, path: str | list[str], names: str = "", relaxed: bo
     return v
 
 
-def sidecar(path: str) -> dict:
-    """Labels and sort that a saved view left beside its data; nothing if there is none or it can't be read."""
+def sidecar(path: str, spark: SparkSession | None = None) -> dict:
+    """Labels, notes and sort that a saved view left beside its data; nothing if there is none or it can't be read."""
     try:
+        if is_remote(path):
+            got = json.loads((spark and not set("*?{[") & set(path) and store.read_text(spark, f"{path.rstrip('/')}/_tabloom.json")) or "null")
+            return got if isinstance(got, dict) else {}
         with open(os.path.join(path.removeprefix("file://"), "_tabloom.json")) as f:
             got = json.load(f)
         return got if isinstance(got, dict) else {}

@@ -248,3 +248,82 @@ def test_session(spark, panel):
     with pytest.raises(VerbError):
         s.count()
     assert s.selftest()
+
+
+@pytest.fixture(scope="module")
+def remote(spark, tmp_path_factory):
+    """A folder by a path that only Spark's file systems can open."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.far.link./in", "file://" + str(tmp_path_factory.mktemp("far")))
+    return "viewfs://far/in"
+
+
+def test_remote_store_keeps_labels_and_is_strict(spark, panel, remote):
+    v = C.label_define(C.note(C.label(C.sort(panel, "id year"), "wage", "Wage"), "a note"), "yl", {2019: "old"})
+    v = C.char(C.label_values(v, "year", "yl"), "wage", "unit", "EUR")
+    assert save(v, f"{remote}/t") == 6
+    back = use(spark, f"{remote}/t")
+    assert back.meta["wage"].label == "Wage" and back.meta["wage"].chars == (("unit", "EUR"),) and back.notes == ("a note",)
+    assert back.order == (("id", False), ("year", False)) and back.value_labels == {"yl": {2019: "old"}} and back.meta["year"].value_label == "yl"
+    assert rows(back) == rows(v)
+    with pytest.raises(VerbError, match="already exists"):
+        save(v, f"{remote}/t")
+    assert save(C.keep_if(v, "id < 3"), f"{remote}/t", replace=True) == 4 and use(spark, f"{remote}/t").df.count() == 4
+    save(C.keep(v, "id wage"), f"{remote}/two/a.parquet")
+    save(C.keep(v, "id firm"), f"{remote}/two/b.parquet")
+    with pytest.raises(VerbError, match="differ"):
+        use(spark, f"{remote}/two/*.parquet")
+    assert sorted(use(spark, f"{remote}/two/*.parquet", relaxed=True).names) == ["firm", "id", "wage"]
+
+
+def test_replace_keeps_storage(spark):
+    v = boundary(spark.createDataFrame([(1, 2, 1.5, 2.5)], "b tinyint, i int, f float, d double"))
+    kind = lambda w, n: w.type_of(n).simpleString()
+    assert [kind(C.replace(v, n, "."), n) for n in "bifd"] == ["tinyint", "int", "float", "double"]
+    assert kind(C.replace(v, "i", "i + 1"), "i") == "bigint" and rows(C.replace(v, "i", "i + 1"))[0][1] == 3
+    assert kind(C.replace(v, "f", "i"), "f") == "float" and kind(C.replace(v, "f", "d"), "f") == "double" and kind(C.replace(v, "i", "i / 2"), "i") == "double"
+    assert kind(C.replace(v, "b", "300", "i > 5"), "b") == "smallint"
+
+
+def test_loading_refuses_and_notes(spark):
+    v = boundary(spark.createDataFrame([(1, 9e307, 2**60), (2, 1.0, 3)], "k int, x double, big long"))
+    from tabloom.sources.writers import collect
+
+    with pytest.warns(UserWarning, match="x: 1 values"), pytest.warns(UserWarning, match="big: 1 values"):
+        collect(v)
+    narrow = C.gen(v, "n", "k", "byte")
+    wide = View_with(narrow, C.changed(narrow.meta["n"], storage="byte"))
+    with pytest.raises(VerbError, match="outside the range"):
+        collect(wide)
+
+
+def View_with(v, meta):  # noqa: N802  a view whose variable holds more than it declares
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    return replace(v, df=v.df.withColumn("n", F.lit(1000)), meta={**v.meta, "n": meta})
+
+
+def test_saving_notes_rounded_dates(spark, panel, tmp_path):
+    v = C.fmt(C.gen(panel, "d", "td(1jan2020) + id / 2"), "d", "%td")
+    with pytest.warns(UserWarning, match="rounded: d"):
+        assert save(v, str(tmp_path / "t")) == 6
+
+
+def test_label_clash_warns_and_options(spark):
+    a = C.label_define(boundary(spark.createDataFrame([(1, "p", 2.0)], "k int, s string, x double")), "l", {1: "one"})
+    b = C.note(C.label_define(boundary(spark.createDataFrame([(1, 5, 3.0), (2, 6, 4.0)], "k int, s int, x double")), "l", {1: "uno"}), "from b")
+    with pytest.warns(UserWarning, match="value label l differs"):
+        assert T.joinby(a, "k", C.keep(b, "k")).value_labels["l"] == {1: "one"}
+    got = T.merge_in(a, "1:1", "k", b, update=True, force=True, nolabel=True)
+    assert sorted(rows(got), key=str) == [(1, "p", 2.0, 3), (2, "", 4.0, 2)] and got.notes == ("from b",)
+    assert T.merge_in(a, "1:1", "k", C.drop(b, "s"), nonotes=True, nolabel=True).notes == () and T.merge_report(got) == {"Master only (1)": 0, "Using only (2)": 1, "Matched (3)": 1}
+    with pytest.raises(VerbError):
+        T.append_in(a, b)
+    assert sorted(rows(T.append_in(a, b, force=True)), key=str) == [(1, "", 3.0), (1, "p", 2.0), (2, "", 4.0)]
+    assert T.append_in(a, b, keep="k x").df.count() == 3
+
+
+def test_two_way_totals(panel):
+    got = {(r["row"], r["col"]): (r["freq"], r["row_percent"]) for r in X.tabulate_two(panel, "firm", "year", totals=True).collect()}
+    assert got["Total", "Total"] == (6, 100.0) and got["a", "Total"] == (4, 100.0) and got["Total", "2019"] == (3, 50.0)
