@@ -152,7 +152,8 @@ def _wider(name: str, a: T.DataType, b: T.DataType) -> T.DataType:
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """Delimited text with a header; the delimiter is found in its first lines, the types by Spark."""
-    if not is_remote(path) and not glob.glob(path) and not os.path.exists(path):
+    local = path.removeprefix("file://")
+    if not is_remote(path) and not glob.glob(local) and not os.path.exists(local):
         raise VerbError(f"file {path} not found", 601)
     sep = "\t" if path.lower().endswith((".tsv", ".tab")) else None
     if sep is None:
