@@ -7,14 +7,11 @@ is numeric ("n"), a string ("s") or a truth value ("b").
 from __future__ import annotations
 
 import datetime as dt
-import functools
 import re
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import VerbError, not_found
 from .values import BIG, date_of_days, days_of, double, down, finite, trunc, up
@@ -35,29 +32,70 @@ class Value:
     sure: bool = False  # a number that needs no further check of its range
 
 
-def number_text(x) -> str:
-    """A number in at most nine characters, as a table shows it: "." if missing."""
-    if x is None or x != x or abs(x) >= BIG:
-        return "."
-    if x == 0:
-        return "0"
-    if abs(x) < 1e9 and x == int(x):
-        return str(int(x))
-    e = int(f"{x:e}".partition("e")[2])
-    text = f"{x:.7f}".rstrip("0") if -5 <= e < 0 else f"{x:.7g}" if 0 <= e < 7 else "e"
-    if "e" in text:
-        mantissa, _, power = f"{x:.{1 if abs(e) >= 100 else 2}e}".partition("e")
-        return f"{mantissa}e{int(power):+03d}"
-    return text.replace("0.", ".", 1) if text.startswith(("0.", "-0.")) else text
-
-
-def _number_texts(x: pd.Series) -> pd.Series:
-    return x.map(number_text)
-
-
-@functools.cache
-def _number_text():
-    return F.pandas_udf(_number_texts, T.StringType())
+def _rounded_product(a: Column, times: Column) -> Column:
+    """The whole number nearest to a * times (even if halfway) as its exact product has it: the rounding error of the product decides what it leaves open."""
+    cut = F.lit(134217729.0)
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        high = cut * x - (cut * x - x)
+        return high, x - high
+
+    (ah, al), (th, tl) = halves(a), halves(times)
+    p = a * times
+    error = ((ah * th - p) + ah * tl + al * th) + al * tl
+    n = F.floor(p)
+    part = p - n
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (n % 2 == 1))))
+    return n + F.when(up, 1).otherwise(0)
+
+
+def _fixed(whole: Column, places: Column) -> Column:
+    """whole / 10^places in digits, without zeros at the end of the fraction or before the point."""
+    digits = F.lpad(whole.cast("string"), 8, "0")
+    head = F.regexp_replace(F.substring(digits, F.lit(1), F.lit(8) - places), "^0+", "")
+    tail = F.regexp_replace(F.substring(digits, F.lit(9) - places, places), "0+$", "")
+    return F.concat(head, F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(F.lit("")))
+
+
+def number_text(x: Column) -> Column:
+    """A number in at most nine characters, as a table shows it: "." if missing.
+
+    Whole numbers under 10^9 have their digits; others from 10^-5 to 10^7 seven digits (seven
+    places below 1); the rest a power of ten, whose digits beyond 10^20 and below 10^-20 are
+    rounded half up from the shortest decimal.
+    """
+    a = F.abs(x)
+    sign = F.when(x < 0, "-").otherwise("")
+    # digits before the point, and the seven-digit whole number
+    before = F.lit(0)
+    for k in range(7):
+        before = before + F.when(a >= 10.0**k, 1).otherwise(0)
+    places = F.when(a < 1, 7).otherwise(7 - before)
+    times = F.lit(1.0)
+    for k in range(1, 8):
+        times = F.when(places == k, 10.0**k).otherwise(times)
+    seven = _rounded_product(a, times)
+    plain = F.concat(sign, _fixed(seven, places))
+    # a power of ten: three digits
+    e = F.floor(F.log10(a)).cast("int")
+    e = F.when(F.pow(F.lit(10.0), e) > a, e - 1).when(F.pow(F.lit(10.0), e + 1) <= a, e + 1).otherwise(e)
+    scale = F.pow(F.lit(10.0), F.abs(e - 2))
+    low = F.floor(a / scale)
+    middle = (low + 0.5) * scale
+    large = low + F.when((a > middle) | ((a == middle) & (low % 2 == 1)), 1).otherwise(0)
+    three = F.when(e < 2, _rounded_product(a, scale)).otherwise(large)
+    power = F.when(three >= 1000, e + 1).otherwise(e)
+    digits = F.when(three >= 1000, 100).otherwise(three).cast("bigint").cast("string")
+    tens = F.concat(F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    exact = F.concat(sign, F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 2), F.lit("e"), tens)
+    far = F.when(F.abs(e) >= 100, F.format_string("%.1e", x)).otherwise(F.format_string("%.2e", x))
+    return (
+        F.when(F.coalesce(~(a < F.lit(BIG)), F.lit(True)), ".")
+        .when((a < 1e9) & (x == F.floor(x)), x.cast("bigint").cast("string"))
+        .when((a >= 9.9999995e-6) & (a < 1e7) & ~((seven >= 10_000_000) & (a >= 1e6)), plain)
+        .when(F.abs(e) <= 20, exact)
+        .otherwise(far)
+    )
 
 
 def day_literal(text: str, what: str = "td") -> int:
@@ -394,7 +432,7 @@ class Parser:
         return Value("s", F.when(t == "", s).otherwise(F.replace(s, t, self.string(new))))
 
     def f_string(self, v):
-        return Value("s", _number_text()(self.number(v)))
+        return Value("s", number_text(self.number(v)))
 
     def f_real(self, v):
         s = F.trim(self.string(v))

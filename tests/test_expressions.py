@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from tabloom import VerbError
 from tabloom.functions.expression import number_text, period_literal
@@ -51,8 +54,36 @@ def test_refused(five, text):
 
 
 @pytest.mark.parametrize(("x", "text"), [(1e100, "1.0e+100"), (0.00009999999, ".0001"), (0.000009999999, "1.00e-05"), (12, "12"), (3.14159265, "3.141593"), (-0.5, "-.5"), (None, "."), (0, "0"), (123456.789, "123456.8")])
-def test_number_text(x, text):
-    assert number_text(x) == text
+def test_number_text(spark, x, text):
+    assert plain_text(x) == text
+    assert texts_of(spark, [x]) == [text]
+
+
+def plain_text(x):
+    """The rule once more, by C's own formats."""
+    if x is None or x != x or abs(x) >= 2.0**1023:
+        return "."
+    if abs(x) < 1e9 and x == int(x):
+        return str(int(x))
+    e = int(f"{x:e}".partition("e")[2])
+    text = f"{x:.7f}".rstrip("0").rstrip(".") if -5 <= e < 0 else f"{x:.7g}" if 0 <= e < 7 else "e"
+    if "e" in text:
+        mantissa, _, power = f"{x:.{1 if abs(e) >= 100 else 2}e}".partition("e")
+        return f"{mantissa}e{int(power):+03d}"
+    return text.replace("0.", ".", 1) if text.startswith(("0.", "-0.")) else text
+
+
+def texts_of(spark, xs):
+    return [r[0] for r in spark.createDataFrame([(k, None if x is None else float(x)) for k, x in enumerate(xs)], "k int, x double").orderBy("k").select(number_text(F.col("x"))).collect()]
+
+
+def test_number_texts_by_c_formats(spark):
+    r = random.Random(3)
+    xs = [r.choice((-1, 1)) * r.uniform(1, 10) * 10 ** r.randint(-20, 20) for _ in range(4000)] + [round(r.uniform(0, 10 ** r.randint(0, 6)), r.randint(1, 9)) for _ in range(6000)]
+    xs += [float(f"{r.randint(1, 9)}.{r.randint(0, 99):02d}5e{r.randint(-19, 19)}") for _ in range(2000)] + [r.randint(1, 10**7) / 10 ** r.randint(1, 8) + 5 / 10 ** r.randint(5, 9) for _ in range(4000)] + [r.randint(0, 2**26) / 2 ** r.randint(1, 20) for _ in range(2000)]
+    xs += [9.9999999, 9999999.9, 999999.95, 0.99999999, 9.9999999e-6, 9.9999994e-6, 1e-5, 0.1, 1e7 + 0.5, 1e9, 1.5e9, 1125000000.0, 1e-30 * 3, None, float("nan"), float("inf"), -0.0, 123456.75, 1234.5675]
+    got = texts_of(spark, xs)
+    assert [(x, a, b) for x, a in zip(xs, got) if a != (b := plain_text(x))] == []
 
 
 def test_periods():
