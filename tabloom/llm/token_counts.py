@@ -1,7 +1,9 @@
 """Token counts of whole texts by overlap resynchronisation.
 
-Texts up to `chunk` characters go to the library whole.  A longer text is encoded
-in chunks that overlap; each chunk's token offsets are absolute positions in the
+Texts up to `chunk` characters are cut at every boundary that is proven stable by the
+text alone (the second rule below), and each distinct run between two of them is encoded
+once by the library; what was met lately is kept, in two generations, so memory stays
+bounded.  A longer text is encoded in chunks that overlap; each chunk's token offsets are absolute positions in the
 text.  Two neighbours are spliced at a common boundary that is proven stable:
 
 * both encodings end a token there, and agree on the token after it,
@@ -18,14 +20,16 @@ boundary lies at a blank, which no special string of the vocabulary contains
 (else the text is encoded whole).  sentencepiece models have no such boundary
 that holds for every model; their texts are encoded whole.
 
-Null text counts as empty (0 tokens); rows are independent; an empty table gives
-no rows; further columns are ignored.
+Null text counts as empty (0 tokens); rows are independent, so repeated rows count
+alike; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +39,11 @@ from .shared import in_pieces, kept, only, table
 CHUNK = 32_768
 OVERLAP = 512
 BATCH_CHARS = 1 << 20
+#: Runs whose counts a worker keeps: a bound of memory, not of the input.
+KEPT_RUNS = 350_000
+
+_SPACE = re.compile(r"\s")
+_STABLE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Counter:
@@ -42,6 +51,8 @@ class Counter:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.chunk, self.overlap = chunk, min(overlap, chunk // 2)
         self.pieces = path.endswith(".model")
+        self.kept: dict[str | None, int] = {None: 0}
+        self.older: dict[str | None, int] = {}
         if self.pieces:
             import sentencepiece
 
@@ -55,12 +66,53 @@ class Counter:
             self.library.no_padding()
             added = self.library.get_added_tokens_decoder().values()
             self.splits = not any(" " in str(t.content) or t.lstrip or t.rstrip for t in added)
+            # tokens that begin with the byte of a blank, as byte-level vocabularies write it
+            self.blank = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+            self.blank[[k for token, k in self.library.get_vocab().items() if token.startswith("\u0120")]] = True
 
     def whole(self, texts: list[str]) -> list[int]:
         if self.pieces:
             return [len(x) for x in self.library.encode(texts, num_threads=1)]
+        if not self.splits:
+            return self.of_library(texts)
+        runs = [_STABLE.split(t) for t in texts]
+        # a run after a boundary keeps its blank; the first one has none
+        first = self.of_library([r[0] for r in runs])
+        for r in runs:
+            r[0] = None
+        distinct: set[str | None] = set()
+        distinct.update(*runs)
+        self.learn(distinct)
+        count = self.kept.__getitem__
+        return [n + sum(map(count, r)) for n, r in zip(first, runs, strict=True)]
+
+    def of_library(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, runs: set[str | None]) -> None:
+        """Have the number of tokens of each run in self.kept."""
+        if len(self.kept) > KEPT_RUNS:
+            self.kept, self.older = {None: 0}, self.kept
+        new = runs.difference(self.kept)
+        again = [r for r in new if r in self.older]
+        self.kept.update((r, self.older[r]) for r in again)
+        new.difference_update(again)
+        spaced = [r for r in new if _SPACE.search(r)]
+        new.difference_update(spaced)
+        self.kept.update(zip(spaced, self.of_library([" " + r for r in spaced]), strict=True))
+        plain = list(new)
+        for k in range(0, len(plain), 20_000):
+            some = plain[k : k + 20_000]
+            self.kept.update(zip(some, self.of_runs(some), strict=True))
+
+    def of_runs(self, runs: list[str]) -> list[int]:
+        """Of runs without white space, encoded as one text: each begins with its blank's token, and has no other one."""
+        ids = np.fromiter(self.library.encode_batch_fast([" " + " ".join(runs)], add_special_tokens=False)[0].ids, np.int64)
+        begins = np.flatnonzero(self.blank[ids])
+        if len(begins) != len(runs) or begins[0]:
+            return self.of_library([" " + r for r in runs])
+        return np.diff(np.append(begins, len(ids))).tolist()
+
     def spans(self, text: str, start: int, stop: int) -> list[tuple[int, int]]:
         """Absolute (begin, end) of the tokens of text[start:stop]."""
         return [(a + start, b + start) for a, b in self.library.encode(text[start:stop], add_special_tokens=False).offsets]

@@ -148,6 +148,11 @@ def test_chunks_are_the_librarys_count():
     texts = strings(2000, 2)
     assert c.counts(texts) == [len(x.ids) for x in c.library.encode_batch(texts, add_special_tokens=False)]
     assert c.counts(["x" * 500]) == [len(c.library.encode("x" * 500).ids)]
+    r, low = random.Random(4), [chr(k) for k in range(0x20, 0x3100)]
+    texts += ["".join(r.choice(low if r.random() < 0.3 else PARTS) + r.choice(["", "", " ", "\n", "  "]) for _ in range(r.randint(0, 50))) for _ in range(4000)]
+    texts += [f"a {k} b{k}c {k}" for k in low]
+    for whole in (token_counts.Counter(BYTE), token_counts.Counter(BYTE, chunk=100, overlap=20)):
+        assert whole.counts(texts) == [len(x.ids) for x in c.library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_counts_of_documents(odd, empty):
