@@ -99,7 +99,16 @@ def byte_words(text: bytes | None) -> list[bytes]:
 
 def words_of(text: str | None) -> list[str]:
     """Lower-cased (A-Z) words: runs without ASCII white space; null has none."""
-    return [w.decode("utf-8", "surrogatepass") for w in byte_words(text.encode("utf-8", "surrogatepass"))] if text else []
+    if not text:
+        return []
+    low = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    if _ODD_SPACE.search(low):
+        return [w.decode("utf-8", "surrogatepass") for w in byte_words(low.encode("utf-8", "surrogatepass"))]
+    return low.split()
+
+
+#: Characters at which str.split() cuts though the word rule does not.
+_ODD_SPACE = re.compile("[" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \t\n\x0b\x0c\r") + "]")
 
 
 def one_thread() -> None:
