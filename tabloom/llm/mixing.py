@@ -5,14 +5,15 @@ Each document draws its number of copies from the Poisson distribution of that
 mean by inverting it at a uniform number that is a hash of seed and doc_id, so
 the draw is repeatable, needs no state, and any executor draws the same.  The
 document is exploded by its count, and all copies are sorted globally by another
-hash of (seed, doc_id, copy), dealt out by ranges of that hash.
+hash of (seed, doc_id, copy), dealt out by equal ranges of that hash.
 
 The mean over a source's documents is the target in expectation, and no source,
 however large, is gathered anywhere: rates come from one count by source.
 
 Defined results: a null source is a source of its own (target "", unless named);
 a source without a target gets `other` (0 unless given); an empty or null text is a
-document like any other; documents with equal doc_id draw the same count; an empty
+document like any other, a very long one too; documents with equal doc_id, and repeated
+rows, draw the same count; rows with equal keys stand in order of doc_id and copy; an empty
 table gives no rows.  Columns named like the result's own (copy, shuffle_key) are replaced.
 """
 
@@ -23,7 +24,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import parts, table
+from .shared import lane, parts, table
 
 SEED = "mix-1"
 #: Target weight of a source of n rows: n to this power.  1 keeps the mix, 0 levels it.
@@ -105,7 +106,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, rows: float |
     copies = rated.withColumn("__copies", n).where("__copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     key = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary")), 1, 15)
     keyed = copies.withColumn("shuffle_key", F.conv(key, 16, 10).cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns], "copy", "shuffle_key")
-    return keyed.repartitionByRange(parts(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")
+    # the keys are evenly spread over 60 bits, so equal ranges of them are equal shares of the rows: no run to sample them
+    n_parts = parts(docs.sparkSession)
+    place = F.least(F.floor(F.col("shuffle_key") / F.lit(2.0**60) * n_parts).cast("int"), F.lit(n_parts - 1))
+    dealt = keyed.withColumn("__lane", lane(docs.sparkSession, n_parts, place)).repartition(n_parts, "__lane").drop("__lane")
+    return dealt.sortWithinPartitions("shuffle_key", "doc_id", "copy")
 
 
 def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import only, parts, table, words_of, written
+from .shared import lane, only, parts, table, words_of, written
 
 CHAIN = 2
 #: Words without an anchor after which each further one counts as an anchor itself.
@@ -238,11 +238,9 @@ def edit_report(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(7)], names=names)
 
     n = parts(docs.sparkSession)
-    # a number for each range that Spark's hash sends to a partition of its own
-    numbers = docs.sparkSession.range(40 * n + 400).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect()
-    number = {r["p"]: r["k"] for r in numbers}
-    lane = F.element_at(F.array(*[F.lit(number.get(k, -k)) for k in range(n)]), F.col("bucket") + 1)
-    dealt = with_next(docs, n).withColumn("lane", lane).repartition(n, "lane").drop("lane").sortWithinPartitions("bucket", "last", F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
+    dealt = with_next(docs, n)
+    dealt = dealt.withColumn("lane", lane(docs.sparkSession, n, F.col("bucket"))).repartition(n, "lane").drop("lane")
+    dealt = dealt.sortWithinPartitions("bucket", "last", F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
     return dealt.mapInArrow(run, schema)
 
 

@@ -1,6 +1,7 @@
 """Near duplicates, mixing, decontamination, language model scores, and the pipeline."""
 
 import collections
+import hashlib
 import math
 import random
 import re
@@ -110,6 +111,28 @@ def test_mix_rates_and_odd_rows(odd, empty, monkeypatch):
     assert mixing.rates({"a": 10, "b": 30}, {"a": 1.0, "b": 1.0}) == {"a": 2.0, "b": 40 / 2 / 30}
 
 
+def brute_copies(doc_id, mean):
+    """The Poisson draw of a document, by the plain inversion."""
+    pieces = max(1, math.ceil(mean / 16))
+    term = total = math.exp(-mean / pieces)
+    sums = [total]
+    for k in range(1, 96):
+        term *= mean / pieces / k
+        sums.append(total := total + term)
+    draws = ((int(hashlib.md5(f"mix-1:{'' if doc_id is None else doc_id}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in range(1, pieces + 1))
+    return sum(sum(x <= u for x in sums) for u in draws)
+
+
+def test_mix_of_odd_rows_by_brute_force(odd):
+    docs = [(r["doc_id"], r["source"]) for r in odd.collect()]
+    rate = mixing.rates(collections.Counter(s or "" for _, s in docs), rows=400)
+    want = collections.Counter()
+    for i, s in docs:
+        want[i] += brute_copies(i, rate[s or ""])
+    got = mixing.mix(odd, rows=400).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == +want and want[None] and [r["shuffle_key"] for r in got] == sorted(r["shuffle_key"] for r in got)
+
+
 # -- decontamination
 
 
