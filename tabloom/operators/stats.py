@@ -96,12 +96,11 @@ def tabulate_two(v: View, a: str, b: str, missing: bool = False, totals: bool =
     for r in cells:
         rows[r["row"]] = rows.get(r["row"], 0) + r["freq"]
         cols[r["col"]] = cols.get(r["col"], 0) + r["freq"]
-    told = [(r["row"], r["col"], r["freq"]) for r in cells]
-    if totals:
+    told = [(r["row"], r["col"], r["freq"], 100.0 * r["freq"] / rows[r["row"]], 100.0 * r["freq"] / cols[r["col"]]) for r in cells]
+    if totals and told:
         whole = sum(rows.values())
-        told += [*[(r, "Total", n) for r, n in rows.items()], *[("Total", c, n) for c, n in cols.items()], ("Total", "Total", whole)]
-        rows["Total"] = cols["Total"] = whole
-    return frame(v, [(r, c, n, 100.0 * n / rows[r] if n else 0.0, 100.0 * n / cols[c] if n else 0.0) for r, c, n in told], "row string, col string, freq long, row_percent double, col_percent double")
+        told += [*[(r, "Total", n, 100.0, 100.0 * n / whole) for r, n in rows.items()], *[("Total", c, n, 100.0 * n / whole, 100.0) for c, n in cols.items()], ("Total", "Total", whole, 100.0, 100.0)]
+    return frame(v, told, "row string, col string, freq long, row_percent double, col_percent double")
 
 
 def misstable(v: View, names: str = "") -> DataFrame:

@@ -156,7 +156,7 @@ class Session:
             return sorted(map(tuple, readers.use(self.spark, os.path.join(d, "t")).df.collect())) == sorted([(1, 1.5, "a"), (2, None, "")])
 
     def describe_file(self, path: str) -> dict:
-        return readers.describe_file(path)
+        return readers.describe_file(path, self.spark)
 
     def path(self, path: str) -> dict:
         return readers.path_of(path)

@@ -220,18 +220,22 @@ def sidecar(path: str, spark: SparkSession | None = None) -> dict:
         return {}
 
 
-def describe_file(path: str) -> dict:
-    """Rows, columns, row groups, files and types, from the footers alone."""
+def describe_file(path: str, spark: SparkSession | None = None) -> dict:
+    """Rows, columns, row groups, files and types, from the footers alone; of a remote path by Spark's file systems."""
     import pyarrow.parquet as pq
 
-    files = local_files(path)
+    far = is_remote(path) and spark is not None
+    path = path if far else path.removeprefix("file://")
+    files = store.parquet_files(spark, path) if far else local_files(path)
     if not files:
         raise VerbError(f"file {path} not found", 601)
-    rows = groups = 0
-    for f in files:
-        m = pq.read_metadata(f)
-        rows, groups = rows + m.num_rows, groups + m.num_row_groups
-    return {"rows": rows, "columns": len(footers(files[:1])[0]), "row_groups": groups, "files": len(files), "types": footers(files[:1])[0], "metadata": bool(sidecar(path))}
+    if far:
+        counts, types = store.sizes(spark, files), store.footers(spark, files[:1])[0]
+    else:
+        with ThreadPoolExecutor(store.AT_ONCE) as pool:
+            counts = [(m.num_rows, m.num_row_groups) for m in pool.map(pq.read_metadata, files)]
+        types = footers(files[:1])[0]
+    return {"rows": sum(n for n, _ in counts), "columns": len(types), "row_groups": sum(g for _, g in counts), "files": len(files), "types": types, "metadata": bool(sidecar(path, spark))}
 
 
 def path_of(path: str) -> dict:

@@ -72,6 +72,22 @@ def parquet_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(out)
 
 
+def sizes(spark: SparkSession, files: list[str]) -> list[tuple[int, int]]:
+    """Rows and row groups of each file, from its footer."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def one(name: str) -> tuple[int, int]:
+        source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(name), conf)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+        try:
+            return reader.getRecordCount(), reader.getRowGroups().size()
+        finally:
+            reader.close()
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(one, files))
+
+
 def footers(spark: SparkSession, files: list[str]) -> list[dict[str, str]]:
     """Names and types of the columns of each file, in their order."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -327,3 +327,28 @@ def test_label_clash_warns_and_options(spark):
 def test_two_way_totals(panel):
     got = {(r["row"], r["col"]): (r["freq"], r["row_percent"]) for r in X.tabulate_two(panel, "firm", "year", totals=True).collect()}
     assert got["Total", "Total"] == (6, 100.0) and got["a", "Total"] == (4, 100.0) and got["Total", "2019"] == (3, 50.0)
+
+
+def test_describing(spark, panel, tmp_path, remote):
+    v = C.label(panel, "wage", "Hourly pay")
+    told = {r["variable"]: tuple(r)[1:] for r in X.describe(v).collect()}
+    assert told["wage"] == ("n", "double", "", "Hourly pay") and told["firm"][0] == "s" and list(told) == panel.names
+    assert X.lookfor(v, "pay") == ["wage"] and X.lookfor(v, "FIR year") == ["year", "firm"] and X.lookfor(v, "none") == []
+    dest = str(tmp_path / "t")
+    assert save(C.sort(panel, "id"), dest, compression="zstd", level=5, chunk=2) == 6 and save(panel, str(tmp_path / "g"), compression="gzip", level=9) == 6
+    save(panel, f"{remote}/described")
+    for path in (dest, "file://" + dest, f"{remote}/described"):
+        got = Session(spark).describe_file(path)
+        assert (got["rows"], got["columns"], got["metadata"]) == (6, 4, True) and got["row_groups"] >= 1 and list(got["types"]) == panel.names
+    with pytest.raises(VerbError):
+        save(panel, str(tmp_path / "x"), compression="brotli")
+    with pytest.raises(VerbError):
+        save(panel, str(tmp_path / "x"), chunk=0)
+
+
+def test_groups_of_missing_keys(spark):
+    v = boundary(spark.createDataFrame([(None, "", 1.0), (float("nan"), None, 2.0), (1.0, "a", 3.0), (1.0, "", 4.0)], "k double, s string, x double"))
+    assert sorted(rows(A.collapse(v, "(sum) x", "k")), key=str) == [(1.0, 7.0), (None, 3.0)]
+    assert sorted(r[1] for r in rows(A.collapse(v, "(sum) x", "k s"))) == [3.0, 3.0, 4.0] and A.contract(v, "s").df.count() == 2
+    assert rows(C.keep(A.egen(v, "t", "total", "x", "k"), "x t")) and sorted((r["x"], r["t"]) for r in A.egen(v, "t", "total", "x", "k").df.collect()) == [(1.0, 3.0), (2.0, 3.0), (3.0, 7.0), (4.0, 7.0)]
+    assert A.duplicates_drop(C.keep(v, "k s")).df.count() == 3
