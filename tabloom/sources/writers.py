@@ -22,6 +22,8 @@ from .readers import META_KEY, is_remote
 
 #: Codecs that a file can be written with.
 CODECS = ("snappy", "zstd", "gzip", "lz4", "lz4_raw", "brotli", "uncompressed")
+#: Names of the levels 0 to 9 of gzip.
+GZIP_LEVELS = ("NO_COMPRESSION", "BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION")
 
 
 def to_disk(v: View) -> DataFrame:
@@ -124,6 +126,8 @@ def save(v: View, dest: str, replace: bool = False, partition_by: str = "", comp
         raise VerbError("this Spark has no brotli codec: take zstd")
     if chunk is not None and chunk < 1:
         raise VerbError("chunk() takes at least one row")
+    if level is not None and not {"zstd": 1 <= level <= 22, "gzip": 0 <= level <= 9}.get(compression, False):
+        raise VerbError("a compression level is 1 to 22 of zstd or 0 to 9 of gzip")
     keys = v.expand(partition_by, wild=False) if partition_by else []
     if keys and len(keys) == len(v.names):
         raise VerbError("partition_by() would leave no variable")
@@ -140,7 +144,7 @@ def save(v: View, dest: str, replace: bool = False, partition_by: str = "", comp
     if chunk:
         writer = writer.option("parquet.block.row.count.limit", chunk)
     if level is not None:
-        writer = writer.option("parquet.compression.codec.zstd.level" if compression == "zstd" else "zlib.compress.level", level)
+        writer = writer.option("parquet.compression.codec.zstd.level", level) if compression == "zstd" else writer.option("zlib.compress.level", GZIP_LEVELS[level])
     if keys:
         writer = writer.partitionBy(*keys)
     spark = df.sparkSession

@@ -344,11 +344,13 @@ def test_describing(spark, panel, tmp_path, remote):
         save(panel, str(tmp_path / "x"), compression="brotli")
     with pytest.raises(VerbError):
         save(panel, str(tmp_path / "x"), chunk=0)
+    with pytest.raises(VerbError, match="level"):
+        save(panel, str(tmp_path / "x"), compression="snappy", level=3)
 
 
 def test_groups_of_missing_keys(spark):
     v = boundary(spark.createDataFrame([(None, "", 1.0), (float("nan"), None, 2.0), (1.0, "a", 3.0), (1.0, "", 4.0)], "k double, s string, x double"))
     assert sorted(rows(A.collapse(v, "(sum) x", "k")), key=str) == [(1.0, 7.0), (None, 3.0)]
-    assert sorted(r[1] for r in rows(A.collapse(v, "(sum) x", "k s"))) == [3.0, 3.0, 4.0] and A.contract(v, "s").df.count() == 2
+    assert sorted(r[2] for r in rows(A.collapse(v, "(sum) x", "k s"))) == [3.0, 3.0, 4.0] and A.contract(v, "s").df.count() == 2
     assert rows(C.keep(A.egen(v, "t", "total", "x", "k"), "x t")) and sorted((r["x"], r["t"]) for r in A.egen(v, "t", "total", "x", "k").df.collect()) == [(1.0, 3.0), (2.0, 3.0), (3.0, 7.0), (4.0, 7.0)]
     assert A.duplicates_drop(C.keep(v, "k s")).df.count() == 3
