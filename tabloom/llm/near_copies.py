@@ -1,14 +1,19 @@
-"""Near copies by word shingles: MinHash bands find candidates, the exact Jaccard index links.
+"""Near copies by word shingles: SimHash and covering masks find candidates, the exact Jaccard index links.
 
 A text is the set of its shingles of WORDS words (A-Z lower-cased, repeats once).
 Two texts are linked if the Jaccard index of their sets is at least LIKENESS; a
 group is what links connect.
 
 1. Equal sets are one class first, so exact copies are read once.
-2. Candidates share one of BANDS bands of ROWS MinHash values.  By the model of
-   independent MinHash values, a pair of likeness s is missed with probability
-   (1 - s^ROWS)^BANDS: 8e-6 at 0.8, 2e-9 at 0.85; no pair is dropped otherwise.  A
-   bucket's classes hang on its smallest one, so buckets make no pair lists.
+2. A set's SimHash has PARTS words of 64 bits: a bit is 1 if set in over half of the
+   shingles' hashes (at a tie it is the least hash's own).  Sets of likeness s differ
+   in a share acos(2 s / (1 + s)) / pi of the bits, 0.15 at 0.8: too many for one word
+   and RADIUS bits, which is why there are PARTS of them.  In each part the covering
+   masks of simhash.masks find every pair within RADIUS of the part's first BITS bits,
+   and by chance many that are further apart.  Of a bucket's pairs those are candidates
+   that differ in at most NEAR of the part's and the next part's 128 bits, which keeps
+   unlike texts apart.  All this loses a pair only by the fingerprints' own chance.
+   A part and a range of its masks' keys are one task, of about ROOM classes.
 3. What candidates connect is searched for links by growing sets, with the sets
    themselves.  More than HOT classes are dealt to blocks of about HOT / 2, and
    every two blocks are searched together: no pair is left out and no task holds
@@ -24,24 +29,39 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import byte_words, drop_made, kept, made, only, parts, written
-from .simhash import SALTS, id_order, rows_that_stay
+from .shared import byte_words, drop_made, kept, made, only, written
+from .simhash import SALTS, id_order, masks, rows_that_stay
 
 WORDS = 5
 LIKENESS = 0.8
-ROWS = 8
-BANDS = 64
+PARTS = 40
+BITS = 48
+RADIUS = 4
+NEAR = 32
+#: Classes that a task searches for candidates; members from which a bucket is searched by growing sets.
+ROOM = 2_000_000
+FEW = 16
 #: Classes that candidates connect, up to which one task searches them at once.
 HOT = 512
 
-_RNG = np.random.default_rng(20)
-_TIMES = _RNG.integers(0, 1 << 32, ROWS * BANDS, np.uint32) | np.uint32(1)
-_PLUS = _RNG.integers(0, 1 << 32, ROWS * BANDS, np.uint32)
+_MASKS = np.array(masks(RADIUS, BITS), np.uint64)
+_KEYS = np.random.default_rng(20).integers(0, 1 << 64, PARTS, np.uint64, endpoint=False)
+_ONE, _TWO, _LOW = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x0101010101010101)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers whose every bit depends on all of x, which is overwritten."""
+    x *= _ONE
+    x ^= x >> np.uint64(32)
+    x *= _TWO
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -55,23 +75,24 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     return np.unique(np.fromiter(map(h, joined), np.uint64, n))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """BANDS keys of a set; a band's number is part of its key."""
-    if not len(hashes):
+def simhash_parts(hashes: np.ndarray) -> np.ndarray:
+    """PARTS words of a set's SimHash; none of an empty set."""
+    n = len(hashes)
+    if not n:
         return np.zeros(0, np.int64)
-    low = (hashes ^ hashes >> np.uint64(32)).astype(np.uint32)[:, None]
-    least = np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
-    for a in range(0, len(low), 64):
-        np.minimum(least, (low[a : a + 64] * _TIMES + _PLUS).min(axis=0), out=least)
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).astype(np.uint64).T:
-        keys = (keys + column) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64)
+    if n % 2 == 0:
+        hashes, n = np.concatenate([hashes, hashes[:1]]), n + 1
+    ones = np.zeros((8, PARTS, 8), np.int32)
+    for a in range(0, n, 255):  # eight 8-bit counters side by side in a word, emptied before they can overflow
+        some = mixed(hashes[a : a + 255, None] ^ _KEYS)
+        for k in range(8):
+            ones[k] += (some >> np.uint64(k) & _LOW).sum(axis=0).view(np.uint8).reshape(PARTS, 8)
+    bits = (2 * ones > n).transpose(1, 2, 0)  # part, byte, bit of the byte
+    return np.packbits(np.ascontiguousarray(bits), axis=2, bitorder="little").reshape(-1).view("<i8")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash (of the text), set_hash (of its shingles, 0 without words) and bands of every document; no shuffle."""
+    """doc_id, text_hash (of the text), set_hash (of its shingles, 0 without words) and prints (its SimHash) of every document; no shuffle."""
 
     def run(batches):
         kept("near-copies")
@@ -80,13 +101,13 @@ def sketches(docs: DataFrame) -> DataFrame:
             for k, text in enumerate(batch.column(1).cast(pa.binary())):  # one text's shingles at a time
                 own = shingle_set(text.as_py())
                 names[k] = xxhash.xxh64_intdigest(own.tobytes()) if len(own) else 0
-                keys.append(bands(own))
+                keys.append(simhash_parts(own))
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names.view(np.int64)), flat], names=["doc_id", "text_hash", "set_hash", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names.view(np.int64)), flat], names=["doc_id", "text_hash", "set_hash", "prints"])
 
     slim = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return slim.mapInArrow(run, "doc_id long, text_hash long, set_hash long, bands array<long>")
+    return slim.mapInArrow(run, "doc_id long, text_hash long, set_hash long, prints array<long>")
 
 
 def forest(sets: list[np.ndarray], likeness: float = LIKENESS) -> list[tuple[int, int]]:
@@ -113,12 +134,75 @@ def forest(sets: list[np.ndarray], likeness: float = LIKENESS) -> list[tuple[int
     return edges
 
 
+def ranges_of(words: np.ndarray, mask: np.uint64, ranges: int) -> np.ndarray:
+    """The range that each word's key under a mask is dealt to."""
+    return mixed(words & mask ^ mask >> np.uint64(3)) % np.uint64(ranges)
+
+
+def bucket_pairs(rows: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
+    """Pairs of ids that connect all that share a key and differ in at most NEAR bits; rows: id, a part and the next part."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    sizes = np.diff(cuts)
+    out = []
+    small = (sizes > 1) & (sizes <= FEW)
+    for size in np.unique(sizes[small]).tolist():
+        own = rows[order[cuts[:-1][sizes == size][:, None] + np.arange(size)]]
+        for gap in range(1, size):
+            x, y = own[:, gap:], own[:, :-gap]
+            near = np.bitwise_count(x[:, :, 1:] ^ y[:, :, 1:]).sum(axis=2) <= NEAR
+            out.append(np.stack([x[near][:, 0], y[near][:, 0]], axis=1))
+    for k in np.flatnonzero(sizes > FEW).tolist():
+        rest = rows[order[cuts[k] : cuts[k + 1]]]
+        while len(rest) > 1:
+            front, rest = [rest[0]], rest[1:]
+            while front and len(rest):
+                x = front.pop()
+                near = np.bitwise_count(rest[:, 1:] ^ x[1:]).sum(axis=1) <= NEAR
+                got, rest = rest[near], rest[~near]
+                out.append(np.stack([got[:, 0], np.full(len(got), x[0])], axis=1))
+                front += list(got)
+    return out
+
+
+def candidates(classes: DataFrame, room: int = ROOM) -> DataFrame:
+    """Edges (a, b) of set_hash that connect the pairs of classes (set_hash, prints) which the covering masks find."""
+    ranges = max(1, -(-classes.count() // room))
+
+    def deal(batches):
+        for batch in batches:
+            batch = batch.filter(pa.compute.greater(pa.compute.list_value_length(batch.column(1)), 0))
+            ids = batch.column(0).to_numpy().view(np.uint64)
+            prints = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, PARTS)
+            to: tuple[list, list, list] = ([], [], [])
+            for part in range(PARTS if len(ids) else 0):
+                rows = np.stack([ids, prints[:, part], prints[:, (part + 1) % PARTS]], axis=1)
+                goes = np.stack([ranges_of(rows[:, 1], m, ranges) for m in _MASKS], axis=1) if ranges > 1 else None
+                for r in range(ranges):
+                    own = rows if goes is None else rows[(goes == r).any(axis=1)]
+                    for column, x in zip(to, (part, r, own.tobytes()), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(to, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "range", "rows"])
+
+    def search(group: pa.Table) -> pa.Table:
+        kept("near-copies")
+        r = group.column("range")[0].as_py()
+        rows = np.frombuffer(b"".join(group.column("rows").to_pylist()), np.uint64).reshape(-1, 3)
+        out = [np.zeros((0, 2), np.uint64)]
+        for m in _MASKS:
+            own = rows if ranges == 1 else rows[ranges_of(rows[:, 1], m, ranges) == r]
+            out += bucket_pairs(own, own[:, 1] & m)
+        found = np.unique(np.sort(np.concatenate(out).view(np.int64), axis=1), axis=0)
+        return pa.table({"a": found[:, 0].copy(), "b": found[:, 1].copy()})
+
+    dealt = classes.select("set_hash", "prints").mapInArrow(deal, "part int, range int, rows binary")
+    return dealt.groupBy("part", "range").applyInArrow(search, "a long, b long").distinct()
+
+
 def links(classes: DataFrame, docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """Edges (a, b) of set_hash that connect every linked pair; classes: set_hash, bands and the text_hash of one of its texts."""
-    n = parts(docs.sparkSession)
-    dealt = classes.select("set_hash", F.explode("bands").alias("key")).repartition(n, "key")
-    least = dealt.groupBy("key").agg(F.min("set_hash").alias("b"), F.max("set_hash").alias("most")).where("b < most").select("key", "b")
-    near = components(dealt.join(least, "key").where("set_hash <> b").select(F.col("set_hash").alias("a"), "b").distinct())
+    """Edges (a, b) of set_hash that connect every linked pair; classes: set_hash, prints and the text_hash of one of its texts."""
+    near = components(candidates(classes))
     blocks = F.when(F.col("m") <= hot, F.lit(1)).otherwise(F.ceil(F.col("m") / F.lit(max(1, hot // 2)))).cast("int")
     sizes = near.groupBy("root").agg(F.count(F.lit(1)).alias("m")).select("root", blocks.alias("blocks"))
     salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a group may hold a third of all classes
@@ -142,8 +226,8 @@ def one_of_each(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """One row of each group of near copies, all columns as they were; which one, see simhash.one_of_each."""
     begun = made()
     each = written(sketches(docs), "shingles")
-    classes = written(each.groupBy("set_hash").agg(F.first("bands").alias("bands"), F.min(id_order()).alias("k")), "classes")
+    classes = written(each.groupBy("set_hash").agg(F.first("prints").alias("prints"), F.min(id_order()).alias("k")), "classes")
     drop_made(docs.sparkSession, begun, begun + 1)  # the sketches: classes have all that is read again
-    found = components(links(classes.select("set_hash", "bands", F.col("k.text_hash").alias("text_hash")), docs, hot))
+    found = components(links(classes.select("set_hash", "prints", F.col("k.text_hash").alias("text_hash")), docs, hot))
     named = classes.join(found, classes["set_hash"] == found["node"], "left").select(F.coalesce("root", "set_hash").alias("root"), "k")
     return rows_that_stay(docs, named.groupBy("root").agg(F.min("k").alias("k")))

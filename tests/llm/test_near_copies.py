@@ -1,6 +1,8 @@
 """The pipeline's near duplicates: five-word shingles, Jaccard index 0.8."""
 
+import numpy as np
 import pytest
+import xxhash
 from test_corpus_ops import words_of
 
 import corpus_pipeline
@@ -62,3 +64,48 @@ def test_stage_keeps_rows_without_ids(spark):
     rows = [(1, a, "x"), (1, b, "y"), (None, c, "z"), (None, d, "w"), (-1, d, "v"), (5, a, "u"), (1, a, "x"), (None, None, "n"), (7, "", "e"), (8, None, "f")]
     got = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, a), (1, b), (None, c), (-1, d), (7, "")], key=str)
+
+
+def test_simhash_parts_by_brute_force():
+    """Each part is the majority of the shingles' mixed hashes, ties by the least hash."""
+    for n in (1, 2, 5, 300, 512):
+        hashes = np.unique(np.array([xxhash.xxh64_intdigest(str(k)) for k in range(n)], np.uint64))
+        own = hashes if n % 2 else np.concatenate([hashes, hashes[:1]])
+        for part, got in enumerate(near_copies.simhash_parts(hashes).view(np.uint64).tolist()):
+            x = near_copies.mixed(own ^ near_copies._KEYS[part]).tolist()
+            assert got == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in x) > len(x))
+    assert len(near_copies.simhash_parts(np.zeros(0, np.uint64))) == 0
+
+
+@pytest.mark.parametrize(("room", "few"), [(near_copies.ROOM, near_copies.FEW), (70, 1)])
+def test_candidates_are_covered(spark, monkeypatch, room, few):
+    """Fingerprints that a part's masks cover are connected, whatever the ranges and however buckets are searched; unlike ones are not."""
+    monkeypatch.setattr(near_copies, "FEW", few)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 64, (40, near_copies.PARTS), np.uint64)
+    prints = [p.copy() for p in base for _ in range(5)]
+    for k, p in enumerate(prints):
+        if k % 5:  # 4 differing bits of one part, far more in all others
+            part = k % near_copies.PARTS
+            p ^= rng.integers(0, 1 << 64, near_copies.PARTS, np.uint64)
+            bits = rng.choice(near_copies.BITS, near_copies.RADIUS, replace=False)
+            p[part] = base[k // 5][part] ^ np.uint64(sum(1 << int(b) for b in bits))
+            p[(part + 1) % near_copies.PARTS] = base[k // 5][(part + 1) % near_copies.PARTS]
+    classes = spark.createDataFrame([(k, p.view(np.int64).tolist()) for k, p in enumerate(prints)] + [(-1, [])], "set_hash long, prints array<long>")
+    found = [tuple(r) for r in near_copies.candidates(classes, room).collect()]
+    assert all(a // 5 == b // 5 for a, b in found)
+    root = list(range(len(prints)))
+    for _ in range(5):
+        for a, b in found:
+            root[a] = root[b] = min(root[a], root[b])
+    assert root == [k - k % 5 for k in range(len(prints))]
+
+
+def test_pairs_at_the_threshold(spark):
+    """Sets of an index of exactly 0.8: 200 pairs, whose edits stand together, so that words help no more than shingles."""
+    prints = []
+    for k in range(200):
+        hashes = np.unique(np.random.default_rng(k).integers(0, 1 << 64, 100, np.uint64))
+        prints += [near_copies.simhash_parts(hashes[:90]), near_copies.simhash_parts(hashes[10:])]
+    found = near_copies.candidates(spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(prints)], "set_hash long, prints array<long>"))
+    assert sorted(map(tuple, found.collect())) == [(2 * k, 2 * k + 1) for k in range(200)]
