@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import crc_column, in_pieces, kept, only, table
+from .shared import crc_column, given_back, in_pieces, kept, only, table
 
 SAMPLE_ROWS = 64
 SAMPLE_CHARS = 16_000
@@ -288,6 +288,7 @@ def predicted(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=[*kept, "lang_pred", "lang_score"]
             )
+        given_back()
 
     return docs.select(*[F.col(f"`{n}`") for n in kept]).mapInArrow(run, schema)
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import byte_words, drop_made, kept, made, only, written
+from .shared import byte_words, drop_made, given_back, kept, made, only, written
 from .simhash import SALTS, id_order, masks, rows_that_stay
 
 WORDS = 5
@@ -105,6 +105,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names.view(np.int64)), flat], names=["doc_id", "text_hash", "set_hash", "prints"])
+        given_back()
 
     slim = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     return slim.mapInArrow(run, "doc_id long, text_hash long, set_hash long, prints array<long>")

@@ -13,6 +13,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,11 +154,20 @@ def kept(key, build=None):
         if _KEPT:
             _KEPT.clear()
             gc.collect()
+            given_back()
         if build:
             _KEPT[key] = build()
     return _KEPT.get(key)
 
 
+def given_back() -> None:
+    """Memory that this process has freed goes back to the system: a Python worker lives as long as its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def in_pieces(rows, weight, limit: int):
     """Consecutive rows in lists of at most `limit` weight, one row at least: bounds a batch of very long texts."""
     held, total = [], 0

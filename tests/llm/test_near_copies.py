@@ -6,7 +6,7 @@ import xxhash
 from test_corpus_ops import words_of
 
 import corpus_pipeline
-from tabloom.llm import near_copies
+from tabloom.llm import near_copies, shared
 
 
 def brute_shingles(text):
@@ -109,3 +109,13 @@ def test_pairs_at_the_threshold(spark):
         prints += [near_copies.simhash_parts(hashes[:90]), near_copies.simhash_parts(hashes[10:])]
     found = near_copies.candidates(spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(prints)], "set_hash long, prints array<long>"))
     assert sorted(map(tuple, found.collect())) == [(2 * k, 2 * k + 1) for k in range(200)]
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """A worker that turns to another operator gives the last one's memory back, once."""
+    calls = []
+    monkeypatch.setattr(shared, "_KEPT", {})
+    monkeypatch.setattr(shared, "given_back", lambda: calls.append(1))
+    for key in ("a", "a", "b", "b"):
+        assert shared.kept(key, lambda: [key]) == [key]  # noqa: B023
+    assert calls == [1]
