@@ -230,11 +230,17 @@ class Gru:
         logits -= logits.max(axis=1, keepdims=True)
         return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
-    def log_probs(self, states: np.ndarray, inputs: np.ndarray, classes: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    def outputs(self) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        """Weights, biases and whether they are bounded, of the classes and then of each class of head words."""
+        each = [(self.p["C"], self.p["c"])] + [(self.p["W"][m].T, self.p["w"][m]) for m in self.v.members]
+        return [(weights, biases, self.bounded(weights, biases)) for weights, biases in each]
+
+    def log_probs(self, states: np.ndarray, inputs: np.ndarray, classes: np.ndarray, shares: np.ndarray, outputs: list | None = None) -> np.ndarray:
         """Natural log of each token's probability; shares: log share within the class of words outside the head."""
-        logits = states @ self.p["C"]
-        logits += self.p["c"]
-        if not self.bounded(self.p["C"], self.p["c"]):
+        (weights, biases, bounded), *heads = outputs or self.outputs()
+        logits = states @ weights
+        logits += biases
+        if not bounded:
             logits -= logits.max(axis=1, keepdims=True)
         out = logits[np.arange(len(logits)), classes].astype(np.float64)
         np.exp(logits, out=logits)
@@ -247,10 +253,10 @@ class Gru:
         for c, m in enumerate(self.v.members):
             rows = order[bounds[c] : bounds[c + 1]]
             if len(rows) and len(m) > 1:
-                weights, biases = self.p["W"][m].T, self.p["w"][m]
+                weights, biases, bounded = heads[c]
                 inner = states[rows] @ weights
                 inner += biases
-                if not self.bounded(weights, biases):
+                if not bounded:
                     inner -= inner.max(axis=1, keepdims=True)
                 own = inner[np.arange(len(rows)), self.v.place[inputs[rows]]]
                 np.exp(inner, out=inner)
@@ -409,26 +415,48 @@ class Gru:
         before = np.empty_like(words)
         before[1:] = words[:-1]
         before[first] = words[lane_at[0] + lengths[lane_docs[0][0]] - 1]  # the end token
-        x_all, total = self.p["X"], np.zeros(count)
-        h = np.zeros((lanes, self.h), np.float32)
-        for a in range(0, int(sizes[0]), steps):
+        # states and gates lie lane by lane, so that each gate's are together; halves, which are exact, make tanh the logistic
+        n, outputs, total = self.h, self.outputs(), np.zeros(count)
+        x_all = self.p["X"] * np.repeat(np.float32([0.5, 0.5, 1.0]), n)
+        recurrent = np.ascontiguousarray(self.p["U"].T) * np.float32(0.5)
+        h = np.zeros((n, lanes), np.float32)
+        a, longest = 0, int(sizes[0])
+        while a < longest:
             m = int(np.searchsorted(-sizes, -a, side="left"))  # lanes longer than a
-            ends = np.minimum(sizes[:m], a + steps)
-            at = (lane_at[:m] + a)[None, :] + np.arange(steps)[:, None]
-            live = (a + np.arange(steps))[:, None] < ends[None, :]
+            wide = min(steps * max(1, min(16, lanes // m)), longest - a)  # the fewer lanes are left, the longer the window
+            ends = np.minimum(sizes[:m], a + wide)
+            at = (lane_at[:m] + a)[None, :] + np.arange(wide)[:, None]
+            live = (a + np.arange(wide))[:, None] < ends[None, :]
             at = np.where(live, at, 0)
-            xs = x_all[inputs[before[at]]]
-            keep = (~first[at]).astype(np.float32)[:, :, None]
-            states = np.empty((steps, m, self.h), np.float32)
-            s = h[:m]
-            for t in range(steps):
-                s = self.step(xs[t], s * keep[t])
-                states[t] = s
+            xs = np.ascontiguousarray(x_all[inputs[before[at]]].transpose(0, 2, 1))
+            keep = (~first[at]).astype(np.float32)
+            fresh = (~keep.all(axis=1)).tolist()
+            states = np.empty((wide, n, m), np.float32)
+            g, gates = np.empty((3 * n, m), np.float32), np.empty((2 * n, m), np.float32)
+            r, z = gates[:n], gates[n:]
+            s = np.ascontiguousarray(h[:, :m])
+            for t in range(wide):
+                if fresh[t]:
+                    s = s * keep[t]
+                x, out = xs[t], states[t]
+                np.matmul(recurrent, s, out=g)
+                np.add(x[: 2 * n], g[: 2 * n], out=gates)
+                np.tanh(gates, out=gates)
+                gates += 1.0
+                r *= g[2 * n :]
+                r += x[2 * n :]
+                np.tanh(r, out=r)
+                z *= 0.5
+                np.subtract(s, r, out=out)
+                out *= z
+                out += r
+                s = out
             h = s  # lanes that have ended are not looked at again
             at = at[live]
             word = words[at]
-            got = self.log_probs(states[live], inputs[word], classes[word], shares[word])
+            got = self.log_probs(states.transpose(0, 2, 1)[live], inputs[word], classes[word], shares[word], outputs)
             total += np.bincount(owner[at], weights=got, minlength=count)
+            a += wide
         return total
 
 
