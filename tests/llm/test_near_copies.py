@@ -119,3 +119,71 @@ def test_workers_give_memory_back(monkeypatch):
     for key in ("a", "a", "b", "b"):
         assert shared.kept(key, lambda: [key]) == [key]  # noqa: B023
     assert calls == [1]
+
+
+def test_edges_of_a_large_group(spark):
+    """A group in which every mask finds pairs gives about as many edges as it has members, not as many for each mask and part."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 64, near_copies.PARTS, np.uint64)
+    prints = [base ^ (np.uint64(1) << rng.integers(0, 48, near_copies.PARTS, np.uint64)) for _ in range(400)]
+    classes = spark.createDataFrame([(k - 200, p.view(np.int64).tolist()) for k, p in enumerate(prints)], "set_hash long, prints array<long>")
+    found = sorted(map(tuple, near_copies.candidates(classes).collect()))
+    assert {b for _, b in found} == set(range(-199, 200)) and len(found) < 2 * 400
+
+
+def test_joined_by_brute_force():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (50, 20), (300, 290)):
+        pairs, root = rng.integers(0, n, (m, 2)), np.arange(n)
+        for some in np.array_split(pairs, 3):
+            root = near_copies.joined(root, some)
+        want = list(range(n))
+        for _ in range(n):
+            for a, b in pairs.tolist():
+                want[a] = want[b] = min(want[a], want[b])
+        assert root.tolist() == want
+
+
+def test_only_texts_of_candidates_are_moved(spark):
+    rows = [(k if k % 7 else None, f"text {k}") for k in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    on = ["z", "id", "text_hash"]
+    keyed = docs.selectExpr("text", "doc_id is null as z", "coalesce(doc_id, 0) as id", "xxhash64(text) as text_hash")
+    member = keyed.where("text in ('text 0', 'text 9', 'text 14', 'text 4999')").selectExpr("text_hash as node", "1L as root", "4L as m", *on)
+    passed = {r["text"] for r in near_copies.sifted(keyed, member, on).collect()}
+    assert passed >= {"text 0", "text 9", "text 14", "text 4999"} and len(passed) < 50
+    assert near_copies.sifted(keyed, member.where("1 = 0"), on).count() == 0
+    twice = docs.unionByName(docs)  # repeated rows are one text
+    assert sorted(r["text"] for r in near_copies.texts_of(member, twice).collect()) == ["text 0", "text 14", "text 4999", "text 9"]
+
+
+def test_large_groups_meet_in_rounds(spark):
+    """The first round reads a group in proportion to its size; after it every pair meets but those of the largest linked set."""
+    n, hot = 1000, 20
+    text = spark.range(n).selectExpr("id as node", "7L as root", f"{n}L as m", "'' as text")
+    assert near_copies.first_round(text, hot).count() < 3 * n
+    told = spark.range(n).selectExpr("id as node", "7L as root", "1L as label")
+    assert near_copies.second_round(told, hot) is None
+    nodes = range(60)
+    label = {k: 0 if k < 35 else 35 if k < 50 else k for k in nodes}
+    told = spark.createDataFrame([(k, r, label[k] if r else 0) for k in nodes for r in (0, 1)], "node long, root long, label long")
+    tasks = {}
+    for r in near_copies.second_round(told, hot).collect():
+        assert r["root"] == 1
+        tasks.setdefault((r["x"], r["y"]), set()).add(r["node"])
+    met = {(a, b) for t in tasks.values() for a in t for b in t}
+    assert all((a, b) in met for a in nodes for b in nodes if a != b and not label[a] == label[b] == 0)
+    assert max(map(len, tasks.values())) <= 2 * hot
+
+
+def test_sets_apart_in_one_group(spark):
+    """Two sets of linked texts and single ones, candidates of each other: rows that stay are those of brute force, whatever the block's size."""
+    texts = made(7)
+    w = texts[0].split()
+    for start in (0, 30, 60):  # 12 words apart from the first, less than 0.8 alike
+        own = [*w]
+        own[start : start + 24 : 2] = [f"far{start}-{k}" for k in range(12)]
+        texts += [" ".join(own), " ".join([*own[:-1], "end"])]
+    docs = [(k, t) for k, t in enumerate(texts)]
+    got = near_copies.one_of_each(spark.createDataFrame(docs, "doc_id long, text string"), 4)
+    assert sorted(map(tuple, got.collect())) == kept_by_brute_force(docs)
