@@ -354,3 +354,21 @@ def test_groups_of_missing_keys(spark):
     assert sorted(r[2] for r in rows(A.collapse(v, "(sum) x", "k s"))) == [3.0, 3.0, 4.0] and A.contract(v, "s").df.count() == 2
     assert rows(C.keep(A.egen(v, "t", "total", "x", "k"), "x t")) and sorted((r["x"], r["t"]) for r in A.egen(v, "t", "total", "x", "k").df.collect()) == [(1.0, 3.0), (2.0, 3.0), (3.0, 7.0), (4.0, 7.0)]
     assert A.duplicates_drop(C.keep(v, "k s")).df.count() == 3
+
+
+def test_joinby_sorts_blocks_not_pairs(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK_PAIRS", 6)
+    monkeypatch.setattr(T, "BLOCK_ROWS", 5)
+    left = [(1.0, "b", i) for i in range(23)] + [(0.0, "a", 1), (-0.0, "a", 1), (float("nan"), "a", 2), (None, "", 3), (None, None, 4), (9.0, "z", 5)]
+    right = [(1.0, "b", str(i)) for i in range(17)] + [(0.0, "a", "x"), (0.0, "a", "x"), (None, "a", "y"), (None, "", None), (8.0, "z", "w")]
+    a, b = boundary(spark.createDataFrame(left, "k double, s string, x int")), boundary(spark.createDataFrame(right, "k double, s string, `y z` string"))
+    v = T.joinby(a, "k s", b)
+    got = [tuple(r) for r in v.sorted_df().collect()]
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in v.df.collect()) and len(got) == 23 * 17 + 4 + 1 + 2
+    keys = [(k is None, k or 0.0, s is None, s or "") for k, s, *_ in got]
+    assert keys == sorted(keys) and v.sorted_df().columns == ["k", "s", "x", "y_z"]
+    plan = v.sorted_df()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Sort")  # the pairs are made of sorted blocks
+    assert [r[2] for r in rows(C.gsort(C.keep_if(v, "x > 20"), "-x"))] == [22] * 17 + [21] * 17
+    assert C.keep_if(v, "x == 6").sorted_df().count() == 17
+    assert T.joinby(C.keep(a, "k"), "k", C.keep(b, "k")).sorted_df().count() == 23 * 17 + 4 + 3 * 2
