@@ -9,7 +9,8 @@ the Jaccard index of two such sets, 0 at once if their sizes can't reach the flo
 `near_classes` joins whole collections: sets are partitioned by length into ranges
 such that a pair of at least the wanted likeness lies in the same or neighbouring
 ranges, candidates share one of each set's rarest signatures (prefix filter; a signature
-of very many sets is dealt to several tasks), and candidates are verified by the pruned Jaccard.
+of very many sets is dealt to several tasks) whose places leave enough others to share
+(position filter), and candidates are verified by the pruned Jaccard.
 
 Defined results: null text counts as empty.  Before the first anchor, and where GAP
 words passed without one, every word is an anchor, so short texts, lists and other
@@ -118,36 +119,52 @@ def near_pairs(prints: DataFrame, floor: float = 0.8, hot: int = HOT) -> DataFra
     if not 0.0 < floor <= 1.0:
         raise ValueError("the floor lies in (0, 1]")
     prints = prints.where("fingerprint <> ''")
+    kind = dict(prints.dtypes)["name"]
     size = (F.length("fingerprint") / 8).cast("int")
-    tokens = prints.select("name", size.alias("n"), F.explode(F.expr("transform(sequence(1, length(fingerprint), 8), i -> substring(fingerprint, i, 8))")).alias("sig"))
-    df = tokens.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
-    # prefix filter: of a set of n, two alike sets share one of its n - ceil(floor n) + 1 rarest signatures
+    # in one walk over the text: substring() counts its characters from the start for each signature
+    tokens = prints.select("name", size.alias("n"), F.explode(F.expr("regexp_extract_all(fingerprint, '.{8}', 0)")).alias("sig"))
+    # a signature of one set alone links nothing: the set's places are counted without moving it again
+    df = tokens.groupBy("sig").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # prefix filter: of a set of n, two alike sets share one of its n - ceil(floor n) + 1 rarest signatures, of which n - size(s) are its own
     ranked = tokens.join(df, "sig").groupBy("name", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("s"))
-    prefix = ranked.select("name", "n", F.explode(F.expr(f"slice(s, 1, n - cast(ceil({floor} * n - 1e-9) as int) + 1)")).alias("p"))
+    own = F.expr("n - size(s)")
+    within = F.expr(f"slice(s, 1, greatest(0, n - cast(ceil({floor} * n - 1e-9) as int) + 1 - (n - size(s))))")
+    prefix = ranked.select("name", "n", own.alias("own"), F.posexplode(within).alias("k", "p"))
     # ranges of lengths, each `1/floor` times as long: a pair lies in the same or the next one
     band = F.lit(0) if floor == 1.0 else F.floor(F.log("n") / F.lit(-float(np.log(floor)))).cast("int")
-    prefix = written(prefix.select("name", "n", F.col("p.sig").alias("sig"), band.alias("band")), "spots-prefix")
+    # rest: how many a pair can share if this signature is its first shared one
+    rest = F.col("n") - F.col("own") - F.col("k")
+    prefix = written(prefix.select("name", "n", rest.alias("rest"), F.col("p.sig").alias("sig"), band.alias("band")), "spots-prefix")
     # a partition of many sets is cut into blocks of `hot`: each set meets all of them, in as many tasks
     sizes = prefix.groupBy("sig", "band").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("sig", "band", F.ceil(F.col("m") / F.lit(hot)).cast("int").alias("blocks"))
     sizes = written(sizes, "spots-sizes")
     sizes = sizes.hint("broadcast") if sizes.count() <= 100_000 else sizes
     few = F.coalesce("blocks", F.lit(1))
-    left = prefix.select(F.col("name").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    left = prefix.select(F.col("name").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), "sig", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     left = left.join(sizes, ["sig", "band"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), few - 1))).drop("blocks")
-    right = prefix.select(F.col("name").alias("b"), F.col("n").alias("nb"), "sig", "band").join(sizes, ["sig", "band"], "left")
+    right = prefix.select(F.col("name").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), "sig", "band").join(sizes, ["sig", "band"], "left")
     right = right.withColumn("block", F.pmod(F.xxhash64("b"), few).cast("int")).drop("blocks")
-    near = left.join(right, ["sig", "band", "block"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= floor * F.greatest("na", "nb") - 1e-9))
+    # positions: an alike pair passes at its first shared signature, most others and most later signatures do not
+    near = left.join(right, ["sig", "band", "block"]).where((F.col("a") < F.col("b")) & (F.least("ra", "rb") >= F.lit(floor / (1.0 + floor)) * (F.col("na") + F.col("nb")) - 1e-9) & (F.least("na", "nb") >= floor * F.greatest("na", "nb") - 1e-9))
     pairs = near.select("a", "b").distinct()
-    texts = prints.select("name", "fingerprint")
+    texts = prints.select("name", F.unhex("fingerprint").alias("fingerprint"))
     both = pairs.join(texts.toDF("a", "fa"), "a").join(texts.toDF("b", "fb"), "b")
 
     def run(batches):
         for batch in batches:
-            rows = batch.to_pydict()
-            keep = [(a, b, v) for a, b, x, y in zip(rows["a"], rows["b"], rows["fa"], rows["fb"], strict=True) if (v := jaccard(set(from_hex(x).tolist()), set(from_hex(y).tolist()), floor)) > 0]
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keep], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["a", "b", "likeness"])
+            a, b, x, y = (batch.column(k) for k in range(4))
+            sets: dict = {}  # of this batch: a name comes in many pairs
 
-    return both.select("a", "b", "fa", "fb").mapInArrow(run, "a string, b string, likeness double")
+            def of(name, prints, k, sets=sets):
+                if name not in sets:
+                    sets[name] = set(np.frombuffer(prints[k].as_py(), ">u4").tolist())
+                return sets[name]
+
+            keep = [(m, n, v) for k, (m, n) in enumerate(zip(a.to_pylist(), b.to_pylist(), strict=True)) if (v := jaccard(of(m, x, k), of(n, y, k), floor)) > 0]
+            types = (a.type, b.type, pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in keep], t) for i, t in enumerate(types)], names=["a", "b", "likeness"])
+
+    return both.select("a", "b", "fa", "fb").mapInArrow(run, f"a {kind}, b {kind}, likeness double")
 
 
 def near_classes(docs: DataFrame, floor: float = 0.8, chain: int = CHAIN, hot: int = HOT) -> DataFrame:
@@ -158,10 +175,11 @@ def near_classes(docs: DataFrame, floor: float = 0.8, chain: int = CHAIN, hot: i
     `floor` alike.  Groups of copies are one class and do not expand into pairs.
     """
     each = written(fingerprints(docs, chain).select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("fingerprint").alias("name"), "fingerprint"), "spots")
-    classes = written(each.groupBy("name").agg(F.any_value("fingerprint").alias("fingerprint"), F.min("doc_id").alias("class_id")), "spots-classes")
-    pairs = written(near_pairs(classes.select("name", "fingerprint"), floor, hot), "spots-pairs")
-    ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("name")).agg(F.count(F.lit(1)).alias("n_links"))
-    told = classes.select("name", "class_id").join(ends, "name", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    classes = each.groupBy("name").agg(F.any_value("fingerprint").alias("fingerprint"), F.min("doc_id").alias("class_id"))
+    classes = written(classes.withColumn("number", F.monotonically_increasing_id()), "spots-classes")
+    pairs = written(near_pairs(classes.select(F.col("number").alias("name"), "fingerprint"), floor, hot), "spots-pairs")
+    ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("number")).agg(F.count(F.lit(1)).alias("n_links"))
+    told = classes.select("name", "number", "class_id").join(ends, "number", "left").drop("number").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
     return each.select("doc_id", "name").join(told, "name").select("doc_id", "class_id", "n_links")
 
 

@@ -290,6 +290,24 @@ def test_near_classes_by_brute_force(spark, sf, odd, empty, hot):
     assert spotsigs.near_classes(empty).count() == 0
 
 
+def test_near_pairs_leave_lone_signatures_where_they_are(spark, monkeypatch):
+    sets = [range(100 * k, 100 * k + 40) for k in range(20)] + [[*range(9000, 9030), *range(9100 + 10 * k, 9100 + 10 * k + k)] for k in range(10)]
+    prints = spark.createDataFrame([(k, spotsigs.to_hex(set(x))) for k, x in enumerate(sets)], "name long, fingerprint string")
+    kept, written = {}, spotsigs.written
+
+    def counted(df, name):
+        out = written(df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(spotsigs, "written", counted)
+    for floor in (0.5, 0.8, 1.0):
+        want = {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if len(set(x) & set(y)) >= floor * len(set(x) | set(y))}
+        got = spotsigs.near_pairs(prints, floor).collect()
+        assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+        assert kept["spots-prefix"] <= 10 * 31  # none of the 20 sets that share nothing
+
+
 def brute_spots(text):
     """A text's chains with the number of each that came before, written anew."""
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
