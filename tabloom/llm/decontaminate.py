@@ -8,13 +8,15 @@ passage's own score against itself, so one threshold fits all passages.  Every d
 is cut into overlapping windows such that any run of ITEM_WORDS words lies whole in one,
 and each window is a query that retrieves all passages at or above the threshold:
 
-* a block of passages in which the window's words' largest impacts do not add up
-  to the threshold is skipped (for many windows at once);
+* a block of passages in which the largest impacts of a stretch's words (of SPAN windows)
+  do not add up to the threshold is skipped for all of its windows, then one in which
+  those of a window's words do not, for that window;
 * the others go through WAND: cursors in passage order, a pivot where the sum of
   largest impacts can reach the threshold, passages before it skipped.
 
 An item of which any passage is retrieved is verified against the whole document: of its
-question and of its answer, the share of word shingles that the document holds.  The
+question and of its answer, the share of word shingles that the document holds (which
+are looked for only if the document has enough of the shingles' words).  The
 document is contaminated if both shares are at least OVERLAP, however far apart they
 stand, or that of the whole item is.  Question and answer are judged apart only if both
 have a shingle's words; an item shorter than a shingle contaminates only a document that
@@ -36,6 +38,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -55,15 +58,23 @@ K1, B = 1.2, 0.75
 ITEMS = 1_024
 PASS_CHARS = 4_000_000
 NARROW = 2
-#: Windows looked up at once.
-CHUNKS = 512
+#: Windows of a stretch, which are looked up at once.
+SPAN = 32
 
 _WORD = re.compile(r"\w+")
 _END = re.compile(r"[.!?\n]")
+#: Of each Latin-1 character, its small letter if it is of a word, else a blank; no letter of Latin-1 has a small one elsewhere.
+_LATIN = "".join(c if _WORD.match(c) else " " for c in map(str.lower, map(chr, range(256)))).encode("latin-1")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Lower-cased runs of word characters (\\w+)."""
+    if not text:
+        return []
+    try:
+        return text.encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(text.lower())
 
 
 def shingles(w: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
@@ -176,40 +187,49 @@ class Index:
             cursors = [c for c in cursors if c[2] < len(c[0])]
         return found
 
-    def retrieve(self, w: list[str], threshold: float) -> set[int]:
-        """Items with a passage at or above the threshold in some window of the words."""
-        get, none = self.terms.get, len(self.terms)
-        ids = np.fromiter((get(x, none) for x in w), np.int64, len(w))
-        known = np.flatnonzero(ids < none)
+    def retrieve(self, w: list[str], threshold: float, worth=None) -> set[int]:
+        """Items with a passage at or above the threshold in some window of the words; worth: of which items to ask."""
         out: set[int] = set()
-        least = threshold - 1e-4
-        for a in range(0, -(-len(ids) // STEP), CHUNKS):  # so many windows at a time, whatever the length of the text
-            lo, hi = np.searchsorted(known, [a * STEP, (a + CHUNKS + 1) * STEP])
-            if lo == hi:
-                continue
-            # window k is the words of chunks k and k + 1, each word once
-            pairs = (known[lo:hi] // STEP - a) * (none + 1) + ids[known[lo:hi]]
-            pairs = np.unique(np.concatenate([pairs, pairs - (none + 1)]))
-            pairs = pairs[np.searchsorted(pairs, 0) : np.searchsorted(pairs, CHUNKS * (none + 1))]
-            if not len(pairs):
-                continue
-            window, term = np.divmod(pairs, none + 1)
-            first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
-            bounds = np.add.reduceat(self.tops[term], first, axis=0)
-            rows, blocks = np.nonzero(bounds >= least)
-            ends = np.append(first[1:], len(term))
-            for row, block in zip(rows.tolist(), blocks.tolist(), strict=True):
-                out.update(self.owner[p] for p in self.search(block, term[first[row] : ends[row]], threshold))
+        for a in range(0, len(w), SPAN * STEP):  # a stretch at a time, whatever the length of the text
+            self._stretch(w[a : a + (SPAN + 1) * STEP], threshold, worth, out)
         return out
 
+    def _stretch(self, w: list[str], threshold: float, worth, out: set[int]) -> None:
+        """Adds what is retrieved by the SPAN windows that begin in a stretch: window k is the words of chunks k and k + 1."""
+        known = self.terms.keys() & w
+        if not known:
+            return
+        least = threshold - 1e-4
+        bound = self.tops.take(np.fromiter(map(self.terms.__getitem__, known), np.int64, len(known)), axis=0).sum(axis=0)
+        near = np.flatnonzero(bound >= least)
+        if worth:
+            asked = [any(map(worth, self.owner[b * NARROW : (b + 1) * NARROW])) for b in near.tolist()]
+            near = near[np.array(asked, bool)]
+        if not len(near):
+            return
+        none = len(self.terms)
+        ids = np.fromiter(map(self.terms.get, w, repeat(none)), np.int64, len(w))
+        at = np.flatnonzero(ids < none)
+        pairs = at // STEP * none + ids[at]
+        pairs = np.unique(np.concatenate([pairs, pairs - none]))  # each word of a window once
+        window, term = np.divmod(pairs[(pairs >= 0) & (pairs < SPAN * none)], none)
+        if not len(window):
+            return
+        first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
+        rows, blocks = np.nonzero(np.add.reduceat(self.tops[term[:, None], near], first, axis=0) >= least)
+        ends = np.append(first[1:], len(term))
+        for row, block in zip(rows.tolist(), near[blocks].tolist(), strict=True):
+            found = [self.owner[p] for p in self.search(block, term[first[row] : ends[row]], threshold)]
+            out.update(filter(worth, found) if worth else found)
+
     def parts_of(self, k: int) -> tuple[set, set, set]:
         if self._parts[k] is None:
             q, a = question_and_answer(self.items[k][1])
             self._parts[k] = (shingles(q), shingles(a), shingles(words(self.items[k][1])))
         return self._parts[k]
 
-    def hits(self, w: list[str], threshold: float = THRESHOLD) -> list[tuple[int, float, float, float]]:
-        """(item, question share, answer share, whole share) of every retrieved item, for a document's words."""
+    def hits(self, w: list[str], threshold: float = THRESHOLD, overlap: float = 0.0) -> list[tuple[int, float, float, float]]:
+        """(item, question share, answer share, whole share), for a document's words, of every retrieved item that the words alone let reach the overlap."""
         if not w or not self.terms:
             return []
         here: dict[int, set] = {}
@@ -220,12 +240,27 @@ class Index:
                     here[n] = shingles(w, n)
             return sum(s in here[len(s)] for s in part) / len(part) if part else 0.0
 
-        return [(k, *map(share, self.parts_of(k))) for k in sorted(self.retrieve(w, threshold))]
+        return [(k, *map(share, self.parts_of(k))) for k in sorted(self.retrieve(w, threshold, self.worth(w, overlap)))]
+
+    def worth(self, w: list[str], overlap: float):
+        """Whether an item could have the overlap with a document: by its shingles whose words the document has, in whatever order."""
+        have, known = set(w), {}
+
+        def most(part: set) -> float:
+            return sum(map(have.issuperset, part)) / len(part) if part else 0.0
+
+        def of(k: int) -> bool:
+            if k not in known:
+                q, a, whole = self.parts_of(k)
+                known[k] = most(whole) >= overlap or (most(q) >= overlap and most(a) >= overlap)
+            return known[k]
+
+        return of
 
     def contaminating(self, w: list[str], threshold: float, overlap: float) -> list[tuple[int, float, float]]:
         """(item, question share, answer share) of the items that contaminate a document of these words."""
         out = []
-        for k, q, a, whole in self.hits(w, threshold):
+        for k, q, a, whole in self.hits(w, threshold, min(overlap, 1.0)):
             sizes = [len(next(iter(p), ())) for p in self.parts_of(k)]
             if sizes[2] < SHINGLE:
                 hit = w == words(self.items[k][1])
