@@ -35,7 +35,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -105,7 +104,7 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
                     pa.array([train], pa.list_(pa.int32())),
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([lengths], pa.list_(pa.int32())),
-                    pa.array([zlib.compress(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)], pa.binary()),
+                    pa.array([pa.compress(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)], pa.binary()),
                 ],
                 names=[c.split()[0] for c in BLOCKS.split(", ")],
             )
@@ -131,12 +130,22 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
 
 
 def word_codes(codes: bytes) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(codes), np.uint8)
+    raw = np.frombuffer(pa.CompressedInputStream(pa.BufferReader(codes), "zstd").read(), np.uint8)
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").reshape(-1)
 
 
 # -- model ----------------------------------------------------------------------
 
+#: Of both gates and of the candidate: logistic(x) = 1 / (1 + exp(-x)), tanh(x) = 2 / (1 + exp(-2 x)) - 1; exact factors.
+POWERS = np.float32([-1.0, -1.0, -2.0])
+
+
+def logistic(power: np.ndarray, top: float = 1.0) -> None:
+    """top / (1 + exp(power)), in place: numpy's exp takes half the time of its tanh."""
+    np.exp(power, out=power)  # beyond its range infinite, and the result 0
+    power += 1.0
+    np.divide(top, power, out=power)
+
 
 class Vocabulary:
     """Classes of words, from the corpus counts."""
@@ -244,7 +253,7 @@ class Gru:
             logits -= logits.max(axis=1, keepdims=True)
         out = logits[np.arange(len(logits)), classes].astype(np.float64)
         np.exp(logits, out=logits)
-        out -= np.log(logits.sum(axis=1))
+        out -= np.log(logits @ np.ones(logits.shape[1], logits.dtype))
         tail = classes >= self.v.heads
         out[tail] += shares[tail]
         order = np.flatnonzero(~tail)
@@ -260,7 +269,7 @@ class Gru:
                     inner -= inner.max(axis=1, keepdims=True)
                 own = inner[np.arange(len(rows)), self.v.place[inputs[rows]]]
                 np.exp(inner, out=inner)
-                out[rows] += own - np.log(inner.sum(axis=1))
+                out[rows] += own - np.log(inner @ np.ones(len(m), inner.dtype))
         return out
 
     def fit(self, documents: list[np.ndarray], classes: np.ndarray, passes: int = FIT_PASSES, lanes: int = FIT_LANES, steps: int = FIT_STEPS, rate: float = RATE, seed: int = 11, fresh: bool = True) -> None:
@@ -291,70 +300,86 @@ class Gru:
                 h, grads = self._window(before[:, a:b], grid[:, a:b], classes, h, end)
                 t += 1
                 pace = rate * min(1.0, 2.0 * (1 - t / (total + 1)) + 0.05) * math.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-                norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+                norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
                 clip = min(1.0, 5.0 / (norm + 1e-9))
                 for k, g in grads.items():
                     m, v = moments[k]
-                    g = g * clip
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    self.p[k] -= pace * m / (np.sqrt(v) + 1e-8)
-
+                    g *= clip
+                    m *= 0.9
+                    m += 0.1 * g
+                    g *= g
+                    g *= 0.001
+                    v *= 0.999
+                    v += g
+                    np.sqrt(v, out=g)
+                    g += 1e-8
+                    np.divide(m, g, out=g)
+                    g *= pace
+                    self.p[k] -= g
+
+    @np.errstate(over="ignore")
     def _window(self, before, target, classes, h, end):
         """States after a window of tokens, and the gradients of its loss (the states before it are taken as given)."""
         n, p = self.h, self.p
         lanes, steps = before.shape
-        dtype = p["U"].dtype
-        fresh = (before.T == end)[:, :, None]
-        starts, s, inner, cand, to_cand, to_z, to_r = (self._room(k, (steps, lanes, n), dtype) for k in range(7))
-        gates, dx, dg, x = self._room(7, (steps, lanes, 2 * n), dtype), *(self._room(k, (steps, lanes, 3 * n), dtype) for k in (8, 9, 10))
-        np.take(p["X"], before.T, axis=0, out=x, mode="clip")
+        dtype, size, names, y = p["U"].dtype, lanes * steps, before.T.reshape(-1), target.T.reshape(-1)
+        fresh = before.T == end
+        keep, any_fresh = (~fresh)[:, :, None].astype(dtype), fresh.any(axis=1).tolist()
+        starts, s, inner, to_cand, to_z, to_r = (self._room(k, (steps, lanes, n), dtype) for k in range(6))
+        x, d, g = self._room(6, (3, steps, lanes, n), dtype), self._room(7, (4, steps, lanes, n), dtype), self._room(8, (3, lanes, n), dtype)
+        r, z, cand = x
+        # each gate's numbers lie together
+        inputs, recurrent = self._by_gate()
+        for k in range(3):
+            np.take(inputs[k], names, axis=0, out=x[k].reshape(-1, n), mode="clip")
         for t in range(steps):
-            h = starts[t] = np.where(fresh[t], dtype.type(0), h)
-            g = h @ p["U"]
-            a = np.add(x[t, :, : 2 * n], g[:, : 2 * n], out=gates[t])
-            a *= 0.5
-            np.tanh(a, out=a)
-            a += 1.0
-            a *= 0.5
-            inner[t] = g[:, 2 * n :]
-            np.multiply(a[:, :n], inner[t], out=cand[t])
-            cand[t] += x[t, :, 2 * n :]
-            np.tanh(cand[t], out=cand[t])
-            h = np.subtract(h, cand[t], out=s[t])
-            h *= a[:, n:]
+            if any_fresh[t]:
+                h = h * keep[t]
+            starts[t] = h
+            np.matmul(h, recurrent[:2], out=g[:2])
+            np.matmul(h, recurrent[2], out=inner[t])
+            a = x[:2, t]
+            a += g[:2]
+            logistic(a)
+            cand[t] += np.multiply(r[t], inner[t], out=g[2])
+            logistic(cand[t], 2.0)
+            cand[t] -= 1.0
+            h = np.subtract(starts[t], cand[t], out=s[t])
+            h *= z[t]
             h += cand[t]
+        h = h.copy()  # the room is written anew
         flat = s.reshape(-1, n)
-        y = target.T.reshape(-1)
         cls = classes[y]
         scale = dtype.type(1.0 / lanes)
-        grad = flat @ p["C"]
-        grad += p["c"]
+        grad = np.matmul(p["C"].T, flat.T, out=self._room(9, (self.v.classes, size), dtype))
+        grad += p["c"][:, None]
         if not self.bounded(p["C"], p["c"]):
-            grad -= grad.max(axis=1, keepdims=True)
+            grad -= grad.max(axis=0)
         np.exp(grad, out=grad)
-        grad *= scale / grad.sum(axis=1, keepdims=True)
-        grad[np.arange(len(y)), cls] -= scale
-        grads = {"C": flat.T @ grad, "c": grad.sum(axis=0), "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"])}
-        ds = grad @ p["C"].T
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(self.v.heads + 1))
+        grad *= scale / grad.sum(axis=0)
+        grad[cls, np.arange(size)] -= scale
+        grads = {"C": flat.T @ grad.T, "c": grad.sum(axis=1), "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"])}
+        ds = grad.T @ p["C"].T
+        order = np.flatnonzero(cls < self.v.heads)
+        order = order[np.argsort(cls[order].astype(np.int16), kind="stable")]
+        bounds, states, place = np.searchsorted(cls[order], np.arange(self.v.heads + 1)).tolist(), flat[order], self.v.place[y[order]]
+        back, bounded = np.zeros_like(states), self.bounded(p["W"].T, p["w"])
         for c, m in enumerate(self.v.members):
-            rows = order[bounds[c] : bounds[c + 1]]
-            if len(rows) and len(m) > 1:
-                own, weights = flat[rows], p["W"][m]
-                soft = own @ weights.T
-                soft += p["w"][m]
-                if not self.bounded(weights.T, p["w"][m]):
-                    soft -= soft.max(axis=1, keepdims=True)
+            i, j = bounds[c], bounds[c + 1]
+            if i < j and len(m) > 1:
+                own, weights = states[i:j], p["W"][m]
+                soft = weights @ own.T
+                soft += p["w"][m][:, None]
+                if not bounded:
+                    soft -= soft.max(axis=0)
                 np.exp(soft, out=soft)
-                soft *= scale / soft.sum(axis=1, keepdims=True)
-                soft[np.arange(len(rows)), self.v.place[y[rows]]] -= scale
-                grads["W"][m] += soft.T @ own
-                grads["w"][m] += soft.sum(axis=0)
-                ds[rows] += soft @ weights
+                soft *= scale / soft.sum(axis=0)
+                soft[place[i:j], np.arange(j - i)] -= scale
+                grads["W"][m] = soft @ own
+                grads["w"][m] = soft.sum(axis=1)
+                np.matmul(soft.T, weights, out=back[i:j])
+        ds[order] += back
         # what does not depend on later steps is worked out for all steps at once
-        r, z = gates[:, :, :n], gates[:, :, n:]
         np.subtract(starts, cand, out=to_z)
         to_z *= z
         np.subtract(1, z, out=to_r)
@@ -364,31 +389,60 @@ class Gru:
         to_cand *= to_r
         np.subtract(1, r, out=to_r)
         to_r *= r
+        inner *= -0.5
         to_r *= inner
         ds = ds.reshape(steps, lanes, n)
-        carry, back = np.zeros((lanes, n), dtype), p["U"].T.copy()
+        carry, back = None, np.ascontiguousarray(p["U"].reshape(n, 3, n).transpose(1, 2, 0))
         for t in range(steps - 1, -1, -1):
-            dh = carry
-            dh += ds[t]
-            d = np.multiply(dh, to_cand[t], out=dx[t, :, 2 * n :])
-            np.multiply(d, to_r[t], out=dx[t, :, :n])
-            np.multiply(dh, to_z[t], out=dx[t, :, n : 2 * n])
-            dg[t, :, : 2 * n] = dx[t, :, : 2 * n]
-            np.multiply(d, r[t], out=dg[t, :, 2 * n :])
+            dh = ds[t]
+            if carry is not None:
+                dh += carry
+            # of both gates, of the state's share of the candidate, and of the candidate
+            np.multiply(dh, to_cand[t], out=d[3, t])
+            np.multiply(d[3, t], to_r[t], out=d[0, t])
+            np.multiply(dh, to_z[t], out=d[1, t])
+            np.multiply(d[3, t], r[t], out=d[2, t])
             dh *= z[t]
-            dh += dg[t] @ back
-            dh[fresh[t, :, 0]] = 0
+            np.matmul(d[:3, t], back, out=g)
+            for k in range(3):
+                dh += g[k]
+            if any_fresh[t]:
+                dh *= keep[t]
             carry = dh
-        grads["U"] = starts.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
-        # the inputs' gradients, summed by input
-        names = before.T.reshape(-1)
-        order = np.argsort(names.astype(np.int16), kind="stable")
-        names = names[order]
-        first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-        grads["X"] = np.zeros_like(p["X"])
-        grads["X"][names[first]] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], first, axis=0)
+        grads["U"] = np.matmul(starts.reshape(-1, n).T, d[:3].reshape(3, -1, n)).transpose(1, 0, 2).reshape(n, 3 * n)
+        grads["X"] = self._by_input(names, [d[k].reshape(-1, n) for k in (0, 1, 3)])
         return h, grads
 
+    def _by_gate(self) -> tuple[np.ndarray, np.ndarray]:
+        """The inputs' rows and the recurrent weights, gate by gate; times what makes both gates and the candidate powers of a logistic's exponential."""
+        x, u = ((weights.reshape(-1, 3, self.h) * POWERS[:, None].astype(weights.dtype)).transpose(1, 0, 2) for weights in (self.p["X"], self.p["U"]))
+        return np.ascontiguousarray(x), np.ascontiguousarray(u)
+
+    def _by_input(self, names: np.ndarray, dx: list[np.ndarray], by: int = 8) -> np.ndarray:
+        """The tokens' gradients (gate by gate) summed by input: `by` rows of an input at a time, filled up with a row of zeros."""
+        size, width = len(names), 3 * self.h
+        rows = self._room(10, (size + 1, width), dx[0].dtype)
+        for k, part in enumerate(dx):
+            rows[:size, k * self.h : (k + 1) * self.h] = part
+        rows[size] = 0
+        counts = np.bincount(names)
+        held = np.flatnonzero(counts)
+        counts = counts[held]
+        padded = -(-counts // by) * by
+        ends = np.cumsum(padded)
+        index = np.full(ends[-1], size)
+        index[np.arange(size) + np.repeat(ends - padded - np.cumsum(counts) + counts, counts)] = np.argsort(names.astype(np.int16), kind="stable")
+        index = np.ascontiguousarray(index.reshape(-1, by).T)
+        total = rows.take(index[0], axis=0)
+        for k in range(1, by):
+            total += rows.take(index[k], axis=0)
+        out, first = np.zeros_like(self.p["X"]), (ends - padded) // by
+        out[held] = total[first]
+        for k in np.flatnonzero(padded > by).tolist():
+            total[first[k] : ends[k] // by].sum(axis=0, out=out[held[k]])
+        return out
+
+    @np.errstate(over="ignore")
     def score(self, words: np.ndarray, inputs: np.ndarray, classes: np.ndarray, shares: np.ndarray, lengths: np.ndarray, lanes: int = LANES, steps: int = STEPS) -> np.ndarray:
         """Natural log-likelihood of each document; words: of all documents, each with its end token last; inputs, classes, shares: of each word's number."""
         count = len(lengths)
@@ -415,10 +469,10 @@ class Gru:
         before = np.empty_like(words)
         before[1:] = words[:-1]
         before[first] = words[lane_at[0] + lengths[lane_docs[0][0]] - 1]  # the end token
-        # states and gates lie lane by lane, so that each gate's are together; halves, which are exact, make tanh the logistic
+        # states and gates lie lane by lane, so that each gate's are together
         n, outputs, total = self.h, self.outputs(), np.zeros(count)
-        x_all = self.p["X"] * np.repeat(np.float32([0.5, 0.5, 1.0]), n)
-        recurrent = np.ascontiguousarray(self.p["U"].T) * np.float32(0.5)
+        x_all = self.p["X"] * np.repeat(POWERS, n)
+        recurrent = np.ascontiguousarray((self.p["U"] * np.repeat(POWERS, n)).T)
         h = np.zeros((n, lanes), np.float32)
         a, longest = 0, int(sizes[0])
         while a < longest:
@@ -441,12 +495,11 @@ class Gru:
                 x, out = xs[t], states[t]
                 np.matmul(recurrent, s, out=g)
                 np.add(x[: 2 * n], g[: 2 * n], out=gates)
-                np.tanh(gates, out=gates)
-                gates += 1.0
+                logistic(gates)
                 r *= g[2 * n :]
                 r += x[2 * n :]
-                np.tanh(r, out=r)
-                z *= 0.5
+                logistic(r, 2.0)
+                r -= 1.0
                 np.subtract(s, r, out=out)
                 out *= z
                 out += r
@@ -527,7 +580,7 @@ def score_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     spark = docs.sparkSession
     n = parts(spark)
     held = written(blocks(docs, block), "lm-blocks")
-    rows = held.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("idx", "x")).select("block", "idx", F.col("x.words").alias("word"), F.col("x.train").alias("train"))
+    rows = held.select(F.explode(F.arrays_zip("words", "train")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.train").alias("train"))
     counts = written(rows.groupBy("word").agg(F.sum("train").alias("c")), "lm-counts")
     facts = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     total, distinct = int(facts["n"] or 0), int(facts["v"] or 0)
@@ -535,7 +588,8 @@ def score_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     head = [(r["word"], r["c"]) for r in known.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
     if END not in {w for w, _ in head}:
         head = [*head[: HEAD - 1], (END, max(1, counts.where(F.col("word") == END).agg(F.sum("c")).first()[0] or 1))]
-    vocabulary = Vocabulary(head, _tails(known, {w for w, _ in head}))
+    # without training tokens the end token is no training word, but in the head
+    vocabulary = Vocabulary(head, _tails(known, {w for w, _ in head}, total + distinct - sum(c + 1 for _, c in head) if total else 0))
     model = Gru(vocabulary)
     sample = fit_sample(docs)
     encoded = [vocabulary.of([*w, END])[0] for w in sample]
@@ -544,7 +598,7 @@ def score_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     classes[len(head) :] = np.arange(vocabulary.classes)
     model.fit(encoded, classes)
 
-    own = rows.select("block", "idx", "word").join(with_inputs(counts, vocabulary), "word").groupBy("block").agg(F.collect_list(F.struct("idx", "c", "input")).alias("counts"))
+    own = held.select("block", F.posexplode("words").alias("idx", "word")).join(with_inputs(counts, vocabulary), "word").groupBy("block").agg(F.collect_list(F.struct("idx", "c", "input")).alias("counts"))
     paired = held.select("block", "doc_ids", "lengths", "codes").repartition(n, "block").join(own, "block")
     paired = written(paired, "lm-paired")
     fit_blocks(paired, model, classes)
@@ -593,8 +647,8 @@ def with_inputs(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return counts.select("word", "c").mapInArrow(run, "word string, c long, input int")
 
 
-def _tails(known: DataFrame, head: set[str]) -> list[tuple[str, int]]:
-    """(ending, sum of count + 1) of all training words outside the head: the ENDINGS largest, and the rest as one."""
+def _tails(known: DataFrame, head: set[str], whole: int) -> list[tuple[str, int]]:
+    """(ending, sum of count + 1) of all training words outside the head, whole in all: the ENDINGS largest, and the rest as one."""
 
     def run(batches):
         for batch in batches:
@@ -607,7 +661,6 @@ def _tails(known: DataFrame, head: set[str]) -> list[tuple[str, int]]:
 
     sums = known.select("word", "c").mapInArrow(run, "ending string, n long").groupBy("ending").agg(F.sum("n").alias("n"))
     top = [(r["ending"], r["n"]) for r in sums.orderBy(F.desc("n"), "ending").limit(ENDINGS).collect()]
-    whole = sums.agg(F.sum("n")).first()[0] or 0
     rest = whole - sum(n for _, n in top)
     # the rest comes last whatever its size, under a name that is no ending
     return [*top, ("", rest)] if rest else top
