@@ -1,11 +1,14 @@
 """Scoring of whole documents by a gated recurrent language model.
 
 1. Blocks.  One pass over the documents cuts them into blocks of about BLOCK
-   words; a block is written once, as its distinct words, its documents' word
-   numbers (compressed) and the words' counts in training documents.
-2. Counts.  Words are summed over all blocks (a block gives one row a word, so a
-   very common word has as many rows as there are blocks), and each block gets
-   its own words' counts back.  Every training document counts; nothing is sampled.
+   words; a block is written once, as its documents' word numbers (compressed),
+   and its distinct words and their counts in training documents, dealt to places
+   by a hash of the word.
+2. Counts.  A place holds all that blocks have of its words (a block gives a word
+   once, so a very common word comes as often as there are blocks); it sums them,
+   and each block gets its own words' counts back.  Blocks' words travel as one
+   value for a block and place, not as rows.  Every training document counts;
+   nothing is sampled.
 3. Model.  A gated recurrent unit reads the tokens; the output is factored by
    classes: P(word) = P(class | state) P(word | class, state).  The HEAD most
    frequent words lie in classes of equal frequency, with a softmax within the class
@@ -35,14 +38,16 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import byte_words, crc_of_id, one_thread, only, parts, table, words_of, written
+from .shared import crc_of_id, one_thread, only, parts, table, words_of, written
 
 BLOCK = 1_500_000
 HEAD = 384
@@ -66,62 +71,98 @@ def is_held_out(doc_id) -> bool:
     return crc_of_id(doc_id) % 7 == 2
 
 
+MARKS = ".,;:!?\"')]}%$*#&|"
+
+
+def _spelt(tail: str) -> str:
+    return "0" if tail[-1:].isdigit() else tail or "."
+
+
 def ending(word: str) -> str:
     """How a word is spelt, in short: its last two letters, or what stands in their place."""
-    bare = word.rstrip(".,;:!?\"')]}%$*#&|")
-    tail = bare[-2:] if bare else "."
-    return "0" if tail[-1:].isdigit() else tail
+    return _spelt(word.rstrip(MARKS)[-2:])
+
+
+def endings(words: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """The same of many words: each one's place in a list of endings (which may name one twice), and the list."""
+    tails = pc.utf8_slice_codeunits(pc.utf8_rtrim(words, characters=MARKS), -2, None).dictionary_encode()
+    return np.asarray(tails.indices), [_spelt(t) for t in tails.dictionary.to_pylist()]
 
 
 # -- blocks ---------------------------------------------------------------------
 
-BLOCKS = "block long, words array<string>, train array<int>, doc_ids array<long>, lengths array<int>, codes binary"
+BLOCKS = "block long, doc_ids array<long>, lengths array<int>, codes binary, places binary, shards array<struct<words: binary, train: binary>>"
+SLICE = 4 << 20  # bytes of text cut into words at once
+END_BYTES = b" "  # the end token among a block's words, which are parted by line ends
 
 
-class Numbers(dict):
-    """Words in order of appearance: a new one gets the next number."""
+def word_lists(texts: pa.Array):
+    """Lower-cased (A-Z) words of some texts after another: (words of all, number of words of each)."""
+    texts = texts.fill_null("")
+    sizes, a = np.cumsum(np.asarray(pc.binary_length(texts), np.int64)), 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + SLICE, side="right")))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts[a:b]))
+        words, counts = lists.flatten(), np.asarray(pc.list_value_length(lists), np.int64)
+        held = np.asarray(pc.binary_length(words)) > 0  # white space at either end leaves an empty piece
+        if not held.all():
+            counts = np.diff(np.concatenate([[0], np.cumsum(held)])[np.concatenate([[0], np.cumsum(counts)])])
+            words = words.filter(pa.array(held))
+        yield words.cast(pa.string()), counts
+        a = b
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
 
+def blocks(docs: DataFrame, size: int = BLOCK, places: int | None = None) -> DataFrame:
+    places = min(places or parts(docs.sparkSession), 1 << 16)
 
-def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
-        numbers = Numbers({END.encode(): 0})
-        codes, ids, lengths, total = [], [], [], 0
+        words, counts, ids, total = [], [], [], 0
 
         def flush():
-            nonlocal seq, numbers, codes, ids, lengths, total
-            flat = np.concatenate(codes)
+            nonlocal seq, words, counts, ids, total
+            coded = pa.chunked_array(words, pa.string()).dictionary_encode()  # one dictionary for all chunks
+            names = [END_BYTES, *(coded.chunk(coded.num_chunks - 1).dictionary.cast(pa.binary()).to_pylist() if coded.num_chunks else [])]
+            lengths = np.concatenate(counts)
+            flat = np.zeros(total, np.int32)
+            flat[np.arange(total - len(ids)) + np.repeat(np.arange(len(ids)), lengths)] = np.concatenate([np.asarray(c.indices) for c in coded.chunks] or [np.zeros(0, np.int32)]) + 1
+            lengths += 1
             keep = np.repeat(np.array([not is_held_out(i) for i in ids]), lengths)
-            train = np.bincount(flat[keep], minlength=len(numbers))
+            train = np.bincount(flat[keep], minlength=len(names))
+            place = (np.fromiter(map(zlib.crc32, names), np.int64, len(names)) % places).astype("<u2")
+            order = np.argsort(place, kind="stable")
+            bounds, train, names = np.searchsorted(place[order], np.arange(places + 1)).tolist(), train[order], [names[k] for k in order.tolist()]
+            shards = [{"words": b"\n".join(names[i:j]), "train": packed(train[i:j])} if i < j else None for i, j in zip(bounds, bounds[1:], strict=False)]
             row = pa.RecordBatch.from_arrays(
                 [
                     pa.array([(part << 32) + seq], pa.int64()),
-                    pa.array([list(numbers)], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
-                    pa.array([train], pa.list_(pa.int32())),
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([lengths], pa.list_(pa.int32())),
-                    pa.array([pa.compress(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)], pa.binary()),
+                    pa.array([packed(flat)], pa.binary()),
+                    pa.array([place.tobytes()], pa.binary()),
+                    pa.array([shards], pa.list_(pa.struct([("words", pa.binary()), ("train", pa.binary())]))),
                 ],
-                names=[c.split()[0] for c in BLOCKS.split(", ")],
+                names=["block", "doc_ids", "lengths", "codes", "places", "shards"],
             )
             seq += 1
-            numbers, codes, ids, lengths, total = Numbers({END.encode(): 0}), [], [], [], 0
+            words, counts, ids, total = [], [], [], 0
             return row
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                words = byte_words(text)
-                codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-                codes.append(np.zeros(1, np.int32))
-                ids.append(doc_id)
-                lengths.append(len(words) + 1)
-                total += len(words) + 1
-                if total >= size:
-                    yield flush()
+            names, a = batch.column(0).to_pylist(), 0
+            for found, lengths in word_lists(batch.column(1)):
+                ends, i = np.concatenate([[0], np.cumsum(lengths)]), 0
+                while i < len(lengths):
+                    # up to the document with which the block is full
+                    j = min(len(lengths), i + 1 + int(np.searchsorted(np.cumsum(lengths[i:] + 1), size - total)))
+                    words.append(found[int(ends[i]) : int(ends[j])])
+                    counts.append(lengths[i:j])
+                    ids += names[a + i : a + j]
+                    total += int(ends[j] - ends[i]) + j - i
+                    i = j
+                    if total >= size:
+                        yield flush()
+                a += len(lengths)
         if ids:
             yield flush()
 
@@ -129,9 +170,64 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
     return slim.mapInArrow(run, BLOCKS)
 
 
-def word_codes(codes: bytes) -> np.ndarray:
-    raw = np.frombuffer(pa.CompressedInputStream(pa.BufferReader(codes), "zstd").read(), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").reshape(-1)
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers compressed byte by byte: all lowest bytes come first."""
+    width = 8 if numbers.dtype.itemsize == 8 and len(numbers) and int(numbers.max()) >= 1 << 31 else 4
+    planes = numbers.astype(f"<i{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(numbers: bytes) -> np.ndarray:
+    width = numbers[0]
+    raw = np.frombuffer(pa.CompressedInputStream(pa.BufferReader(memoryview(numbers)[1:]), "zstd").read(), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<i{width}").reshape(-1)
+
+
+COUNTS = "words array<string>, c array<long>, blocks array<long>, places array<int>, codes array<binary>"
+
+
+def counted(held: DataFrame, n: int) -> DataFrame:
+    """All different words and their counts in training documents, some places' in a row; codes: the words' numbers there of each block and place."""
+
+    def run(batches):
+        owners, places, words, train = [], [], [], []
+        for batch in batches:
+            owners += batch.column(0).to_pylist()
+            places += batch.column(1).to_pylist()
+            words += pc.split_pattern(batch.column(2).cast(pa.binary()), "\n")
+            train += [unpacked(t) for t in batch.column(3).to_pylist()]
+        if not owners:
+            return
+        coded = pa.chunked_array([w.values for w in words]).dictionary_encode()
+        names = coded.chunk(coded.num_chunks - 1).dictionary.cast(pa.string())
+        names = pc.if_else(pc.equal(names, END_BYTES.decode()), END, names)
+        c = np.zeros(len(names), np.int64)
+        codes = [np.asarray(x.indices) for x in coded.chunks]
+        for x, t in zip(codes, train, strict=True):
+            c[x] += t  # a block's words are different
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names),
+                pa.array([c], pa.list_(pa.int64())),
+                pa.array([owners], pa.list_(pa.int64())),
+                pa.array([places], pa.list_(pa.int32())),
+                pa.array([[packed(x) for x in codes]], pa.list_(pa.binary())),
+            ],
+            names=["words", "c", "blocks", "places", "codes"],
+        )
+
+    shards = held.select("block", F.posexplode("shards").alias("place", "x")).where("x is not null")
+    return shards.select("block", "place", "x.words", "x.train").repartition(n, "place").mapInArrow(run, COUNTS)
+
+
+def in_order(places: bytes, shards: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and input numbers of a block's words in the order of their numbers."""
+    order = np.argsort(np.frombuffer(places, "<u2"), kind="stable")
+    shards = sorted(shards, key=lambda x: x["place"])
+    c, inputs = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    c[order] = np.concatenate([unpacked(x["c"]) for x in shards])
+    inputs[order] = np.concatenate([unpacked(x["inputs"]) for x in shards])
+    return c, inputs
 
 
 # -- model ----------------------------------------------------------------------
@@ -172,18 +268,15 @@ class Vocabulary:
             self.mass[min(self.heads + k, self.rest)] += n
         self.inputs = len(head) + self.classes
 
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, words: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(input number, class) of each word; head words' inputs are their numbers."""
-        get, tail = self.head.get, self.tail_class.get
-        n = len(self.head)
-        inputs = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        classes = np.empty(len(words), np.int64)
+        words = pa.array(words, pa.string()) if isinstance(words, list) else words
+        inputs = np.asarray(pc.index_in(words, value_set=pa.array(list(self.head), pa.string())).fill_null(-1)).astype(np.int64)
+        codes, names = endings(words)
+        classes = np.array([self.tail_class.get(e, self.rest) for e in names], np.int64)[codes]
         known = inputs >= 0
         classes[known] = self.head_class[inputs[known]]
-        for k in np.flatnonzero(~known).tolist():
-            classes[k] = c = tail(ending(words[k]), self.rest)
-            inputs[k] = n + c
-        return inputs, classes
+        return np.where(known, inputs, len(self.head) + classes), classes
 
 
 class Gru:
@@ -547,13 +640,11 @@ def fit_blocks(paired: DataFrame, model: Gru, classes: np.ndarray, rounds: int =
             tokens, total = tokens + n, w if total is None else total + w
         return pa.RecordBatch.from_arrays([pa.array([tokens] if tokens else [], pa.int64()), pa.array([total.tobytes()] if tokens else [], pa.binary())], names=["tokens", "weights"])
 
-    def one(ids, lengths, codes, pairs):
+    def one(ids, lengths, codes, places, shards):
         one_thread()
-        at = np.asarray(pairs.field("idx"))
-        inputs = np.zeros(len(at), np.int64)
-        inputs[at] = np.asarray(pairs.field("input"))
+        inputs = in_order(places, shards)[1]
         cuts = np.cumsum(lengths)[:-1]
-        documents = [d for i, d in zip(ids, np.split(inputs[word_codes(codes)], cuts), strict=True) if not is_held_out(i)]
+        documents = [d for i, d in zip(ids, np.split(inputs[unpacked(codes)], cuts), strict=True) if not is_held_out(i)]
         own = Gru(model.v, model.h)
         own.p = {k: v.copy() for k, v in model.p.items()}
         own.fit(documents, classes, passes=1, lanes=BLOCK_LANES, fresh=False)
@@ -561,13 +652,13 @@ def fit_blocks(paired: DataFrame, model: Gru, classes: np.ndarray, rounds: int =
         return n, (np.concatenate([v.reshape(-1) for v in own.p.values()]).astype(np.float64) * n).tobytes()
 
     def run(batches):
-        yield summed(one(b.column(0)[k].as_py(), np.asarray(b.column(1)[k].values, np.int64), b.column(2)[k].as_py(), b.column(3)[k].values) for b in batches for k in range(b.num_rows))
+        yield summed(one(b.column(0)[k].as_py(), np.asarray(b.column(1)[k].values, np.int64), *(b.column(x)[k].as_py() for x in (2, 3, 4))) for b in batches for k in range(b.num_rows))
 
     def again(batches):
         yield summed((b.column(0)[k].as_py(), b.column(1)[k].as_py()) for b in batches for k in range(b.num_rows))
 
     # summed in partitions, then in a few tasks, so that the driver receives a few models whatever the number of blocks
-    rows = paired.select("doc_ids", "lengths", "codes", "counts").mapInArrow(run, schema).repartition(rounds).mapInArrow(again, schema).collect()
+    rows = paired.select("doc_ids", "lengths", "codes", "places", "counts").mapInArrow(run, schema).repartition(rounds).mapInArrow(again, schema).collect()
     tokens = sum(r["tokens"] for r in rows)
     if tokens:
         flat = sum(np.frombuffer(r["weights"], np.float64) for r in rows) / tokens
@@ -579,9 +670,9 @@ def fit_blocks(paired: DataFrame, model: Gru, classes: np.ndarray, rounds: int =
 def score_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     spark = docs.sparkSession
     n = parts(spark)
-    held = written(blocks(docs, block), "lm-blocks")
-    rows = held.select(F.explode(F.arrays_zip("words", "train")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.train").alias("train"))
-    counts = written(rows.groupBy("word").agg(F.sum("train").alias("c")), "lm-counts")
+    held = written(blocks(docs, block, n), "lm-blocks")
+    summed = written(counted(held, n), "lm-counts")
+    counts = summed.select(F.explode(F.arrays_zip("words", "c")).alias("x")).select(F.col("x.words").alias("word"), "x.c")
     facts = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     total, distinct = int(facts["n"] or 0), int(facts["v"] or 0)
     known = counts.where("c > 0")
@@ -598,8 +689,8 @@ def score_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     classes[len(head) :] = np.arange(vocabulary.classes)
     model.fit(encoded, classes)
 
-    own = held.select("block", F.posexplode("words").alias("idx", "word")).join(with_inputs(counts, vocabulary), "word").groupBy("block").agg(F.collect_list(F.struct("idx", "c", "input")).alias("counts"))
-    paired = held.select("block", "doc_ids", "lengths", "codes").repartition(n, "block").join(own, "block")
+    own = with_inputs(summed, vocabulary).groupBy("block").agg(F.collect_list(F.struct("place", "c", "inputs")).alias("counts"))
+    paired = held.select("block", "doc_ids", "lengths", "codes", "places").repartition(n, "block").join(own, "block")
     paired = written(paired, "lm-paired")
     fit_blocks(paired, model, classes)
 
@@ -609,11 +700,8 @@ def score_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             for k in range(batch.num_rows):
                 ids = batch.column(0)[k].as_py()
                 lengths = np.asarray(batch.column(1)[k].values, np.int64)
-                flat = word_codes(batch.column(2)[k].as_py())
-                pairs = batch.column(3)[k].values
-                at = np.asarray(pairs.field("idx"))
-                c, inputs = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-                c[at], inputs[at] = np.asarray(pairs.field("c")), np.asarray(pairs.field("input"))
+                flat = unpacked(batch.column(2)[k].as_py())
+                c, inputs = in_order(batch.column(3)[k].as_py(), batch.column(4)[k].as_py())
                 cls = classes[inputs]
                 shares = np.where(cls >= vocabulary.heads, np.log(c + 1.0) - np.log(vocabulary.mass[cls]), 0.0)
                 base = np.log10((c + 1.0) / (total + 1.0 * (distinct + 1)))
@@ -632,32 +720,37 @@ def score_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    slim = paired.select("doc_ids", "lengths", "codes", "counts")
+    slim = paired.select("doc_ids", "lengths", "codes", "places", "counts")
     return slim.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def with_inputs(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Each word's count and input number."""
+def with_inputs(summed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The counts and input numbers of each block's words, by block and place."""
 
     def run(batches):
         for batch in batches:
-            inputs, _ = vocabulary.of(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(inputs, pa.int32())], names=["word", "c", "input"])
+            for k in range(batch.num_rows):
+                inputs, _ = vocabulary.of(batch.column(0)[k].values)
+                c, codes = np.asarray(batch.column(1)[k].values), [unpacked(x) for x in batch.column(4)[k].as_py()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(2)[k].values, batch.column(3)[k].values, pa.array([packed(c[x]) for x in codes], pa.binary()), pa.array([packed(inputs[x]) for x in codes], pa.binary())],
+                    names=["block", "place", "c", "inputs"],
+                )
 
-    return counts.select("word", "c").mapInArrow(run, "word string, c long, input int")
+    return summed.mapInArrow(run, "block long, place int, c binary, inputs binary")
 
 
 def _tails(known: DataFrame, head: set[str], whole: int) -> list[tuple[str, int]]:
     """(ending, sum of count + 1) of all training words outside the head, whole in all: the ENDINGS largest, and the rest as one."""
+    common = pa.array(sorted(head), pa.string())
 
     def run(batches):
         for batch in batches:
-            sums: dict[str, int] = {}
-            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if w not in head:
-                    e = ending(w)
-                    sums[e] = sums.get(e, 0) + c + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["ending", "n"])
+            kept = pc.invert(pc.is_in(batch.column(0), value_set=common))
+            codes, names = endings(batch.column(0).filter(kept))
+            sums = np.zeros(len(names), np.int64)
+            np.add.at(sums, codes, np.asarray(batch.column(1).filter(kept)) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sums)], names=["ending", "n"])
 
     sums = known.select("word", "c").mapInArrow(run, "ending string, n long").groupBy("ending").agg(F.sum("n").alias("n"))
     top = [(r["ending"], r["n"]) for r in sums.orderBy(F.desc("n"), "ending").limit(ENDINGS).collect()]

@@ -1,8 +1,15 @@
 """What makes the language model's fit and scoring cheaper gives the same numbers."""
 
+import collections
+import random
+
 import numpy as np
+import pyarrow as pa
 
 from tabloom.llm import gated_lm
+from tabloom.llm.shared import words_of
+
+ODD = ["  A\tb\x0bC\x0c\r d  ", "", None, "   ", "\u00c9 \u00c0B\u2003x\x1cy \x85 z", "one", "\n", "\U0001d4b3Y\u00b2 9\u00b2 a. ?! \u0663 I\u0307 \u212a"]
 
 
 def test_gates_by_exponentials():
@@ -44,3 +51,54 @@ def test_tails_are_worked_out_once(spark):
     want = sorted(sums.items(), key=lambda t: (-t[1], t[0]))
     assert got == [*want[: gated_lm.ENDINGS], ("", sum(n for _, n in want[gated_lm.ENDINGS :]))]
     assert len(ran) <= 2
+
+
+def test_words_of_many_texts(monkeypatch):
+    for size in (1, 20, gated_lm.SLICE):
+        monkeypatch.setattr(gated_lm, "SLICE", size)
+        got = []
+        for words, counts in gated_lm.word_lists(pa.array([*ODD, "x"], pa.string()).slice(1)):
+            words = iter(words.to_pylist())
+            got += [[next(words) for _ in range(n)] for n in counts.tolist()]
+            assert next(words, None) is None
+        assert got == [words_of(t) for t in [*ODD[1:], "x"]]
+
+
+def test_endings_of_many_words():
+    words = [*{w for t in ODD for w in words_of(t)}, "", "...", "ab1", "1)", "x\u00b2", "\U0001d4b3"]
+    codes, names = gated_lm.endings(pa.array(words))
+    assert [names[k] for k in codes.tolist()] == [gated_lm.ending(w) for w in words]
+
+
+def test_numbers_packed():
+    for x in ([], [0], [5, 0, 2**31 - 1], [2**31, 1], [2**40, 3]):
+        assert gated_lm.unpacked(gated_lm.packed(np.array(x, np.int64))).tolist() == x
+
+
+def test_words_of_blocks_travel_together(spark):
+    """Of each block's words a place gets one row, and the block one row of it: rows moved do not grow with the words."""
+    r = random.Random(5)
+    texts = [*ODD, *(" ".join(f"w{int(r.paretovariate(0.3)) % 900}" for _ in range(r.randrange(200))) for _ in range(120))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).cache()
+    held = gated_lm.blocks(docs, 1500, 5).cache()
+    rows = {x["block"]: x for x in held.collect()}
+    assert sum((x["doc_ids"] for x in rows.values()), []) == list(range(len(texts)))
+    assert all(sum(x["lengths"]) >= 1500 > sum(x["lengths"][:-1]) for x in [*rows.values()][:-1]) and len(rows) > 5
+    want = collections.Counter({w: 0 for t in texts for w in words_of(t)})
+    for k, t in enumerate(texts):
+        if not gated_lm.is_held_out(k):
+            want.update([*words_of(t), gated_lm.END])
+    summed = gated_lm.counted(held, 5).cache()
+    whole = summed.collect()
+    assert len(whole) <= 5
+    assert sorted((w, c) for x in whole for w, c in zip(x["words"], x["c"], strict=True)) == sorted(want.items())
+    v = gated_lm.Vocabulary(want.most_common(30), [("x", 4)])
+    shards = collections.defaultdict(list)
+    for x in gated_lm.with_inputs(summed, v).collect():
+        shards[x["block"]].append(x)
+    assert sum(map(len, shards.values())) <= 5 * len(rows)
+    for block, x in rows.items():
+        c, inputs = gated_lm.in_order(x["places"], shards[block])
+        flat, words = gated_lm.unpacked(x["codes"]), [w for k in x["doc_ids"] for w in [*words_of(texts[k]), gated_lm.END]]
+        assert c[flat].tolist() == [want[w] for w in words]
+        assert inputs[flat].tolist() == v.of(words)[0].tolist()
