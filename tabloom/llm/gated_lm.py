@@ -93,7 +93,7 @@ def endings(words: pa.Array) -> tuple[np.ndarray, list[str]]:
 
 BLOCKS = "block long, doc_ids array<long>, lengths array<int>, codes binary, places binary, shards array<struct<words: binary, train: binary>>"
 SLICE = 4 << 20  # bytes of text cut into words at once
-END_BYTES = b" "  # the end token among a block's words, which are parted by line ends
+END_BYTES = b" "  # the end token among a block's words, each of which a line end follows
 
 
 def word_lists(texts: pa.Array):
@@ -132,7 +132,7 @@ def blocks(docs: DataFrame, size: int = BLOCK, places: int | None = None) -> Dat
             place = (np.fromiter(map(zlib.crc32, names), np.int64, len(names)) % places).astype("<u2")
             order = np.argsort(place, kind="stable")
             bounds, train, names = np.searchsorted(place[order], np.arange(places + 1)).tolist(), train[order], [names[k] for k in order.tolist()]
-            shards = [{"words": b"\n".join(names[i:j]), "train": packed(train[i:j])} if i < j else None for i, j in zip(bounds, bounds[1:], strict=False)]
+            shards = [{"words": b"\n".join([*names[i:j], b""]), "train": train[i:j].astype("<i4").tobytes()} if i < j else None for i, j in zip(bounds, bounds[1:], strict=False)]
             row = pa.RecordBatch.from_arrays(
                 [
                     pa.array([(part << 32) + seq], pa.int64()),
@@ -171,62 +171,69 @@ def blocks(docs: DataFrame, size: int = BLOCK, places: int | None = None) -> Dat
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Whole numbers compressed byte by byte: all lowest bytes come first."""
-    width = 8 if numbers.dtype.itemsize == 8 and len(numbers) and int(numbers.max()) >= 1 << 31 else 4
-    planes = numbers.astype(f"<i{width}").view(np.uint8).reshape(-1, width).T
-    return bytes([width]) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    """Whole numbers of four bytes compressed byte by byte: all lowest bytes come first."""
+    return pa.compress(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
 
 
 def unpacked(numbers: bytes) -> np.ndarray:
-    width = numbers[0]
-    raw = np.frombuffer(pa.CompressedInputStream(pa.BufferReader(memoryview(numbers)[1:]), "zstd").read(), np.uint8)
-    return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<i{width}").reshape(-1)
+    raw = np.frombuffer(pa.CompressedInputStream(pa.BufferReader(numbers), "zstd").read(), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").reshape(-1)
 
 
-COUNTS = "words array<string>, c array<long>, blocks array<long>, places array<int>, codes array<binary>"
+# There are as many pairs of block and place as words at most, but those may hold few words each where blocks and places
+# are many, so what a task has of them is worked out at once.
+
+COUNTS = "words array<string>, c array<long>, blocks array<long>, places array<int>, sizes array<int>, codes binary"
 
 
 def counted(held: DataFrame, n: int) -> DataFrame:
-    """All different words and their counts in training documents, some places' in a row; codes: the words' numbers there of each block and place."""
+    """All different words and their counts in training documents, some places' in a row; codes: the words' numbers there, `sizes` of them for each block and place."""
 
     def run(batches):
-        owners, places, words, train = [], [], [], []
+        owners, places, sizes, words, train = [], [], [], [], []
         for batch in batches:
-            owners += batch.column(0).to_pylist()
-            places += batch.column(1).to_pylist()
-            words += pc.split_pattern(batch.column(2).cast(pa.binary()), "\n")
-            train += [unpacked(t) for t in batch.column(3).to_pylist()]
+            owners.append(batch.column(0))
+            places.append(batch.column(1))
+            sizes.append(np.asarray(pc.binary_length(batch.column(3))) // 4)
+            words.append(pc.split_pattern(pa.array([b"".join(batch.column(2).to_pylist())]), "\n").values[:-1])
+            train.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), "<i4"))
         if not owners:
             return
-        coded = pa.chunked_array([w.values for w in words]).dictionary_encode()
+        coded = pa.chunked_array(words, pa.binary()).dictionary_encode()  # one dictionary for all chunks
         names = coded.chunk(coded.num_chunks - 1).dictionary.cast(pa.string())
         names = pc.if_else(pc.equal(names, END_BYTES.decode()), END, names)
-        c = np.zeros(len(names), np.int64)
-        codes = [np.asarray(x.indices) for x in coded.chunks]
-        for x, t in zip(codes, train, strict=True):
-            c[x] += t  # a block's words are different
+        codes, c = np.concatenate([np.asarray(x.indices) for x in coded.chunks]), np.zeros(len(names), np.int64)
+        np.add.at(c, codes, np.concatenate(train))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names),
-                pa.array([c], pa.list_(pa.int64())),
-                pa.array([owners], pa.list_(pa.int64())),
-                pa.array([places], pa.list_(pa.int32())),
-                pa.array([[packed(x) for x in codes]], pa.list_(pa.binary())),
+                *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (names, pa.array(c), pa.concat_arrays(owners), pa.concat_arrays(places), pa.array(np.concatenate(sizes), pa.int32()))),
+                pa.array([packed(codes)], pa.binary()),
             ],
-            names=["words", "c", "blocks", "places", "codes"],
+            names=["words", "c", "blocks", "places", "sizes", "codes"],
         )
 
     shards = held.select("block", F.posexplode("shards").alias("place", "x")).where("x is not null")
     return shards.select("block", "place", "x.words", "x.train").repartition(n, "place").mapInArrow(run, COUNTS)
 
 
-def in_order(places: bytes, shards: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+def values_of(numbers: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive numbers as binary values, so many in each."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]) * numbers.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(numbers)])
+
+
+def in_order(places: bytes, shards: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
     """Counts and input numbers of a block's words in the order of their numbers."""
     order = np.argsort(np.frombuffer(places, "<u2"), kind="stable")
-    shards = sorted(shards, key=lambda x: x["place"])
-    c, inputs = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-    c[order] = np.concatenate([unpacked(x["c"]) for x in shards])
-    inputs[order] = np.concatenate([unpacked(x["inputs"]) for x in shards])
+    turn = pa.array(np.argsort(np.asarray(shards.field("place"))))
+    # each place's counts have the width that its own task needs
+    widths = pc.divide(pc.multiply(pc.binary_length(shards.field("c")), 2), pc.binary_length(shards.field("inputs"))).take(turn).to_pylist()
+    counts = shards.field("c").take(turn).to_pylist()
+    if len(set(widths)) == 1:
+        counts, widths = [b"".join(counts)], widths[:1]
+    c, inputs = np.empty((2, len(order)), np.int64)
+    c[order] = np.concatenate([np.frombuffer(x, f"<i{w}") for x, w in zip(counts, widths, strict=True)])
+    inputs[order] = np.frombuffer(b"".join(shards.field("inputs").take(turn).to_pylist()), "<u2")
     return c, inputs
 
 
@@ -652,7 +659,7 @@ def fit_blocks(paired: DataFrame, model: Gru, classes: np.ndarray, rounds: int =
         return n, (np.concatenate([v.reshape(-1) for v in own.p.values()]).astype(np.float64) * n).tobytes()
 
     def run(batches):
-        yield summed(one(b.column(0)[k].as_py(), np.asarray(b.column(1)[k].values, np.int64), *(b.column(x)[k].as_py() for x in (2, 3, 4))) for b in batches for k in range(b.num_rows))
+        yield summed(one(b.column(0)[k].as_py(), np.asarray(b.column(1)[k].values, np.int64), b.column(2)[k].as_py(), b.column(3)[k].as_py(), b.column(4)[k].values) for b in batches for k in range(b.num_rows))
 
     def again(batches):
         yield summed((b.column(0)[k].as_py(), b.column(1)[k].as_py()) for b in batches for k in range(b.num_rows))
@@ -701,7 +708,7 @@ def score_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                 ids = batch.column(0)[k].as_py()
                 lengths = np.asarray(batch.column(1)[k].values, np.int64)
                 flat = unpacked(batch.column(2)[k].as_py())
-                c, inputs = in_order(batch.column(3)[k].as_py(), batch.column(4)[k].as_py())
+                c, inputs = in_order(batch.column(3)[k].as_py(), batch.column(4)[k].values)
                 cls = classes[inputs]
                 shares = np.where(cls >= vocabulary.heads, np.log(c + 1.0) - np.log(vocabulary.mass[cls]), 0.0)
                 base = np.log10((c + 1.0) / (total + 1.0 * (distinct + 1)))
@@ -730,12 +737,10 @@ def with_inputs(summed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                inputs, _ = vocabulary.of(batch.column(0)[k].values)
-                c, codes = np.asarray(batch.column(1)[k].values), [unpacked(x) for x in batch.column(4)[k].as_py()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(2)[k].values, batch.column(3)[k].values, pa.array([packed(c[x]) for x in codes], pa.binary()), pa.array([packed(inputs[x]) for x in codes], pa.binary())],
-                    names=["block", "place", "c", "inputs"],
-                )
+                words, c, owners, places, sizes = (batch.column(x)[k].values for x in range(5))
+                inputs, c, sizes, codes = vocabulary.of(words)[0].astype("<u2"), np.asarray(c), np.asarray(sizes), unpacked(batch.column(5)[k].as_py())
+                c = c.astype("<i4" if c.max() < 1 << 31 else "<i8")
+                yield pa.RecordBatch.from_arrays([owners, places, values_of(c[codes], sizes), values_of(inputs[codes], sizes)], names=["block", "place", "c", "inputs"])
 
     return summed.mapInArrow(run, "block long, place int, c binary, inputs binary")
 
